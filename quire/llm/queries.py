@@ -20,12 +20,33 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import chat_format as c
+
+    hard = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return c.read_back(c.chat_windows(rows)).select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.line_dedup import line_dedup
 
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.byte_bpe import encode_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.sharding import interleave
 
@@ -39,9 +60,43 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op9_sharding)
+    f.__name__: f for f in (
+        op1_quality_rules, op2_chat_format, op3_line_dedup, op6_byte_bpe, op9_sharding,
+    )
 }
 
+_OP2 = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x09-\x0D ]')) + 4 AS tokens,
+        length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|OUT\]|/?ROLE\]|TEXT\])', '\1\\\2\3', 'g')) +
+        CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 9 ELSE 19 +
+          length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|OUT\]|/?ROLE\]|TEXT\])', '\1\\\2\3', 'g')) END AS chars FROM c),
+t AS (SELECT *, row_number() OVER w AS i, sum(tokens) OVER w AS upto, sum(chars) OVER w AS chars_upto FROM e
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT conv_id, role = 'system' AS sys, CASE WHEN role = 'system' THEN tokens ELSE 0 END AS st,
+        CASE WHEN role = 'system' THEN chars ELSE 0 END AS sc FROM t WHERE i = 1),
+walk AS (SELECT conv_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS s, CAST(st AS HUGEINT) AS base FROM h
+  UNION ALL
+  SELECT t.conv_id, t.i, CASE WHEN t.i > w.s AND t.upto - w.base > 896 - h.st THEN t.i ELSE w.s END,
+         CASE WHEN t.i > w.s AND t.upto - w.base > 896 - h.st THEN t.upto - t.tokens ELSE w.base END
+  FROM walk w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1 JOIN h ON h.conv_id IS NOT DISTINCT FROM w.conv_id),
+win AS (SELECT conv_id, s, max(i) AS e FROM walk GROUP BY ALL),
+spans AS (SELECT w.conv_id, w.s, w.e, h.sys AND w.s > 1 AS rep, h.sc,
+    CASE WHEN w.s = 1 THEN 1 ELSE (SELECT min(x.i) FROM t x, t y WHERE x.conv_id IS NOT DISTINCT FROM w.conv_id AND y.conv_id IS NOT DISTINCT FROM w.conv_id
+      AND y.i = w.s - 1 AND x.i BETWEEN greatest(CASE WHEN h.sys THEN 2 ELSE 1 END, w.s - 4) AND w.s AND y.upto - (x.upto - x.tokens) <= 128) END AS h
+  FROM win w JOIN h ON h.conv_id IS NOT DISTINCT FROM w.conv_id),
+f AS (SELECT p.conv_id, sum(3 + CASE WHEN p.rep THEN p.sc ELSE 0 END + y.chars_upto - (x.chars_upto - x.chars)) AS n
+  FROM (SELECT *, least(coalesce(h, s), s) AS hh FROM spans) p JOIN t x ON x.conv_id IS NOT DISTINCT FROM p.conv_id AND x.i = p.hh
+    JOIN t y ON y.conv_id IS NOT DISTINCT FROM p.conv_id AND y.i = p.e GROUP BY ALL)
+SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(any_value(f.n) AS BIGINT) AS formatted_chars
+FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
+"""
+
 _OP3 = r"""
 WITH d AS (SELECT doc_id, text, coalesce('h' || source, '') AS host, string_split(text, chr(10)) AS lines FROM documents),
 pairs AS (SELECT DISTINCT rid, host, trim(line, e' \t\x0b\x0c\r') AS line
@@ -70,4 +125,4 @@ SELECT doc_id, size, CAST(xor(c, CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text
        CAST(pos - (shard * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _OP3, "op9_sharding": _OP9}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": _OP2, "op3_line_dedup": _OP3, "op9_sharding": _OP9}
