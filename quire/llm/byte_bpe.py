@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from quire.llm.common import map_batches
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 60_000, 300_000, 120_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 200_000, 400_000, 200_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -49,80 +49,119 @@ class Merges:
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-
-    def merged(self, raw: bytes) -> list[int]:
+        self.pairs: dict[int, bool] = {}
+        #: token -> (time at which merging makes it, left part, right part); single bytes are there from the start
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for token in sorted(ranks.values()):
+            raw = self.bytes_of[token]
+            if len(raw) == 1:
+                self.made[token] = (-1, token, token)
+            elif len(parts := self.merged(raw, token)) == 2 and all(p in self.made for p in parts):
+                self.made[token] = (max(token, *(self.made[p][0] for p in parts)), *parts)
+        #: tokens that their own bytes encode to
+        self.ends = {self.bytes_of[t]: t for t in self.made}
+
+    def merged(self, raw: bytes, below: int = 1 << 60) -> list[int]:
         """The definition: join the adjacent pair of least rank, the leftmost first, until none joins."""
         parts, ranks = [raw[k : k + 1] for k in range(len(raw))], self.ranks
         while len(parts) > 1:
-            least, at = min((ranks.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1))
-            if least == 1 << 60:
+            least, at = below, -1
+            for k in range(len(parts) - 1):
+                rank = ranks.get(parts[k] + parts[k + 1])
+                if rank is not None and rank < least:
+                    least, at = rank, k
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
-    def reachable(self, token: int) -> bool:
-        if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = self.merged(self.bytes_of[token]) == [token]
-        return known
-
     def follows(self, first: int, second: int) -> bool:
-        if (known := self.pairs.get((first, second))) is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[first, second] = self.merged(self.bytes_of[first] + self.bytes_of[second]) == [first, second]
+        """Whether merging the bytes of both tokens gives just these two.
+
+        Goes back in time: undoes, on either side of the border, the merge made
+        last.  The tokens that then meet at the border must not have joined
+        before the merge that was undone.
+        """
+        key = first << 32 | second
+        if (known := self.pairs.get(key)) is not None:
+            return known
+        made, raw, rank_of = self.made, self.bytes_of, self.ranks.get
+        left_until = right_until = 1 << 60
+        while True:
+            rank = rank_of(raw[first] + raw[second])
+            if rank is not None and rank < left_until and rank <= right_until:
+                known = False
+                break
+            (at, _, inner), (other, outer, _) = made[first], made[second]
+            if at > other:
+                left_until, first = at, inner
+            elif other >= 0:
+                right_until, second = other, outer
+            else:
+                known = True
+                break
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = known
         return known
 
 
 class State(dict):
-    """byte -> (tokens emitted, next state); ``flush`` holds the tokens of the bytes read, if the piece ends here."""
+    """byte -> (tokens emitted, next state)."""
 
-    __slots__ = ("owner", "emitted", "held", "lasts", "flush")
+    __slots__ = ("owner", "emitted", "held", "lasts", "rest")
 
     def __init__(self, owner: Encoder, emitted: int, held: bytes, lasts: tuple[tuple[int, int], ...]):
         """lasts: for each length of ``held`` from 1, the last token of that prefix and where it starts."""
-        self.owner, self.emitted, self.held, self.lasts = owner, emitted, held, lasts
-        self.flush = tuple(t for t, _ in self.chain(len(held)))
-
-    def chain(self, end: int) -> list[tuple[int, int]]:
-        """Tokens, with their ends, from the start of ``held`` to ``end``."""
-        found = []
-        while end:
-            token, start = self.lasts[end - 1]
-            found.append((token, end))
-            end = start
-        return found[::-1]
+        self.owner, self.emitted, self.held, self.lasts, self.rest = owner, emitted, held, lasts, None
+
+    def flush(self) -> tuple[int, ...]:
+        """The tokens of the bytes held, if the piece ends here."""
+        if self.rest is None:
+            self.rest = chain(self.lasts, len(self.held))
+        return self.rest
 
     def __missing__(self, byte: int) -> tuple[tuple[int, ...], State]:
-        merges, held = self.owner.merges, self.held + bytes((byte,))
-        n = len(held)
-        for start in range(max(0, n - merges.longest), n):
-            token = merges.ranks.get(held[start:])
-            if token is None or not merges.reachable(token):
-                continue
-            before = self.lasts[start - 1][0] if start else self.emitted
-            if before < 0 or merges.follows(before, token):
-                break
-        after = State(self.owner, self.emitted, held, (*self.lasts, (token, start)))
-        # every later token starts at the end or where the bytes up to the end begin a longer token
-        live = [n, *(k for k in range(max(0, n - merges.longest + 1), n) if held[k:] in merges.prefixes)]
-        chains = [after.chain(k) for k in live]
-        common = 0
-        for steps in zip(*chains):
-            if any(x != steps[0] for x in steps):
-                break
-            common += 1
-        done = chains[0][:common]
-        if done:
-            cut = done[-1][1]
-            after = self.owner.state(done[-1][0], held[cut:], tuple((t, s - cut) for t, s in after.lasts[cut:]))
+        owner, held = self.owner, self.held + bytes((byte,))
+        merges, lasts, n = owner.merges, self.lasts, len(held)
+        token_at, first = merges.ends.get, max(0, n - merges.longest)
+        for start in range(first, n):
+            token = token_at(held[start:])
+            if token is not None:
+                before = lasts[start - 1][0] if start else self.emitted
+                if before < 0 or merges.follows(before, token):
+                    break
+        lasts = (*lasts, (token, start))
+        # every later token starts at the end, or where the bytes up to the end begin a longer token:
+        # emit up to the place that the encodings of all these prefixes pass through
+        prefixes, meet = merges.prefixes, {n}
+        for k in range(max(first, 1), n):
+            if held[k:] in prefixes:
+                meet.add(k)
+        if first == 0 and held in prefixes:
+            meet = {0}
+        while len(meet) > 1:
+            far = max(meet)
+            meet.remove(far)
+            meet.add(lasts[far - 1][1])
+        cut = meet.pop()
+        if cut:
+            done = chain(lasts, cut)
+            after = owner.state(done[-1], held[cut:], lasts, cut)
         else:
-            after = self.owner.state(self.emitted, held, after.lasts)
-        self[byte] = result = (tuple(t for t, _ in done), after)
+            done, after = (), owner.state(self.emitted, held, lasts, 0)
+        self[byte] = result = (done, after)
         return result
 
 
+def chain(lasts: tuple[tuple[int, int], ...], end: int) -> tuple[int, ...]:
+    found = []
+    while end:
+        token, end = lasts[end - 1]
+        found.append(token)
+    return tuple(found[::-1])
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merges, self.split = Merges(ranks), regex.compile(pattern).findall
@@ -130,13 +169,15 @@ class Encoder:
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.start = State(self, -1, b"", ())
 
-    def state(self, emitted: int, held: bytes, lasts: tuple) -> State:
+    def state(self, emitted: int, held: bytes, lasts: tuple, cut: int) -> State:
         key = (emitted, held)  # these decide ``lasts`` wherever a later token may start
-        if (known := self.states.get(key)) is None:
+        known = self.states.get(key)
+        if known is None:
             if len(self.states) >= MAX_STATES:  # running pieces keep the states they stand on
                 self.states.clear()
                 self.start.clear()
-            known = self.states[key] = State(self, emitted, held, lasts)
+            own = tuple((t, s - cut) for t, s in lasts[cut:]) if cut else lasts
+            known = self.states[key] = State(self, emitted, held, own)
         return known
 
     def piece(self, text: str) -> tuple[int, ...]:
@@ -145,7 +186,7 @@ class Encoder:
             done, state = state[byte]
             if done:
                 out += done
-        return (*out, *state.flush)
+        return (*out, *state.flush())
 
     def encode(self, text: str) -> list[int]:
         out, known, get = [], self.pieces, self.pieces.get
