@@ -59,9 +59,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.decontaminate import find_hits
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return find_hits(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op2_chat_format, op3_line_dedup, op6_byte_bpe, op9_sharding,
+        op1_quality_rules, op2_chat_format, op3_line_dedup, op6_byte_bpe, op9_sharding, op10_decontaminate,
     )
 }
 
@@ -125,4 +136,18 @@ SELECT doc_id, size, CAST(xor(c, CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text
        CAST(pos - (shard * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": _OP2, "op3_line_dedup": _OP3, "op9_sharding": _OP9}
+_OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT item, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+p AS (SELECT DISTINCT item, size, array_to_string(w[k:k + size - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM s)),
+q AS (SELECT rid, k, size, array_to_string(w[k:k + size - 1], ' ') AS phrase
+      FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM s))),
+h AS (SELECT rid, k, size, item FROM q JOIN p USING (size, phrase)),
+n AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(k, k + size)) AS j FROM h) GROUP BY ALL),
+i AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY ALL)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": _OP10, "op2_chat_format": _OP2, "op3_line_dedup": _OP3, "op9_sharding": _OP9}
