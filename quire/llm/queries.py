@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import fold, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.byte_bpe import encode_texts
 
@@ -47,6 +53,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import quality_classifier as q
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = q.fit(docs, table(spark, sf_dir, "labels"), learn=fold(F.col("doc_id"), 4) != 2)
+    return q.classify(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.sharding import interleave
 
@@ -72,7 +86,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op2_chat_format, op3_line_dedup, op6_byte_bpe, op9_sharding, op10_decontaminate,
+        op1_quality_rules, op2_chat_format, op3_line_dedup, op5_html_extract, op6_byte_bpe, op7_quality_classifier, op9_sharding, op10_decontaminate,
     )
 }
 
