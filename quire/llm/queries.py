@@ -61,6 +61,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.classify(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.sharding import interleave
 
@@ -86,7 +92,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op2_chat_format, op3_line_dedup, op5_html_extract, op6_byte_bpe, op7_quality_classifier, op9_sharding, op10_decontaminate,
+        op1_quality_rules, op2_chat_format, op3_line_dedup, op5_html_extract, op6_byte_bpe, op7_quality_classifier, op8_ngram_join, op9_sharding,
+        op10_decontaminate,
     )
 }
 
