@@ -40,6 +40,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.context_mixing import score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    return score_texts(docs.select("doc_id", "text", held_out.alias("held_out")), ~F.col("held_out")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.html_extract import extract
 
@@ -92,7 +102,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op2_chat_format, op3_line_dedup, op5_html_extract, op6_byte_bpe, op7_quality_classifier, op8_ngram_join, op9_sharding,
+        op1_quality_rules, op2_chat_format, op3_line_dedup, op4_context_mixing, op5_html_extract, op6_byte_bpe, op7_quality_classifier, op8_ngram_join, op9_sharding,
         op10_decontaminate,
     )
 }
