@@ -4,10 +4,10 @@ A text is a sequence of binary decisions.  A word among the ``HEAD`` most freque
 ones is its rank: five decisions for the rank's number of bits, then these bits; any
 other word is the empty rank and then its bytes, eight decisions each, and a zero
 byte.  Every decision has three hashed contexts with counts of zeros and ones
-(its place alone, after the word before, after the two words before; inside a
-spelled word after one, two and three bytes).  A gate, the kind of decision and
-how well the contexts are known, selects the weights that add up the three
-predictions in the logistic domain; an adaptive map of (place, mixed prediction)
+(its place alone, after the word before, after the last common word; inside a
+spelled word after one byte, two bytes and the last common word, four bytes).  A
+gate, the depth of the decision and how well the contexts are known, selects the
+weights that add up the three predictions in the logistic domain; an adaptive map of (place, mixed prediction)
 refines the sum.  The product of all decisions is the text's probability.
 
 Learning: word counts are one Spark sum.  The context counts of all training
@@ -41,8 +41,10 @@ from quire.llm.common import checkpoint, map_batches, raw_texts
 
 #: Ranked words (each of at most HEAD_BYTES bytes, which bounds what is sent); the end of a text is rank 1.
 HEAD, HEAD_BYTES = (1 << 17) - 2, 48
-MIN_BITS, MAX_BITS, BYTE_BITS = 18, 20, 18
-GATES, MAP_PLACES, MAP_STEPS, STRIDE = 48, 4096, 25, 8
+MIN_BITS, MAX_BITS, BYTE_BITS = 18, 21, 19
+GATES, MAP_PLACES, MAP_STEPS, STRIDE = 48 * 16, 4096, 25, 3
+#: Words of a rank up to this are common; counts start at PRIOR.
+COMMON, PRIOR = 40, 0.2
 CHUNK_TOKENS, CHUNK_BYTES, BLOCK, FAN_IN = 30_000, 400_000, 1 << 16, 64
 END = b"\x00"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -59,7 +61,7 @@ def word_rows(docs: DataFrame, text: Column) -> DataFrame:
 
 
 class Layout:
-    """Where the regions of the count table lie: places, one word, two words, one byte, two bytes, three bytes."""
+    """Where the regions of the count table lie: places, word before, common word, one byte, two bytes, four bytes."""
 
     def __init__(self, bits: int):
         self.bits = bits
@@ -74,7 +76,7 @@ class Layout:
 
 
 class Coder:
-    """Turns tokens into decisions: three slots, kind, bit and token of each."""
+    """Turns tokens into decisions: three slots, depth, bit and token of each."""
 
     def __init__(self, head: list[bytes], layout: Layout):
         self.rank = {w: k + 2 for k, w in enumerate(head)}
@@ -99,56 +101,60 @@ class Coder:
             hashes[rank == 0] = [xxhash.xxh3_64_intdigest(w) for w in spelled]
         return doc, rank, hashes * _B + _C, spelled, np.flatnonzero(rank == 0)
 
-    def ranked(self, rank: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Decisions of ranks, given the hash of the word before and of the two before."""
+    def ranked(self, rank: np.ndarray, one: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Decisions of ranks, given the hashes of the word before and of the last common word."""
         n_bits = np.frexp(rank.astype(float))[1].astype(np.int64)
         parts = []
         token = np.arange(len(rank))
         shifts = np.arange(4, -1, -1)
         place = (32 + n_bits[:, None]) >> (shifts + 1)
-        parts.append((place.ravel(), ((n_bits[:, None] >> shifts) & 1).ravel(), np.repeat(token, 5), np.zeros(5 * len(rank), np.int64)))
+        parts.append((place.ravel(), ((n_bits[:, None] >> shifts) & 1).ravel(), np.repeat(token, 5)))
         for b in range(2, int(n_bits.max(initial=0)) + 1):
             own = token[n_bits == b]
             if len(own):
                 shifts = np.arange(b - 2, -1, -1)
                 v = rank[own][:, None]
-                parts.append(((32 + (1 << (b - 1)) + (v >> (shifts + 1))).ravel(), (v >> shifts & 1).ravel(), np.repeat(own, b - 1), np.ones(len(own) * (b - 1), np.int64)))
-        place, bit, token, kind = (np.concatenate(x) for x in zip(*parts))
+                parts.append(((32 + (1 << (b - 1)) + (v >> (shifts + 1))).ravel(), (v >> shifts & 1).ravel(), np.repeat(own, b - 1)))
+        place, bit, token = (np.concatenate(x) for x in zip(*parts))
         key = place.astype(np.uint64) * _C
-        return place, self.layout.hashed(1, key ^ one[token]), self.layout.hashed(2, key ^ two[token]), kind, bit, token
+        return place, self.layout.hashed(1, key ^ one[token]), self.layout.hashed(2, key ^ common[token]), np.frexp(place.astype(float))[1], bit, token
 
-    def spelt(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Decisions of the bytes of words."""
+    def spelt(self, words: list[bytes], common: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Decisions of the bytes of words, given the hash of the last common word before each."""
         lengths = np.array([len(w) + 1 for w in words], np.int64)
         flat = np.frombuffer(END.join(words) + END, np.uint8).astype(np.int64)
         inside = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        back = [np.where(inside >= k, np.concatenate([np.zeros(k, np.int64), flat[:-k]])[: len(flat)], 0) for k in (1, 2, 3)]
+        back = [np.where(inside >= k, np.concatenate([np.zeros(k, np.int64), flat])[: len(flat)], 0) for k in range(1, 5)]
         shifts = np.arange(7, -1, -1)
         place = ((256 + flat)[:, None] >> (shifts + 1)).ravel()
         bit = (flat[:, None] >> shifts & 1).ravel()
-        one, two = np.repeat(back[0], 8), np.repeat(back[0] << 8 | back[1], 8)
-        three = two << 8 | np.repeat(back[2], 8)
-        layout = self.layout
-        a = layout.starts[3] + (one << 8 | place)
-        b = layout.hashed(4, (two << 8 | place).astype(np.uint64) * _B)
-        c = layout.hashed(5, (three << 8 | place).astype(np.uint64) * _C)
-        return a, b, c, np.full(len(bit), 2), bit, np.repeat(np.arange(len(words)), lengths * 8)
+        two = back[0] << 8 | back[1]
+        four = np.repeat(two << 16 | back[2] << 8 | back[3], 8)
+        a = self.layout.starts[3] + (np.repeat(back[0], 8) << 8 | place)
+        b = self.layout.hashed(4, (np.repeat(two, 8) << 8 | place).astype(np.uint64) * _B ^ np.repeat(np.repeat(common, lengths), 8))
+        c = self.layout.hashed(5, (four << 8 | place).astype(np.uint64) * _C)
+        return a, b, c, 32 + np.frexp(place.astype(float))[1], bit, np.repeat(np.arange(len(words)), lengths * 8)
 
     def chunks(self, texts: list[bytes]) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
-        """All decisions of the texts in bounded portions, with the text number of each; spelled words once a portion."""
+        """All decisions of the texts in bounded portions, with the text number of each."""
         doc, rank, hashes, spelled, at = self.tokens(texts)
         fresh = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-        one = np.where(fresh, _A, np.concatenate([[_A], hashes[:-1]])[: len(hashes)])
-        two = np.where(fresh, _A, np.concatenate([[_A], one[:-1]])[: len(hashes)]) * _B ^ one
+        one = np.where(fresh, _A, np.concatenate([[_A], hashes])[: len(hashes)])
+        # the last common word or end before each token; an end stands for no word yet
+        last = np.maximum.accumulate(np.where((rank > 0) & (rank <= COMMON), np.arange(1, len(rank) + 1), 0))
+        last = np.concatenate([[0], last])[: len(rank)]
+        common = np.concatenate([[1], rank])[last].astype(np.uint64) * _B + _A
         for k in range(0, len(rank), CHUNK_TOKENS):
             part = slice(k, k + CHUNK_TOKENS)
-            rows = self.ranked(rank[part], one[part], two[part])
-            yield rows, doc[part][rows[5]], None
+            rows = self.ranked(rank[part], one[part], common[part])
+            yield rows, doc[part][rows[5]]
             i, j = np.searchsorted(at, [k, k + CHUNK_TOKENS])
-            if i < j:
-                kinds, which = np.unique(np.array(spelled[i:j], object), return_inverse=True)
-                # very long words one by one, others together
-                yield self.spelt(list(kinds)), doc[at[i:j]], which
+            while i < j:  # some CHUNK_BYTES of spelled words together; a longer one alone
+                size = np.cumsum([len(w) for w in spelled[i:j]])
+                n = max(1, int(np.searchsorted(size, CHUNK_BYTES // 2, "right")))
+                rows = self.spelt(spelled[i : i + n], common[at[i : i + n]])
+                yield rows, doc[at[i : i + n]][rows[5]]
+                i += n
 
 
 class Model:
@@ -157,7 +163,7 @@ class Model:
     def __init__(self, layout: Layout, counts: np.ndarray, weights: np.ndarray | None = None, map_counts: np.ndarray | None = None):
         self.layout, self.counts = layout, counts
         self.known = np.searchsorted([1, 3, 16], counts.sum(1), side="right").astype(np.uint8)
-        self.logit = (np.log(counts[:, 1] + 0.4) - np.log(counts[:, 0] + 0.4)).astype(np.float32)
+        self.logit = (np.log(counts[:, 1] + PRIOR) - np.log(counts[:, 0] + PRIOR)).astype(np.float32)
         self.weights = np.tile([0.4, 0.3, 0.3, 0.0], (GATES, 1)) if weights is None else weights
         self.map_counts = np.zeros((MAP_PLACES * MAP_STEPS, 2)) if map_counts is None else map_counts
         middle = (np.arange(MAP_STEPS) - MAP_STEPS // 2) / 1.5
@@ -194,7 +200,7 @@ class Model:
         for k in range(3):
             own = self.counts[rows[k]]
             ones, zeros = np.maximum(own[:, 1] - bit, 0), np.maximum(own[:, 0] - (1 - bit), 0)
-            x[:, k] = np.log(ones + 0.4) - np.log(zeros + 0.4)
+            x[:, k] = np.log(ones + PRIOR) - np.log(zeros + PRIOR)
             if k:
                 level = np.searchsorted([1, 3, 16], ones + zeros, side="right")
                 known = level if k == 1 else known * 4 + level
@@ -256,7 +262,7 @@ def learn(train: DataFrame, head: list[bytes], tokens: int) -> Model:
         coder, table = Coder(head, layout), np.zeros((layout.size, 2), np.uint32)
         for batch in batches:
             for texts in portions(batch.column(0)):
-                for rows, _, _ in coder.chunks(texts):
+                for rows, _ in coder.chunks(texts):
                     for k in range(3):
                         at, n = np.unique(rows[k] * 2 + rows[4], return_counts=True)
                         table.reshape(-1)[at] += n.astype(np.uint32)
@@ -277,7 +283,7 @@ def learn(train: DataFrame, head: list[bytes], tokens: int) -> Model:
         squares, seen = np.zeros((GATES, 4)), 0
         for batch in batches:
             for texts in portions(batch.column(0)):
-                for rows, _, _ in coder.chunks(texts):
+                for rows, _ in coder.chunks(texts):
                     model.learn(rows, squares)
                     seen += len(rows[4])
         if seen:
@@ -325,12 +331,8 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFram
                 n = len(part)
                 doc, rank, _, spelled, at = coder.tokens(part)
                 score = np.zeros(n)
-                for rows, owner, which in coder.chunks(part):
-                    log_p = own_model.log_probability(rows)
-                    if which is None:
-                        score += np.bincount(owner, log_p, n)
-                    else:
-                        score += np.bincount(owner, np.bincount(rows[5], log_p)[which], n)
+                for rows, owner in coder.chunks(part):
+                    score += np.bincount(owner, own_model.log_probability(rows), n)
                 ranked = rank > 0
                 tails: list[list[str]] = [[] for _ in part]
                 for d, w in zip(doc[at], spelled):
