@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import lexicon as L
@@ -27,6 +29,31 @@ def more(condition: Column, points: float) -> Column:
     return F.when(condition, points).otherwise(0.0)
 
 
+@dataclass(frozen=True)
+class Texts:
+    """What several scores need of a block's texts; as columns of their own they are worked out once."""
+
+    s: Column  # normal source
+    t: Column  # normal translation
+    s_words: Column
+    t_words: Column
+    s_ascii: Column  # ASCII words of the source
+    t_tokens: Column  # ASCII tokens of the translation
+
+    @classmethod
+    def of(cls, source, translated) -> Texts:
+        s, t = X.normalize(source), X.normalize(translated)
+        return cls(s, t, X.word_count(s), X.word_count(t), X.ascii_words(s), X.ascii_tokens(t))
+
+    @classmethod
+    def prepared(cls, df: DataFrame, source: str, translated: str) -> tuple[DataFrame, Texts]:
+        """``df`` with the columns ``__s`` and so on, in two steps, and the record that names them."""
+        df = df.withColumns({"__s": X.normalize(source), "__t": X.normalize(translated)})
+        s, t = F.col("__s"), F.col("__t")
+        made = {"__s_words": X.word_count(s), "__t_words": X.word_count(t), "__s_ascii": X.ascii_words(s), "__t_tokens": X.ascii_tokens(t)}
+        return df.withColumns(made), cls(s, t, *[F.col(c) for c in made])
+
+
 def is_scored(kind) -> Column:
     return among(col(kind), L.SCORED_TYPES)
 
@@ -36,9 +63,9 @@ def is_garbled(t: Column) -> Column:
     return t.rlike(r"(.)\1{5,}") | (marks >= 3)
 
 
-def translation_quality(kind, source, translated, mock_allowed: bool = True) -> Column:
-    kind, s, t = col(kind), X.normalize(source), X.normalize(translated)
-    words, ratio = X.word_count(t), X.word_count(t) / F.greatest(X.word_count(s), F.lit(1))
+def translation_quality(kind, x: Texts, mock_allowed: bool = True) -> Column:
+    kind, s, t, words = col(kind), x.s, x.t, x.t_words
+    ratio = words / F.greatest(x.s_words, F.lit(1))
     unfinished = among(kind, ["paragraph", "footnote"]) & (words >= 6) & ~t.rlike("[.!?]$")
     brackets = F.length(F.regexp_replace(t, r"[^\[]", "")) != F.length(F.regexp_replace(t, r"[^\]]", ""))
     score = (
@@ -48,8 +75,8 @@ def translation_quality(kind, source, translated, mock_allowed: bool = True) ->
     return F.when(~is_scored(kind) | (s == "") | (t == ""), 0.0).otherwise(clamp(score))
 
 
-def english_residual(kind, translated) -> Column:
-    tokens = X.ascii_tokens(X.normalize(translated))
+def english_residual(kind, x: Texts) -> Column:
+    tokens = x.t_tokens
     exempt = lambda x: among(x, L.SCORING_ACRONYMS) | x.startswith("http") | x.startswith("www") | (X.is_upper(x) & (F.length(x) > 1)) | (X.starts_upper(x) & (F.length(x) > 2))
     open_tokens = F.filter(tokens, lambda x: ~exempt(x))
     count = lambda words: F.size(F.filter(open_tokens, lambda x: among(X.token_form(x), words)))
@@ -62,9 +89,9 @@ def token_overlap(a, b) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def semantic_consistency(kind, source, translated, section_title) -> Column:
-    kind, s, t, title = col(kind), X.normalize(source), X.normalize(translated), X.normalize(section_title)
-    ratio = X.word_count(t) / F.greatest(X.word_count(s), F.lit(1))
+def semantic_consistency(kind, x: Texts, section_title) -> Column:
+    kind, s, t, title = col(kind), x.s, x.t, X.normalize(section_title)
+    ratio = x.t_words / F.greatest(x.s_words, F.lit(1))
     few = F.size(X.find_all(F.lower(s), "[a-z]+")).between(1, 2)
     score = (
         F.lit(0.82) + F.when(ratio.between(0.55, 1.9), 0.12).otherwise(-0.18) + more((title != "") & (kind == "title") & (token_overlap(s, title) >= 0.4), 0.06)
@@ -73,22 +100,20 @@ def semantic_consistency(kind, source, translated, section_title) -> Column:
     return F.when(~is_scored(kind) | (s == "") | (t == ""), 0.0).otherwise(clamp(score))
 
 
-def is_plausible_title(t: Column) -> Column:
-    words = X.ascii_words(t)
+def is_plausible_title(words: Column) -> Column:
     return F.size(words).between(2, 4) & F.forall(words, lambda w: w.rlike("^[A-Z]") | among(F.lower(w), L.SEMANTIC_STOPWORDS))
 
 
-def has_sentence_shape(t: Column) -> Column:
-    n = F.size(X.ascii_words(t))
+def has_sentence_shape(t: Column, words: Column) -> Column:
+    n = F.size(words)
     return (n >= 8) | ((n >= 4) & t.rlike("[.!?:;]$"))
 
 
-def semantic_confidence(kind, source, translated, size, section_title, occurrences, noise: Column, merged: Column, contained: Column | None = None) -> Column:
+def semantic_confidence(kind, x: Texts, size, section_title, occurrences, noise: Column, merged: Column, contained: Column | None = None) -> Column:
     """struct(score, category): early verdicts first, then points."""
-    kind, s, t = col(kind), X.normalize(source), X.normalize(translated)
-    n, words = F.size(X.ascii_words(s)), X.word_count(s)
+    kind, s, t, n, words = col(kind), x.s, x.t, F.size(x.s_ascii), x.s_words
     signal = token_overlap(s, F.coalesce(col(section_title), F.lit(""))) >= 0.15
-    plausible, shape = is_plausible_title(s), has_sentence_shape(s)
+    plausible, shape = is_plausible_title(x.s_ascii), has_sentence_shape(s, x.s_ascii)
     mini = F.when(n == 0, True).when((kind == "title") & plausible, False).otherwise((n <= 1) | ((n <= 3) & ~shape))
     weak = ~((kind == "title") & plausible) & (words <= 3) & ~s.rlike("[.!?:;]$")
     title = F.lit(0.08) + more(col(size) >= 13, 0.18) + more(words.between(2, 8) & plausible, 0.08)
@@ -112,8 +137,8 @@ def semantic_confidence(kind, source, translated, size, section_title, occurrenc
     )
 
 
-def overlay_risk(kind, source, translated, x0, y0, x1, y1, size, overflow: Column | None = None) -> Column:
-    s, t, size = X.normalize(source), X.normalize(translated), F.when(col(size) > 0, col(size)).otherwise(10.0)
+def overlay_risk(kind, x: Texts, x0, y0, x1, y1, size, overflow: Column | None = None) -> Column:
+    s, t, size = x.s, x.t, F.when(col(size) > 0, col(size)).otherwise(10.0)
     w, h = F.greatest(col(x1) - col(x0), F.lit(0.0)), F.greatest(col(y1) - col(y0), F.lit(0.0))
     ratio = F.length(t) / F.greatest(F.length(s), F.lit(1))
     risk = (

@@ -23,6 +23,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_blocks(quality.occurrences(sections.section_lookup(translated(spark, sf_dir))))
 
 
+def _texts() -> S.Texts:
+    return S.Texts.of("source_text", "translated_text")
+
+
 def classify_blocks(spark, sf_dir):
     return blocks(spark, sf_dir).select("doc_id", "pos", "page_number", "type", "x1", "y0", "page_avg", X.confidence("type").alias("confidence"))
 
@@ -32,19 +36,19 @@ def mock_translate(spark, sf_dir):
 
 
 def block_translation_score(spark, sf_dir):
-    return translated(spark, sf_dir).select("doc_id", "pos", S.translation_quality("type", "source_text", "translated_text").alias("score"))
+    return translated(spark, sf_dir).select("doc_id", "pos", S.translation_quality("type", _texts()).alias("score"))
 
 
 def english_residual_score(spark, sf_dir):
-    return translated(spark, sf_dir).select("doc_id", "pos", S.english_residual("type", "translated_text").alias("score"))
+    return translated(spark, sf_dir).select("doc_id", "pos", S.english_residual("type", _texts()).alias("score"))
 
 
 def overlay_risk(spark, sf_dir):
-    return translated(spark, sf_dir).select("doc_id", "pos", S.overlay_risk("type", "source_text", "translated_text", "x0", "y0", "x1", "y1", "size").alias("score"))
+    return translated(spark, sf_dir).select("doc_id", "pos", S.overlay_risk("type", _texts(), "x0", "y0", "x1", "y1", "size").alias("score"))
 
 
 def semantic_consistency(spark, sf_dir):
-    return sections.section_lookup(translated(spark, sf_dir)).select("doc_id", "pos", S.semantic_consistency("type", "source_text", "translated_text", "section_title").alias("score"))
+    return sections.section_lookup(translated(spark, sf_dir)).select("doc_id", "pos", S.semantic_consistency("type", _texts(), "section_title").alias("score"))
 
 
 def semantic_confidence(spark, sf_dir):
