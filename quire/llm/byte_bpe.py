@@ -6,8 +6,8 @@ may follow the last token of the prefix before it (``follows``: merging the two
 tokens' bytes gives the two tokens).  A transducer state is the last token
 emitted and the bytes read since.  A token is emitted as soon as every token that
 could still start in these bytes agrees on it, so the bytes held back are fewer
-than twice the longest token.  States and transitions are made when first needed
-and dropped together when there are too many.
+than twice the longest token.  States and transitions are made when first needed,
+one a piece of text, and no longer kept when there are too many.
 
 Decoding: a state is the unfinished tail of a UTF-8 sequence (at most 3 bytes);
 its transitions by token are made lazily too.  Malformed input becomes U+FFFD.
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from quire.llm.common import map_batches
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 200_000, 400_000, 200_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 120_000, 200_000, 60_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -106,6 +106,9 @@ class Merges:
         return known
 
 
+BYTES = [bytes((b,)) for b in range(256)]
+
+
 class State(dict):
     """byte -> (tokens emitted, next state)."""
 
@@ -121,36 +124,48 @@ class State(dict):
             self.rest = chain(self.lasts, len(self.held))
         return self.rest
 
-    def __missing__(self, byte: int) -> tuple[tuple[int, ...], State]:
-        owner, held = self.owner, self.held + bytes((byte,))
+    def step(self, byte: int, keep: bool) -> tuple[tuple[int, ...], State]:
+        """The transition by a byte that is not in the table yet; with ``keep`` it is put there."""
+        owner, held = self.owner, self.held + BYTES[byte]
         merges, lasts, n = owner.merges, self.lasts, len(held)
-        token_at, first = merges.ends.get, max(0, n - merges.longest)
-        for start in range(first, n):
-            token = token_at(held[start:])
-            if token is not None:
-                before = lasts[start - 1][0] if start else self.emitted
-                if before < 0 or merges.follows(before, token):
-                    break
-        lasts = (*lasts, (token, start))
-        # every later token starts at the end, or where the bytes up to the end begin a longer token:
-        # emit up to the place that the encodings of all these prefixes pass through
-        prefixes, meet = merges.prefixes, {n}
-        for k in range(max(first, 1), n):
-            if held[k:] in prefixes:
-                meet.add(k)
-        if first == 0 and held in prefixes:
-            meet = {0}
-        while len(meet) > 1:
-            far = max(meet)
-            meet.remove(far)
-            meet.add(lasts[far - 1][1])
-        cut = meet.pop()
-        if cut:
-            done = chain(lasts, cut)
-            after = owner.state(done[-1], held[cut:], lasts, cut)
+        token_at, pairs, first = merges.ends.get, merges.pairs, n - merges.longest
+        if first < 0:
+            first = 0
+        prefixes, meet, start = merges.prefixes, [], -1
+        for k in range(first, n):
+            tail = held[k:]
+            if tail in prefixes:
+                meet.append(k)  # a longer token may start here
+            if start < 0:
+                token = token_at(tail)
+                if token is not None:
+                    before = lasts[k - 1][0] if k else self.emitted
+                    if before < 0:
+                        start, found = k, token
+                    else:
+                        fits = pairs.get(before << 32 | token)
+                        if merges.follows(before, token) if fits is None else fits:
+                            start, found = k, token
+        lasts = (*lasts, (found, start))
+        # emit up to the place that the encodings of all prefixes pass through at whose ends a token may start
+        at = n
+        for k in reversed(meet):
+            while at != k:  # the nearest common place of two encodings
+                if at > k:
+                    at = lasts[at - 1][1]
+                else:
+                    k = lasts[k - 1][1]
+            if not at:
+                break
+        if at:
+            done = chain(lasts, at)
+            after = owner.state(done[-1], held[at:], lasts, at, keep)
         else:
-            done, after = (), owner.state(self.emitted, held, lasts, 0)
-        self[byte] = result = (done, after)
+            # the token before only matters while a token may start right after it
+            done, after = (), owner.state(self.emitted if meet and meet[0] == 0 else -2 - lasts[0][0], held, lasts, 0, keep)
+        result = (done, after)
+        if keep:
+            self[byte] = result
         return result
 
 
@@ -167,25 +182,29 @@ class Encoder:
         self.merges, self.split = Merges(ranks), regex.compile(pattern).findall
         self.states: dict[tuple, State] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.start = State(self, -1, b"", ())
 
-    def state(self, emitted: int, held: bytes, lasts: tuple, cut: int) -> State:
-        key = (emitted, held)  # these decide ``lasts`` wherever a later token may start
+    def state(self, emitted: int, held: bytes, lasts: tuple, cut: int, keep: bool) -> State:
+        key = (emitted, held) if emitted >= -1 else (lasts, held)  # these decide ``lasts`` wherever a later token may start
         known = self.states.get(key)
         if known is None:
-            if len(self.states) >= MAX_STATES:  # running pieces keep the states they stand on
-                self.states.clear()
-                self.start.clear()
             own = tuple((t, s - cut) for t, s in lasts[cut:]) if cut else lasts
-            known = self.states[key] = State(self, emitted, held, own)
+            known = State(self, emitted, held, own)
+            if keep:
+                self.states[key] = known
         return known
 
     def piece(self, text: str) -> tuple[int, ...]:
-        state, out = self.start, []
+        state, out, keep = self.start, [], len(self.states) < MAX_STATES
         for byte in text.encode("utf-8", "surrogatepass"):
-            done, state = state[byte]
-            if done:
-                out += done
+            known = state.get(byte)
+            if known is None:
+                known = state.step(byte, keep)
+                keep = False  # one new transition a piece: the table grows where pieces pass often
+            if known[0]:
+                out += known[0]
+            state = known[1]
         return (*out, *state.flush())
 
     def encode(self, text: str) -> list[int]:
@@ -193,9 +212,12 @@ class Encoder:
         for piece in self.split(text):
             ids = get(piece)
             if ids is None:
-                ids = self.piece(piece)
-                if len(piece) <= 40:  # the transducer's results for short pieces are kept
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = self.piece(piece)
+                if len(piece) <= 40:  # the transducer's results for short pieces are kept for a while
                     if len(known) >= MAX_PIECES:
+                        self.older = dict(known)
                         known.clear()
                     known[piece] = ids
             out += ids
