@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -261,11 +262,16 @@ def is_suspicious(t, kind) -> Column:
 def suffix_tokens(source, translated) -> Column:
     """Trailing words of the translation that are in the source too, up to the first other or protected word."""
     own = F.array_distinct(F.transform(find_all(source, "[A-Za-z][A-Za-z.-]*"), table_token))
-    stop = F.transform(F.reverse(ascii_tokens(translated)), lambda x: among(F.btrim(x, F.lit(L.EDGE_PUNCTUATION)), L.PROTECTED_ACRONYMS) | ~F.array_contains(own, table_token(x)) | (table_token(x) == ""))
-    tokens = ascii_tokens(translated)
-    n = F.coalesce(F.array_position(stop, True) - 1, F.lit(-1))
-    n = F.when(n < 0, F.size(tokens)).otherwise(n).cast("int")
-    return F.slice(tokens, F.size(tokens) - n + 1, n)
+
+    def stops(x: Column, known: Column) -> Column:
+        return among(F.btrim(x, F.lit(L.EDGE_PUNCTUATION)), L.PROTECTED_ACRONYMS) | ~F.array_contains(known, table_token(x)) | (table_token(x) == "")
+
+    def cut(s: Column) -> Column:
+        first = F.array_position(F.transform(F.reverse(s["tokens"]), lambda x: stops(x, s["own"])), True)
+        n = F.when(first == 0, F.size(s["tokens"])).otherwise(first - 1).cast("int")
+        return F.slice(s["tokens"], F.size(s["tokens"]) - n + 1, n)
+
+    return let(F.struct(ascii_tokens(translated).alias("tokens"), own.alias("own")), cut)
 
 
 def suffix_prefix(translated, tokens: Column) -> Column:
@@ -318,15 +324,19 @@ CELL_HINTS = {
 
 def clean_cell(source, translated) -> Column:
     """Takes English words that the source has off the end of a table cell, never the last one."""
-    text = normalize(translated)
     own = F.transform(find_all(source, "[A-Za-z][A-Za-z-]*"), table_token)
-    words = words_split(text)
-    keeps = F.transform(F.reverse(words), lambda w: (table_token(w) == "") | among(F.btrim(w, F.lit(L.EDGE_PUNCTUATION)), L.CELL_PROTECTED)
-                        | ~F.array_contains(own, table_token(w)) | ~among(table_token(w), L.CELL_RESIDUALS))
-    first = F.coalesce(F.array_position(keeps, True) - 1, F.lit(-1))
-    n = F.least(F.when(first < 0, F.size(words)).otherwise(first), F.size(words) - 1).cast("int")
-    cut = F.trim(F.rtrim(F.array_join(F.slice(words, 1, F.greatest(F.size(words) - n, F.lit(0))), " "), F.lit(" ,;:-")))
-    return F.when((text == "") | text.startswith("[FR MOCK]") | (n <= 0), text).otherwise(cut)
+
+    def cut(s: Column) -> Column:
+        words = s["words"]
+        keeps = F.transform(F.reverse(words), lambda w: (table_token(w) == "") | among(F.btrim(w, F.lit(L.EDGE_PUNCTUATION)), L.CELL_PROTECTED)
+                            | ~F.array_contains(s["own"], table_token(w)) | ~among(table_token(w), L.CELL_RESIDUALS))
+        first = F.array_position(keeps, True)
+        n = F.least(F.when(first == 0, F.size(words)).otherwise(first - 1), F.size(words) - 1).cast("int")
+        left = F.trim(F.rtrim(F.array_join(F.slice(words, 1, F.greatest(F.size(words) - n, F.lit(0))), " "), F.lit(" ,;:-")))
+        return F.when((s["text"] == "") | s["text"].startswith("[FR MOCK]") | (n <= 0), s["text"]).otherwise(left)
+
+    text = normalize(translated)
+    return let(F.struct(text.alias("text"), words_split(text).alias("words"), own.alias("own")), cut)
 
 
 def cell_needs_review(source, translated) -> Column:
@@ -345,8 +355,6 @@ def text_similarity(a, b) -> Column:
 
     The matching-block ratio has no built-in form; batches of the pairs that need it go through Arrow.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

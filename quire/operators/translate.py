@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ def called(client: Callable[[str], str], retries: int = 1, fallback: Callable[[s
     Errors are tried again ``retries`` times; one that says 429 stops the trying as ``RATE_LIMITED``; others use
     ``fallback`` where there is one and are ``TRANSLATION_FAILED`` else.
     """
-    import pandas as pd
-
     def one(text: str) -> tuple[str | None, str | None, str | None]:
         for attempt in range(retries + 1):
             try:

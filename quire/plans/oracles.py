@@ -184,3 +184,109 @@ ORACLE_SQL: dict[str, str] = {
     "neighbor_context": "WITH " + BLOCKS + "," + SECTIONS + f"""SELECT doc_id, pos, coalesce(lag(source_text) OVER w, '') AS previous_text, coalesce(lead(source_text) OVER w, '') AS next_text
         FROM sec WHERE type IN {TYPES} AND trim(source_text) <> '' WINDOW w AS (PARTITION BY doc_id, section_no ORDER BY pos)""",
 }
+
+
+def deco(t: str) -> str:
+    return f"regexp_extract_all({t}, '[A-Za-z]+')"
+
+
+NORM = norm("source_text")
+ONLY_BLOCKS = "WITH " + BLOCKS
+WORD4 = f"list_filter(string_split({NORM}, ' '), lambda x: x <> '')"
+STATE = rf"""CASE WHEN type = 'unknown' AND trim(source_text) <> '' THEN 'unsupported_text_fragment' WHEN type NOT IN {TYPES} THEN '' WHEN
+  (length(s) < 3 OR len({deco('s')}) = 0 OR (len({deco('s')}) <= 3 AND len(list_filter({deco('lower(s)')}, lambda x: x NOT IN {words(L.QUESTION_WORDS)})) = 0)
+   OR (type NOT IN ('title', 'caption', 'footnote', 'list_item') AND len({deco('s')}) <= 2 AND NOT regexp_matches(s, '[.!?:;]'))) THEN 'suspicious_fragment'
+  WHEN trim(translated_text) = '' THEN 'suspicious_translation' ELSE '' END"""
+STATED = (
+    SCORED + rf""",
+ss AS (SELECT *, {STATE} AS warning FROM scored),
+st AS (SELECT *, CASE WHEN warning <> '' THEN 'needs_review' WHEN type NOT IN {TYPES} THEN 'pending' ELSE 'translated' END AS status, printf('batch_%03d', (page_number - 1) // 2 + 1) AS batch_id FROM ss),
+pc AS (SELECT doc_id, max(page_number) AS page_count FROM blocks GROUP BY 1),
+pb AS (SELECT doc_id, page_count, unnest(range(1, page_count + 1, 2)) AS page_start FROM pc),
+plan AS (SELECT doc_id, printf('batch_%03d', (page_start - 1) // 2 + 1) AS batch_id, CAST(page_start AS INTEGER) AS page_start, CAST(least(page_start + 1, page_count) AS INTEGER) AS page_end FROM pb),
+fw AS (SELECT doc_id, batch_id, string_agg(warning, ',' ORDER BY p) AS w FROM (SELECT doc_id, batch_id, warning, min(pos) AS p FROM st WHERE warning <> '' GROUP BY ALL) GROUP BY ALL),
+bs AS (SELECT doc_id, batch_id, count(*) AS blocks_count, count(*) FILTER (trim(translated_text) <> '') AS translated_blocks_count,
+    CASE WHEN bool_or(status = 'needs_review') THEN 'needs_review' ELSE 'completed' END AS status FROM st GROUP BY ALL)
+"""
+)
+GRID = r"""
+tl AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(text, ' | ')),
+tu AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM tl),
+tr0 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS row_index FROM tu WHERE contains(line, ' | ')),
+tc AS (SELECT doc_id, row_index, string_split(line, ' | ') AS cs FROM tr0),
+cells AS (SELECT doc_id, CAST(row_index AS INTEGER) AS row_index, CAST(unnest(range(len(cs))) AS INTEGER) AS column_index, unnest(cs) AS source_text FROM tc),
+box AS (SELECT *, 72.0::DOUBLE + 60 * column_index AS x0, 72.0::DOUBLE + 60 * column_index + greatest(8.0, least(50.0, 5.0 * length(source_text)))::DOUBLE AS x1, 100.0::DOUBLE + 24 * row_index AS y0 FROM cells),
+grid AS (SELECT r.doc_id, 1 AS table_no, r.row_index, c.column_index, coalesce(x.source_text, '') AS source_text, trim(coalesce(x.source_text, '')) = '' AS empty_cell
+  FROM (SELECT DISTINCT doc_id, row_index FROM cells) r JOIN (SELECT DISTINCT doc_id, column_index FROM cells) c USING (doc_id) LEFT JOIN cells x ON x.doc_id = r.doc_id AND x.row_index = r.row_index AND x.column_index = c.column_index),
+cols AS (SELECT doc_id, column_index, min(x0) AS x0, max(x1) AS x1, count(*) AS support, count(DISTINCT round_even(y0 / 8, 0)) AS vertical_repetition, (min(x0) + max(x1)) / 2 AS center FROM box GROUP BY ALL)
+"""
+EVENTS = "ev AS (SELECT user_id AS doc_id, event_id AS job_id, ts, CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status FROM events)"
+PLAIN = r"trim(regexp_replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+OVERLAY = (
+    SCORED + rf""",
+ov AS (SELECT *, type IN {TYPES} AND trim(source_text) <> '' AND x1 - x0 >= 2 AS mask,
+    type IN {TYPES} AND trim(translated_text) <> '' AND NOT list_contains(warnings, 'english_residual') AND tq >= 0.35 AND
+      ((type = 'title' AND len(string_split(s, ' ')) <= 4 AND (size >= 12 OR false)) OR (cat NOT IN ('probable_fragment', 'semantic_noise') AND conf >= 0.45)) AS wr,
+    round(greatest(x0 - 1.5, 0), 2) AS bx0, round(greatest(y0 - 1.5, 0), 2) AS by0, round(least(x1 + 1.5, 595), 2) AS bx1, round(least(y1 + 1.5, 842), 2) AS by1 FROM scored),
+ops AS (SELECT doc_id, pos, size, 'mask' AS op, '' AS text, '' AS warning, bx0 AS x0, by0 AS y0, bx1 AS x1, by1 AS y1 FROM ov WHERE mask
+  UNION ALL SELECT doc_id, pos, size, 'write', trim(translated_text), '', bx0, by0, bx1, by1 FROM ov WHERE wr
+  UNION ALL SELECT doc_id, pos, size, 'fallback', CASE WHEN trim(translated_text) <> '' THEN trim(translated_text) ELSE '[review]' END,
+    CASE WHEN trim(translated_text) <> '' THEN 'overlay_written_with_review' ELSE 'masked_without_translation' END, bx0, by0, bx1, by1 FROM ov WHERE mask AND NOT wr)
+"""
+)
+
+ORACLE_SQL |= {
+    "normalized_text": ONLY_BLOCKS + f"SELECT doc_id, pos, {NORM} AS normal, {edge('lower(' + NORM + ')')} AS noise, lower({NORM}) AS semantic FROM blocks",
+    "word_counts": ONLY_BLOCKS + f"""SELECT doc_id, pos, {n_words('source_text')} AS words, len({ASCII.format('source_text')}) AS ascii_words,
+        CAST(greatest(1, ceil(n / greatest(floor(120.0 / (size * 0.52)), 1))) AS BIGINT) AS lines FROM blocks""",
+    "suspicious_fragments": STATED + "SELECT doc_id, pos, type FROM st WHERE " + STATE.split("WHEN\n  ")[1].split(" THEN 'suspicious_fragment'")[0],
+    "decorative_noise": ONLY_BLOCKS + f"""SELECT doc_id, pos FROM (SELECT *, {NORM} AS s, {deco(NORM)} AS w FROM blocks) WHERE type = 'unknown' AND CASE WHEN s = '' THEN true WHEN len(w) = 0 THEN length(s) <= 3
+        ELSE (len(w) <= 4 AND NOT regexp_matches(s, '[.!?;:]$') AND NOT regexp_matches(s, '\\d') AND len(list_filter(w, lambda x: length(x) > 6)) = 0 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.6 * len(w))
+          OR (length(s) <= 2 AND NOT regexp_matches(s, '\\d')) END""".replace("\\\\", "\\"),
+    "too_many_english": SCORED + f"""SELECT doc_id, pos FROM (SELECT *, regexp_extract_all(lower(translated_text), '[A-Za-z]+') AS w FROM scored)
+        WHERE len(w) >= 6 AND len(list_filter(w, lambda x: x IN {words(L.COMMON_ENGLISH)})) >= 3 AND len(list_filter(w, lambda x: x IN {words(L.COMMON_ENGLISH)})) >= 0.25 * len(w)""",
+    "translation_states": STATED + "SELECT doc_id, pos, status, warning FROM st",
+    "candidate_dedup": ONLY_BLOCKS + f"""SELECT doc_id, pos, source_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, regexp_replace(regexp_replace(lower({NORM}), '\\bpage\\s+\\d+\\b', 'page <n>', 'g'), '\\b\\d+\\b', '<n>', 'g'),
+        round_even(y0 / 3, 0) ORDER BY pos) AS rn FROM blocks) WHERE rn = 1 OR {NORM} = ''""".replace("\\\\", "\\"),
+    "contained_fragments_anti": ONLY_BLOCKS + f""", nb AS (SELECT *, lower({NORM}) AS m, {WORD4} AS ws FROM blocks)
+        SELECT doc_id, pos, source_text FROM nb a WHERE NOT (len(a.ws) BETWEEN 1 AND 3 AND length(a.m) <= 36 AND EXISTS (SELECT 1 FROM nb b WHERE b.doc_id = a.doc_id AND b.page_number = a.page_number AND b.pos <> a.pos
+          AND contains(b.m, a.m) AND length(b.m) > length(a.m) + 5 AND greatest(b.y0 - a.y1, a.y0 - b.y1, 0) <= 12))""",
+    "overlap_pairs": ONLY_BLOCKS + """, cp AS (SELECT *, 0 AS copy FROM blocks UNION ALL SELECT * REPLACE (x0 + 0.2 AS x0, y0 + 0.2 AS y0, x1 + 0.2 AS x1, y1 + 0.2 AS y1), 1 FROM blocks WHERE doc_id % 10 = 0)
+        SELECT a.doc_id, a.page_number, a.pos, a.copy, b.pos AS other_pos, b.copy AS other_copy FROM cp a JOIN cp b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND (a.pos, a.copy) < (b.pos, b.copy)
+        WHERE greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) > 0.9 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))""",
+    "repeating_artifacts": ONLY_BLOCKS + """, pg AS (SELECT DISTINCT doc_id, page_number FROM blocks), n AS (SELECT doc_id, count(*) AS c FROM pg GROUP BY 1)
+        SELECT doc_id, page_number, CASE WHEN c >= 2 THEN 'header' ELSE 'unknown' END AS type, CASE WHEN c >= 2 THEN 'repeating_header' END AS role, source AS source_text FROM pg JOIN n USING (doc_id) JOIN documents USING (doc_id)
+        UNION ALL SELECT doc_id, page_number, CASE WHEN c >= 2 THEN 'footer' ELSE 'unknown' END, CASE WHEN c >= 2 THEN 'repeating_footer' END, 'Page ' || page_number FROM pg JOIN n USING (doc_id)""",
+    "page_batches": STATED + "SELECT * FROM plan",
+    "batch_range_join": STATED + "SELECT p.doc_id, p.batch_id, count(*) AS n, min(b.page_number) AS first_page, max(b.page_number) AS last_page FROM plan p JOIN blocks b ON b.doc_id = p.doc_id AND b.page_number BETWEEN p.page_start AND p.page_end GROUP BY ALL",
+    "batch_status": STATED + "SELECT doc_id, batch_id, blocks_count, translated_blocks_count, status, coalesce(w, '') AS warnings FROM bs LEFT JOIN fw USING (doc_id, batch_id)",
+    "batch_summary": STATED + "SELECT doc_id, count(*) AS total_batches, count(*) FILTER (status = 'completed') AS completed_batches, count(*) FILTER (status = 'failed') AS failed_batches FROM bs GROUP BY 1",
+    "batch_progress": STATED + "SELECT doc_id, CAST(CASE WHEN count(*) FILTER (status = 'completed') = count(*) THEN 90 ELSE 20 + 60 * count(*) FILTER (status = 'completed') // count(*) END AS INTEGER) AS progress FROM bs GROUP BY 1",
+    "resume_pending": STATED + "SELECT doc_id, batch_id, page_start, page_end FROM plan ANTI JOIN (SELECT * FROM bs WHERE status = 'completed') USING (doc_id, batch_id)",
+    "merge_batches": ONLY_BLOCKS + """SELECT doc_id, pos, page_number, printf('block_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y0, x0, pos)) AS block_id,
+        CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, pos) AS INTEGER) AS reading_order FROM blocks""",
+    "job_latest_status": "WITH " + EVENTS + " SELECT doc_id, arg_max(status, (ts, job_id)) AS status, arg_max(job_id, (ts, job_id)) AS job_id, count(*) AS n_events FROM ev GROUP BY 1",
+    "job_conflicts": "WITH " + EVENTS + """ SELECT doc_id, job_id, before, 'PROCESS_ALREADY_RUNNING' AS code FROM (SELECT *, lag(status) OVER (PARTITION BY doc_id ORDER BY ts, job_id) AS before FROM ev)
+        WHERE status = 'queued' AND before IN ('queued', 'processing')""",
+    "page_limits": ONLY_BLOCKS + "SELECT doc_id, max(page_number) AS page_count, CASE WHEN max(page_number) > 10 THEN 'TOO_MANY_PAGES' WHEN max(length(trim(source_text))) = 0 THEN 'NO_SELECTABLE_TEXT' ELSE '' END AS code FROM blocks GROUP BY 1",
+    "translation_gates": STATED + f"""SELECT doc_id, count(*) FILTER (type IN {TYPES}) AS n, count(*) FILTER (type IN {TYPES} AND trim(translated_text) <> '') AS done,
+        CASE WHEN count(*) FILTER (type IN {TYPES} AND trim(translated_text) <> '') = 0 THEN 'TRANSLATION_NOT_READY'
+          WHEN count(*) FILTER (type IN {TYPES} AND trim(translated_text) = '' AND status <> 'needs_review') > 0.2 * count(*) FILTER (type IN {TYPES}) THEN 'TRANSLATION_INCOMPLETE' ELSE 'READY' END AS gate FROM st GROUP BY 1""",
+    "overlay_ops": OVERLAY + "SELECT doc_id, pos, op, text, warning, x0, y0, x1, y1 FROM ops",
+    "overlay_fit": OVERLAY + """SELECT doc_id, pos, op, CAST(coalesce(list_max(f), 7) AS INTEGER) AS font_size, len(f) = 0 AS overflow FROM (SELECT *, list_filter(range(7, CAST(trunc(greatest(least(size, 18), 7)) AS BIGINT) + 1),
+        lambda z: (CASE WHEN x1 <= x0 THEN 999 ELSE greatest(1, ceil(CAST(length(text) AS DOUBLE) / greatest(floor((x1 - x0) / (z * 0.52)), 1))) END) * z * 1.2 <= y1 - y0) AS f FROM ops WHERE op <> 'mask')""",
+    "table_grid": "WITH " + GRID + "SELECT * FROM grid",
+    "table_diagnostics": "WITH " + GRID + """SELECT doc_id, table_no, count(DISTINCT row_index) AS rows, count(DISTINCT column_index) AS columns, count(*) AS expected, count(*) FILTER (NOT empty_cell) AS mapped,
+        coalesce(string_agg(row_index || ':' || column_index, ',' ORDER BY row_index, column_index) FILTER (empty_cell), '') AS missing FROM grid GROUP BY ALL""",
+    "table_confidence": "WITH " + GRID + f""", wd AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, row_index, count(*) AS w FROM cells GROUP BY ALL) GROUP BY ALL),
+        us AS (SELECT doc_id, max(k) AS usual, CAST(sum(k) AS BIGINT) AS n_rows FROM wd GROUP BY 1), gg AS (SELECT doc_id, count(*) AS n, count(*) FILTER (empty_cell) AS empty, count(DISTINCT column_index) AS n_columns FROM grid GROUP BY 1),
+        rp AS (SELECT doc_id, count(*) FILTER (support >= 2) AS rep FROM cols GROUP BY 1)
+        SELECT doc_id, 1 AS table_no, n_rows, n_columns, CASE WHEN n_rows < 2 OR n_columns < 2 THEN 0.0 ELSE {clamp('0.25::DOUBLE * usual / n_rows + 0.22::DOUBLE * (1 - empty / n) + 0.23::DOUBLE * rep / n_columns + 0.3::DOUBLE * (1 - least(0.45::DOUBLE, 0.8::DOUBLE * empty / n) - least(0.3::DOUBLE, 0.5::DOUBLE * empty / n))')} END AS confidence
+        FROM gg JOIN us USING (doc_id) JOIN rp USING (doc_id)""",
+    "column_boundaries": "WITH " + GRID + """SELECT doc_id, column_index, support, vertical_repetition, lb AS left_boundary, rb AS right_boundary, rb - lb AS logical_width FROM (SELECT *, coalesce((lag(center) OVER w + center) / 2, x0 - 4) AS lb,
+        coalesce((lead(center) OVER w + center) / 2, x1 + 10) AS rb FROM cols WINDOW w AS (PARTITION BY doc_id ORDER BY x0, column_index))""",
+    "web_blocks": f"""WITH p AS (SELECT page_id, list_concat(list_concat([{{'type': 'title', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1)], [{{'type': 'paragraph', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<p>([^<]*)</p>', 1)]),
+        list_concat([{{'type': 'list_item', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)], [{{'type': 'footer', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<footer>(.*?)</footer>', 1)])) AS b FROM pages)
+        SELECT page_id, CAST(pos AS INTEGER) AS pos, b.type AS type, {PLAIN.format('b.s')} AS source_text FROM (SELECT page_id, unnest(range(len(b))) AS pos, unnest(b) AS b FROM p)""",
+    "label_agreement": REPORT + "SELECT recommendation, quality, toxic, count(*) AS n FROM report JOIN labels USING (doc_id) GROUP BY ALL",
+}

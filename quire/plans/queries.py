@@ -89,3 +89,242 @@ def section_lookup(spark, sf_dir):
 
 def neighbor_context(spark, sf_dir):
     return sections.neighbours(blocks(spark, sf_dir)).select("doc_id", "pos", "previous_text", "next_text")
+
+
+# Text functions, row by row.
+
+
+def normalized_text(spark, sf_dir):
+    return blocks(spark, sf_dir).select("doc_id", "pos", X.normalize("source_text").alias("normal"), X.noise_form("source_text").alias("noise"), X.semantic_form("source_text").alias("semantic"))
+
+
+def repetition_keys(spark, sf_dir):
+    return blocks(spark, sf_dir).select("doc_id", "pos", X.repetition_key("source_text").alias("key"))
+
+
+def word_counts(spark, sf_dir):
+    return blocks(spark, sf_dir).select("doc_id", "pos", X.word_count("source_text").cast("long").alias("words"), F.size(X.ascii_words("source_text")).cast("long").alias("ascii_words"), X.line_count("source_text", F.lit(120.0), "size").alias("lines"))
+
+
+def suspicious_fragments(spark, sf_dir):
+    return blocks(spark, sf_dir).where(X.is_suspicious("source_text", "type")).select("doc_id", "pos", "type")
+
+
+def decorative_noise(spark, sf_dir):
+    return blocks(spark, sf_dir).where(X.is_decorative("source_text", "type")).select("doc_id", "pos")
+
+
+def noise_blocks(spark, sf_dir):
+    return blocks(spark, sf_dir).where(X.is_noise("source_text", "type", "size")).select("doc_id", "pos", "type")
+
+
+def residual_detect(spark, sf_dir):
+    return translated(spark, sf_dir).where(X.has_residual("translated_text")).select("doc_id", "pos")
+
+
+def too_many_english(spark, sf_dir):
+    return translated(spark, sf_dir).where(X.too_many_english("translated_text")).select("doc_id", "pos")
+
+
+def protected_tokens(spark, sf_dir):
+    found = F.array_join(X.protected_tokens("source_text"), " ")
+    return blocks(spark, sf_dir).select("doc_id", "pos", found.alias("tokens")).where("tokens <> ''")
+
+
+def summaries(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", X.summary("text").alias("summary"), X.tone("text").alias("tone"), X.audience("lang").alias("audience"))
+
+
+def proper_nouns(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.proper_nouns("text"), "; ").alias("names"))
+
+
+def translation_states(spark, sf_dir):
+    s = translate.translation_status("type", "source_text", "translated_text")
+    return translated(spark, sf_dir).select("doc_id", "pos", s.alias("s")).select("doc_id", "pos", "s.status", F.coalesce("s.warning", F.lit("")).alias("warning"))
+
+
+def document_context(spark, sf_dir):
+    return translate.document_context(blocks(spark, sf_dir))
+
+
+# Layout.
+
+
+def repeating_artifacts(spark, sf_dir):
+    from quire.operators.layout import repeated_edges
+
+    pages = blocks(spark, sf_dir).select("doc_id", "page_number").distinct().join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    edge = lambda text, y0: pages.select("doc_id", "page_number", text.alias("source_text"), F.lit(y0).alias("y0"), F.lit(y0 + 12).alias("y1"), F.lit("unknown").alias("type"))
+    both = edge(F.col("source"), 20.0).unionByName(edge(F.format_string("Page %d", "page_number"), 800.0))
+    return repeated_edges(both, 842.0).select("doc_id", "page_number", "type", "role", "source_text")
+
+
+def candidate_dedup(spark, sf_dir):
+    from quire.operators.layout import distinct_lines
+
+    return distinct_lines(blocks(spark, sf_dir)).select("doc_id", "pos", "source_text")
+
+
+def contained_fragments_anti(spark, sf_dir):
+    from quire.operators.layout import drop_contained
+
+    return drop_contained(blocks(spark, sf_dir)).select("doc_id", "pos", "source_text")
+
+
+def overlap_pairs(spark, sf_dir):
+    from quire.operators.layout import doubled_layer, overlapping_pairs
+
+    return overlapping_pairs(doubled_layer(blocks(spark, sf_dir))).select("doc_id", "page_number", "pos", "copy", "other_pos", "other_copy")
+
+
+def block_dedup(spark, sf_dir):
+    from quire.operators.layout import deduplicated, doubled_layer
+
+    return deduplicated(doubled_layer(blocks(spark, sf_dir))).select("doc_id", "pos", "copy")
+
+
+def line_merge(spark, sf_dir):
+    from quire.operators.layout import merged_lines
+
+    return merged_lines(blocks(spark, sf_dir)).select("doc_id", "page_number", "pos", "type", "source_text", "lines", "y0", "y1")
+
+
+def semantic_merge(spark, sf_dir):
+    from quire.operators.layout import continuations
+
+    return continuations(blocks(spark, sf_dir))
+
+
+# Batches and jobs.
+
+
+def _page_counts(spark, sf_dir):
+    return blocks(spark, sf_dir).groupBy("doc_id").agg(F.max("page_number").alias("page_count"))
+
+
+def page_batches(spark, sf_dir):
+    return batches.page_batches(_page_counts(spark, sf_dir), 2)
+
+
+def batch_range_join(spark, sf_dir):
+    return batches.with_batch(blocks(spark, sf_dir), 2).groupBy("doc_id", "batch_id").agg(F.count("*").alias("n"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))
+
+
+def _stated(spark, sf_dir):
+    s = translate.translation_status("type", "source_text", "translated_text")
+    rows = translated(spark, sf_dir).withColumn("s", s)
+    return rows.withColumns({"status": F.col("s.status"), "warning": F.col("s.warning"), "warnings": F.array_compact(F.array("s.warning"))})
+
+
+def batch_status(spark, sf_dir):
+    return batches.batch_status(_stated(spark, sf_dir), 2)
+
+
+def batch_summary(spark, sf_dir):
+    return batches.batch_summary(batches.batch_status(_stated(spark, sf_dir), 2))
+
+
+def batch_progress(spark, sf_dir):
+    return batches.progress(batches.batch_status(_stated(spark, sf_dir), 2))
+
+
+def resume_pending(spark, sf_dir):
+    return batches.open_batches(batches.page_batches(_page_counts(spark, sf_dir), 2), batches.batch_status(_stated(spark, sf_dir), 2)).select("doc_id", "batch_id", "page_start", "page_end")
+
+
+def merge_batches(spark, sf_dir):
+    b = blocks(spark, sf_dir)
+    return batches.merge([b.where("page_number % 2 = 1"), b.where("page_number % 2 = 0")]).select("doc_id", "pos", "page_number", "block_id", "reading_order")
+
+
+def job_latest_status(spark, sf_dir):
+    return jobs.latest(jobs.log(read(spark, sf_dir, "events")))
+
+
+def job_conflicts(spark, sf_dir):
+    return jobs.conflicts(jobs.log(read(spark, sf_dir, "events")))
+
+
+def page_limits(spark, sf_dir):
+    from quire.sources.spans import page_limits as limits
+
+    return limits(blocks(spark, sf_dir)).select("doc_id", "page_count", F.coalesce("code", F.lit("")).alias("code"))
+
+
+# Rendering.
+
+
+def translation_gates(spark, sf_dir):
+    from quire.operators.render import gates
+
+    return gates(_stated(spark, sf_dir))
+
+
+def document_ops(spark, sf_dir):
+    from quire.operators.render import document_ops as ops
+
+    return ops(translated(spark, sf_dir)).select("doc_id", "seq", "op", "text", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def overlay_ops(spark, sf_dir):
+    from quire.operators.render import overlay_ops as ops
+
+    return ops(scored(spark, sf_dir)).select("doc_id", "pos", "op", "text", F.coalesce("warning", F.lit("")).alias("warning"), "x0", "y0", "x1", "y1")
+
+
+def overlay_fit(spark, sf_dir):
+    from quire.operators.render import fitted, overlay_ops as ops
+
+    return fitted(ops(scored(spark, sf_dir)).where("op <> 'mask'")).select("doc_id", "pos", "op", "font_size", "overflow")
+
+
+# Tables and web pages.
+
+
+def _cells(spark, sf_dir):
+    from quire.operators.tables import piped_cells
+
+    return piped_cells(read(spark, sf_dir, "documents"))
+
+
+def table_grid(spark, sf_dir):
+    from quire.operators.tables import grid
+
+    return grid(_cells(spark, sf_dir))
+
+
+def table_confidence(spark, sf_dir):
+    from quire.operators.tables import confidence
+
+    return confidence(_cells(spark, sf_dir))
+
+
+def table_diagnostics(spark, sf_dir):
+    from quire.operators.tables import diagnostics
+
+    return diagnostics(_cells(spark, sf_dir))
+
+
+def column_boundaries(spark, sf_dir):
+    from quire.operators.tables import boundaries
+
+    return boundaries(_cells(spark, sf_dir)).select("doc_id", "column_index", "support", "vertical_repetition", "left_boundary", "right_boundary", "logical_width")
+
+
+def row_groups(spark, sf_dir):
+    from quire.operators.tables import row_groups as groups
+
+    return groups(_cells(spark, sf_dir))
+
+
+def web_blocks(spark, sf_dir):
+    from quire.sources.adapters import web_blocks as blocks_of
+
+    return blocks_of(read(spark, sf_dir, "pages"))
+
+
+def label_agreement(spark, sf_dir):
+    """How recommendations fall on labelled documents."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return quality_report(spark, sf_dir).join(labels, "doc_id").groupBy("recommendation", "quality", "toxic").agg(F.count("*").alias("n"))
