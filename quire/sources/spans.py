@@ -119,3 +119,9 @@ def write(df: DataFrame, path: str, replace: bool = True) -> None:
 
 def export_json(documents: DataFrame, path: str) -> None:
     documents.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``format("page_spans")`` known and lets page ranges reach its reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SpanSource)

@@ -12,7 +12,9 @@ from quire.operators.jobs import event_status
 
 
 def read_events(spark: SparkSession, folder: str, schema, files_a_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
+    """Event files as a stream; times without a zone are taken in the session's, as watermarks need an instant."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def status_windows(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
