@@ -85,5 +85,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def default_parallelism(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: What a join may send to every executor: rows, and bytes where rows are of unbounded size.
+SEND_ROWS, SEND_BYTES = 2_000_000, 16_000_000
+
+
+def join_checked(big: DataFrame, small: DataFrame, key: str, how: str, size: Column | None = None) -> DataFrame:
+    """Joins on ``key``; ``small`` is broadcast if it is within the bounds, which is measured first, else both are
+    shuffled, by a key that is no partitioning of either side, so that Spark may split large partitions.
+
+    ``small`` is read twice and should be a checkpoint; ``size`` is the bytes of a row where these are unbounded.
+    """
+    n, total = small.agg(F.count("*"), F.coalesce(F.sum(F.lit(16) if size is None else size), F.lit(0))).first()
+    if n <= SEND_ROWS and total <= 2 * SEND_BYTES:
+        return big.join(F.broadcast(small), key, how)
+    nothing = F.lit(b"") if dict(small.dtypes)[key] == "binary" else F.lit("")
+    other = small.withColumnRenamed(key, "__other")
+    joined = big.join(other, F.concat(F.col(key), nothing) == F.concat(F.col("__other"), nothing), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop("__other")

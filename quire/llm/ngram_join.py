@@ -4,13 +4,14 @@ A text is the set of its 5-word shingles (64-bit hashes).  Texts with equal sets
 are one node.  In each of ``RUNS`` runs a set of size s picks each of its tokens
 with chance 1/(SHARE*s), by a hash that all sets share; nodes that pick the same
 token meet in a bucket.  A bucket with more than ``SMALL`` nodes is split again by
-tokens picked the same way under its own hash, so pairs that share only a passage
-fall apart while near duplicates stay together; up to ``DEPTH`` levels, or until
-its nodes are alike, when splitting cannot separate them.  In buckets, pairs are
-pruned by 64-byte minwise sketches and checked exactly.  A pair of sets with
-Jaccard 0.8 or more shares a token in a run with probability 0.73 or more, at
-depth 4 0.52, so that ``RUNS`` of 14 find it with 0.99996 or more (depth 1:
-0.99999999).
+``BRANCHES`` more sampled token (the sets' least one under a further hash), so
+pairs that share only a passage fall apart while near duplicates stay together; up
+to ``DEPTH`` levels, or until its nodes are alike, when splitting cannot separate
+them.  In buckets, pairs are pruned by 64-byte minwise sketches and checked
+exactly.  A pair with Jaccard 0.8 or more shares 1.33 paths a run on average, 18 in
+``RUNS`` of 14, and stays together in a split with probability 0.8 or more: it is
+found with 0.99999999 where a bucket of it is small at once, and with 0.9999 where
+all of them are split three times.
 
 No pair is written out: a pair is counted in the least bucket that both nodes
 are in, a bucket gives each node its number of links and one link to the bucket's
@@ -37,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import checkpoint, map_rows, raw_texts
+from quire.llm.common import checkpoint, join_checked, map_rows, raw_texts
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # five words, similarity 4/5
-RUNS, SHARE, SMALL, DEPTH, BLOCK, SKETCH = 14, 0.6, 200, 4, 2048, 64
+RUNS, SHARE, SMALL, DEPTH, BLOCK, SKETCH, BRANCHES = 14, 0.6, 200, 4, 1024, 64, 1
 #: Nodes of a bucket are alike if two of them have the same least token with this probability.
 ALIKE = 0.3
 #: Pairs with fewer equal sketch values than this cannot have the similarity (binomial tail under 1e-7).
@@ -87,12 +88,14 @@ def picked(tokens: np.ndarray, seed: np.uint64) -> np.ndarray:
     return mix(values[chosen] ^ mix(np.array([seed], np.uint64)))
 
 
-def sketch(tokens: np.ndarray) -> bytes:
+def sampled(tokens: np.ndarray) -> tuple[bytes, list[int]]:
+    """The sketch of a set, and the tokens sampled for splitting."""
     least = np.full(SKETCH, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for k in range(0, len(tokens), 4096):
         values = tokens[k : k + 4096, None] * _MIN
         np.minimum(least, (values ^ (values >> np.uint64(32))).min(0), out=least)
-    return (mix(least) >> np.uint64(56)).astype(np.uint8).tobytes()
+    least = mix(least)
+    return (least >> np.uint64(56)).astype(np.uint8).tobytes(), signed(least[: BRANCHES * (DEPTH - 1)])
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -101,6 +104,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 LIGHT = T.StructType(
     [T.StructField("set_key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("least", T.LongType()), T.StructField("paths", T.ArrayType(T.LongType()))]
+    + [T.StructField("sketch", T.BinaryType()), T.StructField("picks", T.ArrayType(T.LongType()))]
 )
 
 
@@ -108,9 +112,12 @@ def light_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """For each document: ids of its text and set, the set's size and least token, and its first paths."""
 
     def run(texts) -> list:
-        columns: list[list] = [[], [], [], []]
+        columns: list[list] = [[], [], [], [], [], []]
         for raw in raw_texts(texts):
             tokens = shingles(raw)
+            marks, picks = sampled(tokens) if len(tokens) else (b"", [])
+            columns[4].append(marks)
+            columns[5].append(picks)
             paths = np.concatenate([picked(tokens, s) for s in _RUN]) if len(tokens) else tokens
             columns[0].append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
             columns[1].append(len(tokens))
@@ -149,24 +156,31 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def owned(path: int, lists: list[list[int]], side: np.ndarray, cross: bool) -> np.ndarray | None:
     """Which pairs of a bucket's nodes have no lesser bucket in common; None if there is no such pair."""
     n = len(lists)
+    free = side[:, None] != side[None, :] if cross else np.ones((n, n), bool)
+    np.fill_diagonal(free, False)
     before = [[p for p in own if p < path] for own in lists]
     flat = np.array([p for own in before for p in own], np.int64)
-    free = np.ones((n, n), bool)
     if len(flat):
-        kinds, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(n), [len(x) for x in before])
+        _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
         if counts.max() == n:
             return None
-        rows = np.repeat(np.arange(n), [len(x) for x in before])
-        common = counts[inverse] > 1
-        _, column = np.unique(inverse[common], return_inverse=True)
-        member = np.zeros((n, int(column.max(initial=-1)) + 1), np.float32)
-        member[rows[common], column] = 1
-        # few different memberships: compare these instead of all nodes
-        kind, which = np.unique(member, axis=0, return_inverse=True)
-        free = (kind @ kind.T == 0)[np.ix_(which.ravel(), which.ravel())]
-    np.fill_diagonal(free, False)
-    if cross:
-        free &= side[:, None] != side[None, :]
+        # lesser buckets, the most common first, 64 at a time as bits; only nodes with open pairs go on
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        shared = counts[inverse] > 1
+        rows, column = rows[shared], rank[inverse[shared]]
+        for k in range(0, int((counts > 1).sum()), 64):
+            part = (column >= k) & (column < k + 64)
+            bits = np.zeros(n, np.uint64)
+            np.bitwise_or.at(bits, rows[part], np.uint64(1) << (column[part] - k).astype(np.uint64))
+            has = np.flatnonzero(bits)
+            own = bits[has]
+            for j in range(0, len(has), 256):
+                at = has[j : j + 256]
+                free[at[:, None], has] &= (own[j : j + 256, None] & own) == 0
+            if k % 512 == 0 and not free.any():
+                return None
     return free if free.any() else None
 
 
@@ -175,9 +189,12 @@ def close_sizes(size: np.ndarray) -> np.ndarray:
 
 
 def alike_sketches(pairs: np.ndarray, sketches: np.ndarray) -> np.ndarray:
-    out = pairs.copy()
-    for k in range(0, len(pairs), 32):
-        out[k : k + 32] &= (sketches[k : k + 32, None] == sketches).sum(2) >= SKETCH_LEAST
+    out = np.zeros_like(pairs)
+    own = np.flatnonzero(pairs.any(1))  # nodes with open pairs
+    marks = sketches[own]
+    for k in range(0, len(own), 32):
+        alike = (marks[k : k + 32, None] == marks).sum(2, dtype=np.uint8) >= SKETCH_LEAST
+        out[own[k : k + 32, None], own] = pairs[own[k : k + 32, None], own] & alike
     return out
 
 
@@ -290,50 +307,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row for each document: ``doc_id``, ``class_id`` (the least id of its class), ``n_links``: other texts
     with similarity 0.8 or more, copies not counted, and ``text_key`` (MD5 of the text)."""
     light = checkpoint(light_rows(docs, doc_id, text))
-    texts = light.where("set_key IS NOT NULL").groupBy("text_key").agg(
-        F.min("doc_id").alias("first_id"), F.first("set_key").alias("set_key"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("paths").alias("paths")
-    )
-    nodes = texts.groupBy("set_key").agg(
-        F.min("text_key").alias("node"), F.min("first_id").alias("first_id"), F.count("*").alias("weight"), F.first("size").alias("size"),
-        F.first("least").alias("least"), F.first("paths").alias("paths"),
-    )
-    nodes = checkpoint(nodes)
-    level = sized(nodes.select(F.explode("paths").alias("path"), "node", "least"))
-    level = checkpoint(level)
-
-    # sets of the nodes that share a bucket, from their texts
-    wanted = level.select("node").distinct()
-    keyed = docs.select(F.col(f"`{text}`").alias("text"), text_key(F.col(f"`{text}`")).alias("node"))
-    chosen = keyed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    adds = T.StructType([T.StructField("tokens", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
-
-    def own_sets(column) -> list:
-        sets = [shingles(raw) for raw in raw_texts(column)]
-        return [[s.tobytes() for s in sets], [sketch(s) for s in sets]]
-
-    sets = checkpoint(map_rows(chosen, own_sets, ["text"], adds).select("node", "tokens", "sketch"))
-
-    finals = []
+    own = ["size", "least", "paths", "sketch", "picks"]
+    texts = light.where("set_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("set_key", *own)])
+    nodes = checkpoint(
+        texts.groupBy("set_key").agg(F.min("text_key").alias("node"), F.min("first_id").alias("first_id"), F.count("*").alias("weight"), *[F.first(c).alias(c) for c in own])
+    )
+    level, finals = checkpoint(sized(nodes.select(F.explode("paths").alias("path"), "node", "least"))), []
     for depth in range(1, DEPTH + 1):
         done = F.lit(True) if depth == DEPTH else (F.col("n") <= SMALL) | F.col("alike")
         finals.append(level.where(done).select("path", "node", "n"))
         if depth == DEPTH or level.where(~done).isEmpty():
             break
-        open_rows = level.where(~done).groupBy("node", "least").agg(F.collect_list("path").alias("open")).join(sets.select("node", "tokens"), "node")
-
-        def split(opened, tokens) -> list:
-            out = []
-            for paths, own in zip(opened.to_pylist(), tokens.to_pylist()):
-                own = np.frombuffer(own, np.uint64)
-                out.append(signed(np.unique(np.concatenate([picked(own, s) for s in np.array(paths, np.int64).view(np.uint64)]))))
-            return [out]
-
-        next_paths = map_rows(open_rows, split, ["open", "tokens"], T.StructType([T.StructField("next", T.ArrayType(T.LongType()))]))
-        level = checkpoint(sized(next_paths.select(F.explode("next").alias("path"), "node", "least")))
+        picks = F.slice("picks", BRANCHES * (depth - 1) + 1, BRANCHES)
+        open_rows = level.where(~done).join(nodes.select("node", picks.alias("next")), "node")
+        children = open_rows.select("node", "least", "path", F.posexplode("next").alias("k", "token"))
+        level = checkpoint(sized(children.select(F.xxhash64("path", "k", "token").alias("path"), "node", "least")))
     final = reduce(DataFrame.unionByName, finals)
 
     about = final.groupBy("node").agg(F.collect_list("path").alias("finals"))
-    info = nodes.select("node", "size", "weight").join(about, "node").join(sets.select("node", "sketch"), "node")
+    info = nodes.select("node", "size", "weight", "sketch").join(about, "node")
     # buckets over BLOCK nodes: one task for each pair of blocks
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     mine = F.pmod(F.xxhash64("node", "path"), blocks)
@@ -342,10 +334,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "path",
         (F.col("mine") > F.col("other")).cast("long").alias("side"), (F.col("mine") != F.col("other")).alias("cross"), "node",
     )
-    kept = by_bucket(
+    kept = checkpoint(by_bucket(
         rows.join(info.select("node", "size", "sketch", "finals"), "node").select("bucket", "path", "side", "cross", "node", "size", "sketch", "finals"),
         candidates, "bucket long, path long, side long, cross boolean, node binary",
-    )
+    ))
+
+    # sets of the nodes with candidates, from their texts
+    wanted = checkpoint(kept.select("node").distinct())
+    keyed = docs.select(F.col(f"`{text}`").alias("text"), text_key(F.col(f"`{text}`")).alias("node"))
+    chosen = join_checked(keyed, wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = map_rows(chosen, lambda column: [[shingles(raw).tobytes() for raw in raw_texts(column)]], ["text"], T.StructType([T.StructField("tokens", T.BinaryType())]))
     full = kept.join(info.select("node", "weight", "finals"), "node").join(sets.select("node", "tokens"), "node")
     links = checkpoint(by_bucket(full.select("bucket", "path", "side", "cross", "node", "weight", "finals", "tokens"), verified, "node binary, links long, root binary"))
 
