@@ -112,8 +112,8 @@ def has_sentence_shape(t: Column, words: Column) -> Column:
 def semantic_confidence(kind, x: Texts, size, section_title, occurrences, noise: Column, merged: Column, contained: Column | None = None) -> Column:
     """struct(score, category): early verdicts first, then points."""
     kind, s, t, n, words = col(kind), x.s, x.t, F.size(x.s_ascii), x.s_words
-    signal = token_overlap(s, F.coalesce(col(section_title), F.lit(""))) >= 0.15
     plausible, shape = is_plausible_title(x.s_ascii), has_sentence_shape(s, x.s_ascii)
+    signal = F.coalesce(token_overlap(s, F.nullif(col(section_title), F.lit(""))) >= 0.15, F.lit(False))
     mini = F.when(n == 0, True).when((kind == "title") & plausible, False).otherwise((n <= 1) | ((n <= 3) & ~shape))
     weak = ~((kind == "title") & plausible) & (words <= 3) & ~s.rlike("[.!?:;]$")
     title = F.lit(0.08) + more(col(size) >= 13, 0.18) + more(words.between(2, 8) & plausible, 0.08)
