@@ -290,3 +290,39 @@ ORACLE_SQL |= {
         SELECT page_id, CAST(pos AS INTEGER) AS pos, b.type AS type, {PLAIN.format('b.s')} AS source_text FROM (SELECT page_id, unnest(range(len(b))) AS pos, unnest(b) AS b FROM p)""",
     "label_agreement": REPORT + "SELECT recommendation, quality, toxic, count(*) AS n FROM report JOIN labels USING (doc_id) GROUP BY ALL",
 }
+
+TITLE_CASE = "regexp_matches({}, '^[A-Z][.-]*[a-z][a-z.-]*$')"
+BARE = r"regexp_replace({}, '[A-Za-z0-9_]*[^\x00-\x7F\x{{2000}}-\x{{206F}}¿¡«»°·][\p{{L}}\p{{N}}_]*', '0', 'g')"
+
+
+def once(xs: str) -> str:
+    """The list without repetitions, in the order of first occurrence."""
+    return f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
+
+
+NAME_PATTERN = r"\b(?:[A-Z][A-Za-z0-9&.-]+)(?:\s+[A-Z][A-Za-z0-9&.-]+)*\b"
+ORACLE_SQL |= {
+    "repetition_keys": ONLY_BLOCKS + rf"SELECT doc_id, pos, regexp_replace(regexp_replace(lower({NORM}), '\bpage\s+\d+\b', 'page <n>', 'g'), '\b\d+\b', '<n>', 'g') AS key FROM blocks",
+    "residual_detect": SCORED + rf"""SELECT doc_id, pos FROM (SELECT *, {tokens('translated_text')} AS z FROM scored) WHERE regexp_matches(lower(t), '\b({"|".join(L.RESIDUAL_PHRASES)})\b')
+        OR len(list_filter(z, lambda x, i: lower({edge('x')}) IN {words(L.RESIDUAL_WORDS)} AND NOT (x IN {words(L.PROTECTED_ACRONYMS)} OR (upper(x) = x AND lower(x) <> x AND length(x) > 1)
+          OR ({TITLE_CASE.format('x')} AND ((i > 1 AND {TITLE_CASE.format("coalesce(z[i - 1], '')")}) OR {TITLE_CASE.format("coalesce(z[i + 1], '')")}))))) > 0""",
+    "noise_blocks": ONLY_BLOCKS + rf""", nz AS (SELECT *, {NORM} AS s, regexp_extract_all({NORM}, '[A-Za-z][A-Za-z-]*') AS w FROM blocks)
+        SELECT doc_id, pos, type FROM nz WHERE CASE WHEN type IN ('image', 'header', 'footer', 'noise', 'list_item', 'caption', 'footnote') THEN false
+          WHEN type = 'title' AND ((size >= 14 AND length(s) >= 4) OR (len(w) BETWEEN 1 AND 5 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.8 * len(w) AND length(s) >= 8)) THEN false
+          WHEN s = '' OR {edge('lower(s)')} IN {words(L.NOISE_PHRASES)} THEN true
+          WHEN lower(s) IN {words(L.SHORT_TERMS)} OR (len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z][a-z]+$'))) = 0) THEN false
+          ELSE len(w) BETWEEN 1 AND 3 AND NOT regexp_matches(s, '[.!?:;]') AND NOT regexp_matches({BARE.format('s')}, '(?i)\b({L.VERBS})\b') AND NOT regexp_matches({BARE.format('s')}, '\b[A-Za-z]+(?:{L.VERB_ENDINGS})\b') END""",
+    "protected_tokens": ONLY_BLOCKS + rf""", pt AS (SELECT doc_id, pos, list_concat(list_concat(regexp_extract_all(source_text, 'https?://[^\s)]+'), regexp_extract_all(source_text, '\[[0-9A-Za-z]+\]')),
+        list_concat(regexp_extract_all(source_text, '\([0-9]+\)'), regexp_extract_all({BARE.format('source_text')}, '\b[A-Z]{{2,}}\b'))) AS z FROM blocks)
+        SELECT doc_id, pos, array_to_string({once('z')}, ' ') AS tokens FROM pt WHERE len(z) > 0""",
+    "summaries": rf"""SELECT doc_id, CASE WHEN length(s) <= 360 THEN s ELSE regexp_replace(left(s, 360), ' [^ ]*$', '') || '...' END AS summary,
+        CASE WHEN regexp_matches(lower(text), 'agreement|liability|clause') THEN 'juridique, precis et professionnel' WHEN regexp_matches(lower(text), 'api|system|configuration') THEN 'technique, clair et factuel'
+          WHEN regexp_matches(lower(text), 'abstract|methodology|results') THEN 'academique et formel' ELSE 'professionnel, naturel et clair' END AS tone,
+        'lecteurs professionnels francophones' AS audience FROM (SELECT *, {norm('text')} AS s FROM documents)""",
+    "proper_nouns": rf"""SELECT doc_id, array_to_string({once('z')}[1:20], '; ') AS names FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '{NAME_PATTERN}'),
+        lambda x: x NOT IN ('The', 'This', 'These', 'A', 'An', 'In', 'On', 'For', 'Section', 'Article')) AS z FROM documents)""",
+    "document_ops": SCORED + r""", dop AS (SELECT *, CASE type WHEN 'title' THEN 'heading' WHEN 'header' THEN 'discreet' WHEN 'footer' THEN 'discreet' WHEN 'list_item' THEN 'bullet' WHEN 'footnote' THEN 'footnote'
+          WHEN 'paragraph' THEN 'paragraph' WHEN 'unknown' THEN 'paragraph' END AS op, coalesce(nullif(trim(translated_text), ''), trim(source_text)) AS tx FROM scored),
+        dot AS (SELECT *, CASE WHEN type = 'list_item' THEN regexp_replace(tx, '^\s*([-*•‣▪]|\d+[.)]|[A-Za-z][.)])\s+', '') ELSE tx END AS text FROM dop WHERE op IS NOT NULL)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS seq, op, text, CASE WHEN op = 'heading' THEN CASE WHEN size >= 18 THEN 1 ELSE 2 END ELSE 0 END AS level FROM dot WHERE text <> ''""",
+}
