@@ -381,7 +381,7 @@ def preserve_tokens(translated, tokens: Column) -> Column:
 
 def proper_nouns(t) -> Column:
     """Capitalised phrases, single stop words left out, first seen first, at most twenty."""
-    found = find_all(t, r"\b(?:[A-Z][A-Za-z0-9&.-]+)(?:\s+[A-Z][A-Za-z0-9&.-]+)*\b")
+    found = find_all(t, r"(?U)\b(?:[A-Z][A-Za-z0-9&.-]+)(?:\s+[A-Z][A-Za-z0-9&.-]+)*\b")
     # Words that start sentences rather than names.
     stop = ["The", "This", "These", "A", "An", "In", "On", "For", "Section", "Article"]
     return F.slice(F.array_distinct(F.filter(found, lambda x: ~among(x, stop))), 1, 20)

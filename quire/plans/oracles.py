@@ -319,7 +319,7 @@ ORACLE_SQL |= {
         CASE WHEN regexp_matches(lower(text), 'agreement|liability|clause') THEN 'juridique, precis et professionnel' WHEN regexp_matches(lower(text), 'api|system|configuration') THEN 'technique, clair et factuel'
           WHEN regexp_matches(lower(text), 'abstract|methodology|results') THEN 'academique et formel' ELSE 'professionnel, naturel et clair' END AS tone,
         'lecteurs professionnels francophones' AS audience FROM (SELECT *, {norm('text')} AS s FROM documents)""",
-    "proper_nouns": rf"""SELECT doc_id, array_to_string({once('z')}[1:20], '; ') AS names FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '{NAME_PATTERN}'),
+    "proper_nouns": rf"""SELECT doc_id, array_to_string({once('z')}[1:20], '; ') AS names FROM (SELECT doc_id, list_filter(regexp_extract_all({BARE.format('text').replace("'0'", "'_'")}, '{NAME_PATTERN}'),
         lambda x: x NOT IN ('The', 'This', 'These', 'A', 'An', 'In', 'On', 'For', 'Section', 'Article')) AS z FROM documents)""",
     "document_ops": SCORED + r""", dop AS (SELECT *, CASE type WHEN 'title' THEN 'heading' WHEN 'header' THEN 'discreet' WHEN 'footer' THEN 'discreet' WHEN 'list_item' THEN 'bullet' WHEN 'footnote' THEN 'footnote'
           WHEN 'paragraph' THEN 'paragraph' WHEN 'unknown' THEN 'paragraph' END AS op, coalesce(nullif(trim(translated_text), ''), trim(source_text)) AS tx FROM scored),
