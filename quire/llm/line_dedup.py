@@ -8,8 +8,8 @@ The pages of a line are counted from lines made distinct inside their page
 first, so counting is one sum with partial sums on the map side: a line or host
 that holds a third of all rows arrives as one row for each map task.  A host
 has at most (lines a page / max_ratio) boilerplate lines, whatever its number of
-pages; these come back to the pages as one list for each host, by an outer join
-that Spark splits where a host is large.
+pages; these come back to the pages as one list for each host: broadcast if their
+measured size is within a bound, else by an outer join that Spark splits.
 
 Edge cases: lines compare without blanks at their ends; blank lines are never
 counted or dropped; a null text stays null and counts as a page of its host;
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import checkpoint, join_checked
+
 #: A line on more than this share of its host's pages is boilerplate,
 MAX_RATIO = 0.05
 #: if at least so many pages have it.
@@ -53,9 +55,10 @@ def _lines(text: str):
 
 def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``, and ``n_lines``, ``n_dropped``: lines before, and dropped."""
-    bad = boilerplate(pages, host, text, max_ratio, min_pages)
+    bad = checkpoint(boilerplate(pages, host, text, max_ratio, min_pages))
     kept = [c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")]
-    joined = pages.select(*[F.col(f"`{c}`") for c in kept], _host(host)).join(bad, "__host", "left")
+    size = F.aggregate("__bad", F.octet_length("__host").cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    joined = join_checked(pages.select(*[F.col(f"`{c}`") for c in kept], _host(host)), bad, "__host", "left", size)
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
     left = F.filter(lines, lambda x: ~F.array_contains("__bad", F.trim(x, F.lit(BLANKS))))
     joined = joined.withColumn("__left", F.when(F.col("__bad").isNotNull(), left))
