@@ -11,7 +11,8 @@ left of the article, or of the body where there is none, is the main text.
 
 The tree is two sums over (host, node, value) with partial sums on the map side;
 copies of a page count once; what returns to the pages is one short list of nodes
-for each host, by an outer join that Spark splits where a host is large.
+for each host: broadcast if their measured size is within a bound, else by an outer
+join that Spark splits where a host is large.
 
 Edge cases: null and empty pages give an empty text; unclosed and misnested tags
 close as in HTML; text outside any tag is kept; hosts with few pages have no
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import map_batches
+from quire.llm.common import checkpoint, join_checked, map_batches
 from quire.llm.line_dedup import host_of
 
 #: A node on at least so many distinct pages of its host is judged; below this importance it goes.
@@ -263,7 +264,8 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """``pages`` (url, html and more) with ``text`` and ``n_chars``."""
     hosted = pages.withColumn("__host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    joined = hosted.join(low_nodes(hosted, min_pages, least), "__host", "left")
+    low = checkpoint(low_nodes(hosted, min_pages, least))
+    joined = join_checked(hosted, low, "__host", "left", F.octet_length("__host") + 8 * F.size("__low") + 16)
     adds = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(htmls, lows) -> list:
