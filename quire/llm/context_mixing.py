@@ -2,8 +2,7 @@
 
 A text is a sequence of binary decisions.  A word among the ``HEAD`` most frequent
 ones is its rank: five decisions for the rank's number of bits, then these bits; any
-other word is the empty rank and then its bytes, eight decisions each, and a zero
-byte.  Every decision has three hashed contexts with counts of zeros and ones
+other word is the empty rank and then its bytes and a zero byte, by a Huffman code.  Every decision has three hashed contexts with counts of zeros and ones
 (its place alone, after the word before, after the last common word; inside a
 spelled word after one byte, two bytes and the last common word, four bytes).  A
 gate, the depth of the decision and how well the contexts are known, selects the
@@ -12,8 +11,8 @@ refines the sum.  The product of all decisions is the text's probability.
 
 Learning: word counts are one Spark sum.  The context counts of all training
 texts are summed by partition and added in blocks, in rounds.  Weights and map
-are learned online in passes over all training texts, each decision's own
-occurrence left out of its counts, with gradients of every ``STRIDE``-th decision;
+are learned online in a pass over all training texts, each decision's own occurrence
+left out of its counts, with gradients of every ``STRIDE``-th token;
 partitions' results are averaged by their size.  The tables grow with the corpus
 up to ``MAX_BITS``; beyond that contexts share slots.
 
@@ -25,7 +24,10 @@ gives an empty result; columns of the input named like an added one are replaced
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ from quire.llm.common import checkpoint, map_batches, raw_texts
 #: Ranked words (each of at most HEAD_BYTES bytes, which bounds what is sent); the end of a text is rank 1.
 HEAD, HEAD_BYTES = (1 << 17) - 2, 48
 MIN_BITS, MAX_BITS, BYTE_BITS = 18, 21, 19
-GATES, MAP_PLACES, MAP_STEPS, STRIDE = 48 * 16, 4096, 25, 3
+GATES, MAP_PLACES, MAP_STEPS, STRIDE = 48 * 16, 4096, 25, 8
 #: Words of a rank up to this are common; counts start at PRIOR.
 COMMON, PRIOR = 40, 0.2
 CHUNK_TOKENS, CHUNK_BYTES, BLOCK, FAN_IN = 30_000, 400_000, 1 << 16, 64
@@ -60,6 +62,10 @@ def word_rows(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
 
 
+#: Number of binary digits of each place.
+_DEPTH = np.frexp(np.arange(1 << 19).astype(float))[1].astype(np.int64)
+
+
 class Layout:
     """Where the regions of the count table lie: places, word before, common word, one byte, two bytes, four bytes."""
 
@@ -75,13 +81,33 @@ class Layout:
         return (key >> np.uint64(64 - (self.bits if region < 3 else BYTE_BITS))).astype(np.int64) + self.starts[region]
 
 
+def byte_code(head: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman code of bytes as they occur in the ranked words: length, nodes and bits of each byte."""
+    counts = np.bincount(np.frombuffer(END.join(head) + END, np.uint8), minlength=256) + 1
+    heap = [(int(n), k, (k,)) for k, n in enumerate(counts)]
+    heapq.heapify(heap)
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+    for node in range(255):
+        n0, _, zeros = heapq.heappop(heap)
+        n1, _, ones = heapq.heappop(heap)
+        for bit, members in ((0, zeros), (1, ones)):
+            for k in members:
+                paths[k].append((node, bit))
+        heapq.heappush(heap, (n0 + n1, 256 + node, zeros + ones))
+    length = np.array([len(p) for p in paths])
+    nodes, bits = np.zeros((256, length.max()), np.int64), np.zeros((256, length.max()), np.int64)
+    for k, p in enumerate(paths):
+        nodes[k, : len(p)], bits[k, : len(p)] = zip(*p[::-1])
+    return length, nodes, bits
+
+
 class Coder:
     """Turns tokens into decisions: three slots, depth, bit and token of each."""
 
     def __init__(self, head: list[bytes], layout: Layout):
         self.rank = {w: k + 2 for k, w in enumerate(head)}
         self.rank[END] = 1
-        self.layout = layout
+        self.layout, self.code = layout, byte_code(head)
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """For all tokens of the texts: text number, rank (0: spelled), hash of the token; the spelled words, by token."""
@@ -98,12 +124,14 @@ class Coder:
         doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
         hashes = rank.astype(np.uint64)
         if spelled:
-            hashes[rank == 0] = [xxhash.xxh3_64_intdigest(w) for w in spelled]
+            hashes[rank == 0] = [xxhash.xxh64_intdigest(w, 42) for w in spelled]  # Spark's xxhash64
+            own_hashes = hashes[rank == 0]
+        self.spelled_hashes = own_hashes if spelled else np.zeros(0, np.uint64)
         return doc, rank, hashes * _B + _C, spelled, np.flatnonzero(rank == 0)
 
     def ranked(self, rank: np.ndarray, one: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, ...]:
         """Decisions of ranks, given the hashes of the word before and of the last common word."""
-        n_bits = np.frexp(rank.astype(float))[1].astype(np.int64)
+        n_bits = _DEPTH[rank]
         parts = []
         token = np.arange(len(rank))
         shifts = np.arange(4, -1, -1)
@@ -117,7 +145,7 @@ class Coder:
                 parts.append(((32 + (1 << (b - 1)) + (v >> (shifts + 1))).ravel(), (v >> shifts & 1).ravel(), np.repeat(own, b - 1)))
         place, bit, token = (np.concatenate(x) for x in zip(*parts))
         key = place.astype(np.uint64) * _C
-        return place, self.layout.hashed(1, key ^ one[token]), self.layout.hashed(2, key ^ common[token]), np.frexp(place.astype(float))[1], bit, token
+        return place, self.layout.hashed(1, key ^ one[token]), self.layout.hashed(2, key ^ common[token]), _DEPTH[place], bit, token
 
     def spelt(self, words: list[bytes], common: np.ndarray) -> tuple[np.ndarray, ...]:
         """Decisions of the bytes of words, given the hash of the last common word before each."""
@@ -125,18 +153,20 @@ class Coder:
         flat = np.frombuffer(END.join(words) + END, np.uint8).astype(np.int64)
         inside = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         back = [np.where(inside >= k, np.concatenate([np.zeros(k, np.int64), flat])[: len(flat)], 0) for k in range(1, 5)]
-        shifts = np.arange(7, -1, -1)
-        place = ((256 + flat)[:, None] >> (shifts + 1)).ravel()
-        bit = (flat[:, None] >> shifts & 1).ravel()
+        length, nodes, bits = self.code
+        own = length[flat]
+        at = np.repeat(np.arange(len(flat)), own)  # the byte of each decision
+        depth = np.arange(len(at)) - np.repeat(np.cumsum(own) - own, own)
+        place, bit = nodes[flat[at], depth], bits[flat[at], depth]
         two = back[0] << 8 | back[1]
-        four = np.repeat(two << 16 | back[2] << 8 | back[3], 8)
-        a = self.layout.starts[3] + (np.repeat(back[0], 8) << 8 | place)
-        b = self.layout.hashed(4, (np.repeat(two, 8) << 8 | place).astype(np.uint64) * _B ^ np.repeat(np.repeat(common, lengths), 8))
-        c = self.layout.hashed(5, (four << 8 | place).astype(np.uint64) * _C)
-        return a, b, c, 32 + np.frexp(place.astype(float))[1], bit, np.repeat(np.arange(len(words)), lengths * 8)
-
-    def chunks(self, texts: list[bytes]) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
-        """All decisions of the texts in bounded portions, with the text number of each."""
+        word = np.repeat(np.arange(len(words)), lengths)
+        a = self.layout.starts[3] + (back[0][at] << 8 | place)
+        b = self.layout.hashed(4, (two[at] << 8 | place).astype(np.uint64) * _B ^ common[word][at])
+        c = self.layout.hashed(5, ((two << 16 | back[2] << 8 | back[3])[at] << 8 | place).astype(np.uint64) * _C)
+        return a, b, c, 32 + np.minimum(depth, 15), bit, word[at]
+
+    def chunks(self, texts: list[bytes], every: int = 1) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+        """All decisions of the texts (of every so many tokens) in bounded portions, with the text number of each."""
         doc, rank, hashes, spelled, at = self.tokens(texts)
         fresh = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
         one = np.where(fresh, _A, np.concatenate([[_A], hashes])[: len(hashes)])
@@ -144,6 +174,9 @@ class Coder:
         last = np.maximum.accumulate(np.where((rank > 0) & (rank <= COMMON), np.arange(1, len(rank) + 1), 0))
         last = np.concatenate([[0], last])[: len(rank)]
         common = np.concatenate([[1], rank])[last].astype(np.uint64) * _B + _A
+        if every > 1:
+            one, common, rank, doc, spelled = one[::every], common[::every], rank[::every], doc[::every], [w for w, k in zip(spelled, at) if k % every == 0]
+            at = np.flatnonzero(rank == 0)
         for k in range(0, len(rank), CHUNK_TOKENS):
             part = slice(k, k + CHUNK_TOKENS)
             rows = self.ranked(rank[part], one[part], common[part])
@@ -161,10 +194,12 @@ class Model:
     """The summed counts, the gates' weights and the map."""
 
     def __init__(self, layout: Layout, counts: np.ndarray, weights: np.ndarray | None = None, map_counts: np.ndarray | None = None):
-        self.layout, self.counts = layout, counts
-        self.known = np.searchsorted([1, 3, 16], counts.sum(1), side="right").astype(np.uint8)
-        self.logit = (np.log(counts[:, 1] + PRIOR) - np.log(counts[:, 0] + PRIOR)).astype(np.float32)
+        self.layout, self.zeros, self.ones = layout, np.ascontiguousarray(counts[:, 0], np.float32), np.ascontiguousarray(counts[:, 1], np.float32)
+        n = self.zeros + self.ones
+        self.known = (n >= 1).astype(np.uint8) + (n >= 3) + (n >= 16)
+        self.logit = np.log((self.ones + np.float32(PRIOR)) / (self.zeros + np.float32(PRIOR)))
         self.weights = np.tile([0.4, 0.3, 0.3, 0.0], (GATES, 1)) if weights is None else weights
+        self.columns = [np.ascontiguousarray(self.weights[:, k], np.float32) for k in range(4)]
         self.map_counts = np.zeros((MAP_PLACES * MAP_STEPS, 2)) if map_counts is None else map_counts
         middle = (np.arange(MAP_STEPS) - MAP_STEPS // 2) / 1.5
         prior = 1 / (1 + np.exp(-np.tile(middle, MAP_PLACES)))
@@ -172,48 +207,48 @@ class Model:
         self.map_logit = (np.log(p) - np.log1p(-p)).astype(np.float32)
 
     def gate(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
-        return rows[3] * 16 + self.known[rows[1]].astype(np.int64) * 4 + self.known[rows[2]]
+        return rows[3] * 16 + self.known.take(rows[1]) * 4 + self.known.take(rows[2])
 
     @staticmethod
     def step(place: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lower of the two map cells around a prediction, and the share of the upper."""
-        x = np.clip(z * 1.5 + MAP_STEPS // 2, 0, MAP_STEPS - 1.001)
-        low = x.astype(np.int64)
-        return place % MAP_PLACES * MAP_STEPS + low, x - low
+        x = np.clip(z * np.float32(1.5) + np.float32(MAP_STEPS // 2), np.float32(0), np.float32(MAP_STEPS - 1.001))
+        low = x.astype(np.int32)
+        return (place & (MAP_PLACES - 1)) * MAP_STEPS + low, x - low
 
     def log_probability(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
         """Natural logarithm of the probability of each decision's bit."""
         g = self.gate(rows)
-        w = self.weights.astype(np.float32)
-        z = w[g, 3]
+        z = self.columns[3].take(g)
         for k in range(3):
-            z += w[g, k] * self.logit[rows[k]]
+            z += self.columns[k].take(g) * self.logit.take(rows[k])
         cell, share = self.step(rows[0], z)
-        z = (z + (1 - share) * self.map_logit[cell] + share * self.map_logit[cell + 1]) / 2
-        return -np.logaddexp(0, np.where(rows[4] == 1, -z, z))
+        low = self.map_logit.take(cell)
+        z += low + share * (self.map_logit.take(cell + 1) - low)
+        z *= np.where(rows[4] == 1, np.float32(-0.5), np.float32(0.5))
+        return -(np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))))
 
     def learn(self, rows: tuple[np.ndarray, ...], squares: np.ndarray) -> None:
         """One online step of the weights and the map, with the decisions' own occurrences left out."""
-        rows = tuple(x[::STRIDE] for x in rows)
-        bit = rows[4].astype(float)
-        x = np.ones((len(bit), 4))
+        bit = rows[4].astype(np.float32)
+        x = np.ones((4, len(bit)), np.float32)
+        known = np.zeros(len(bit), np.int64)
         for k in range(3):
-            own = self.counts[rows[k]]
-            ones, zeros = np.maximum(own[:, 1] - bit, 0), np.maximum(own[:, 0] - (1 - bit), 0)
-            x[:, k] = np.log(ones + PRIOR) - np.log(zeros + PRIOR)
+            zeros, ones = self.zeros.take(rows[k]), self.ones.take(rows[k])
+            ones, zeros = np.maximum(ones - bit, 0), np.maximum(zeros - (1 - bit), 0)
+            np.log((ones + PRIOR) / (zeros + PRIOR), out=x[k])
             if k:
-                level = np.searchsorted([1, 3, 16], ones + zeros, side="right")
-                known = level if k == 1 else known * 4 + level
+                n = ones + zeros
+                known = known * 4 + (n >= 1) + (n >= 3) + (n >= 16)
         g = rows[3] * 16 + known
-        z = (self.weights[g] * x).sum(1)
+        z = sum(np.ascontiguousarray(self.weights[:, k], np.float32).take(g) * x[k] for k in range(4))
         off = bit - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        step = np.stack([np.bincount(g, off * x[:, k], GATES) for k in range(4)], 1)
+        step = np.stack([np.bincount(g, off * x[k], GATES) for k in range(4)], 1)
         squares += step**2
         self.weights += 0.15 * step / np.sqrt(squares + 1e-6)
         cell, share = self.step(rows[0], z)
         for at, part in ((cell, 1 - share), (cell + 1, share)):
-            self.map_counts[:, 1] += np.bincount(at, part * bit, len(self.map_counts))
-            self.map_counts[:, 0] += np.bincount(at, part * (1 - bit), len(self.map_counts))
+            np.add.at(self.map_counts, (at, rows[4]), part)
 
 
 def portions(column: pa.Array) -> Iterator[list[bytes]]:
@@ -229,12 +264,20 @@ def portions(column: pa.Array) -> Iterator[list[bytes]]:
         yield held
 
 
+def pack(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype(np.float32).tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.float32).astype(np.float64)
+
+
 def add_up(rows: DataFrame, tasks: int) -> DataFrame:
     """Sums (part, block, sums) over parts: FAN_IN arrays of a block at most in one task, in rounds."""
 
     def add(own: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float32) for x in own["sums"]], axis=0, dtype=np.float64).astype(np.float32)
-        return pd.DataFrame({"part": [own["part"].iat[0]], "block": [own["block"].iat[0]], "sums": [total.tobytes()]})
+        total = sum((unpack(x) for x in own["sums"]), np.float64(0)).astype(np.float32)
+        return pd.DataFrame({"part": [own["part"].iat[0]], "block": [own["block"].iat[0]], "sums": [pack(total)]})
 
     while tasks > 1:
         tasks = -(-tasks // FAN_IN)
@@ -259,52 +302,55 @@ def learn(train: DataFrame, head: list[bytes], tokens: int) -> Model:
     train, tasks = learning_tasks(train)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, table = Coder(head, layout), np.zeros((layout.size, 2), np.uint32)
+        coder, table, one = Coder(head, layout), np.zeros((layout.size, 2), np.uint32), np.uint32(1)
+        flat = table.reshape(-1)
         for batch in batches:
             for texts in portions(batch.column(0)):
                 for rows, _ in coder.chunks(texts):
                     for k in range(3):
-                        at, n = np.unique(rows[k] * 2 + rows[4], return_counts=True)
-                        table.reshape(-1)[at] += n.astype(np.uint32)
+                        np.add.at(flat, rows[k] * 2 + rows[4], one)
         part = TaskContext.get().partitionId()
         for k in range(0, layout.size, BLOCK):
             if table[k : k + BLOCK].any():
-                yield pa.RecordBatch.from_pydict({"part": [part], "block": [k // BLOCK], "sums": [table[k : k + BLOCK].astype(np.float32).tobytes()]}, _SUMS_ARROW)
+                yield pa.RecordBatch.from_pydict({"part": [part], "block": [k // BLOCK], "sums": [pack(table[k : k + BLOCK].astype(np.float32))]}, _SUMS_ARROW)
 
     counts = np.zeros((layout.size, 2), np.float32)
     for row in add_up(train.mapInArrow(count, _SUMS), tasks).toLocalIterator():
-        own = np.frombuffer(row.sums, np.float32).reshape(-1, 2)
+        own = unpack(row.sums).reshape(-1, 2)
         counts[row.block * BLOCK : row.block * BLOCK + len(own)] += own
     halve = np.maximum(1, counts.max(1, keepdims=True) / 60_000)  # two bytes a count
     small = np.rint(counts / halve).astype(np.uint16)
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, model = Coder(head, layout), Model(layout, small.astype(np.float32))
+        coder, model = Coder(head, layout), Model(layout, small)
         squares, seen = np.zeros((GATES, 4)), 0
         for batch in batches:
             for texts in portions(batch.column(0)):
-                for rows, _ in coder.chunks(texts):
+                for rows, _ in coder.chunks(texts, STRIDE):
                     model.learn(rows, squares)
                     seen += len(rows[4])
         if seen:
             sums = np.concatenate([model.weights.ravel() * seen, [seen], model.map_counts.ravel()])
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "block": [0], "sums": [sums.astype(np.float32).tobytes()]}, _SUMS_ARROW)
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "block": [0], "sums": [pack(sums.astype(np.float32))]}, _SUMS_ARROW)
 
     total = np.zeros(GATES * 4 + 1 + MAP_PLACES * MAP_STEPS * 2)
     for row in add_up(train.mapInArrow(mix, _SUMS), tasks).toLocalIterator():
-        total += np.frombuffer(row.sums, np.float32)
+        total += unpack(row.sums)
     seen = total[GATES * 4]
     weights = total[: GATES * 4].reshape(GATES, 4) / seen if seen else None
-    return Model(layout, small.astype(np.float32), weights, total[GATES * 4 + 1 :].reshape(-1, 2))
+    return Model(layout, small, weights, total[GATES * 4 + 1 :].reshape(-1, 2))
 
 
 ADDS = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("n_tokens", "__head_known")]
     + [T.StructField(c, T.DoubleType()) for c in ("__head_log", "score", "bits_per_byte")]
-    + [T.StructField("__tail", T.ArrayType(T.StringType()))]
+    + [T.StructField("__tail", T.ArrayType(T.LongType()))]
 )
 
 
+_READY: dict[bytes, tuple[Coder, Model]] = {}
+
+
 def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one words), ``score`` (log10 of the
     model's probability) and ``bits_per_byte``, all learned from the rows for which ``trains`` holds."""
@@ -319,43 +365,53 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFram
     head, head_c = [w.encode() for w in top.column("word").to_pylist()], np.concatenate([[0, n_docs], top.column("c").to_numpy()])
     model = learn(train, head, total)
     # what the function carries: ranked words, two bytes for each count, weights and map
-    layout, small, weights, map_counts = model.layout, model.counts.astype(np.uint16), model.weights, model.map_counts
+    layout, weights, map_counts = model.layout, model.weights, model.map_counts
+    small = np.stack([model.zeros, model.ones], 1).astype(np.uint16)
     logs, known = np.log10(head_c + 1.0), head_c > 0
 
+    name = hashlib.blake2b(small.tobytes() + weights.tobytes() + map_counts.tobytes() + END.join(head)).digest()
+
     def make():
-        coder, own_model = Coder(head, layout), Model(layout, small.astype(np.float32), weights, map_counts)
+        if name not in _READY:  # a worker process keeps the last model for its next partitions
+            _READY.clear()
+            _READY[name] = Coder(head, layout), Model(layout, small, weights, map_counts)
+        coder, own_model = _READY[name]
 
         def run(texts) -> list:
-            columns: list[list] = [[], [], [], [], [], []]
+            columns: list[list] = [[], [], [], [], []]
+            tails: list[np.ndarray] = []
+            lengths: list[np.ndarray] = []
             for part in portions(texts):
                 n = len(part)
-                doc, rank, _, spelled, at = coder.tokens(part)
+                doc, rank, _, _, at = coder.tokens(part)
+                tails.append(coder.spelled_hashes.view(np.int64))
+                lengths.append(np.bincount(doc[at], minlength=n))
                 score = np.zeros(n)
                 for rows, owner in coder.chunks(part):
                     score += np.bincount(owner, own_model.log_probability(rows), n)
                 ranked = rank > 0
-                tails: list[list[str]] = [[] for _ in part]
-                for d, w in zip(doc[at], spelled):
-                    tails[d].append(w.decode())
                 columns[0] += np.bincount(doc, minlength=n).tolist()
                 columns[1] += np.bincount(doc[ranked], known[rank[ranked]], n).astype(np.int64).tolist()
                 columns[2] += np.bincount(doc[ranked], logs[rank[ranked]], n).tolist()
                 columns[3] += (score / math.log(10)).tolist()
                 columns[4] += (-score / math.log(2) / np.maximum(1, [len(x) for x in part])).tolist()
-                columns[5] += tails
-            return columns
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([*lengths, np.zeros(0, np.int64)]))]).astype(np.int32)
+            values = np.concatenate([*tails, np.zeros(0, np.int64)])
+            return [*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))]
 
         return run
 
     names = [c for c in docs.columns if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")]
     scored = map_batches(docs.select(*[f"`{c}`" for c in names]), make, [text], ADDS)
-    # the other words find their counts by a join; one row for each document keeps its columns
+    # the other words find their counts by a join on a 64-bit hash; one row for each document keeps its columns
     one = F.struct(*[F.col(f"`{c}`") for c in names], "n_tokens", "__head_known", "__head_log", "score", "bits_per_byte")
-    rows = scored.select(F.monotonically_increasing_id().alias("__row"), one.alias("__doc"), F.concat(F.array(F.lit("")), "__tail").alias("__tail"))
-    rows = rows.select("__row", "__doc", F.posexplode("__tail").alias("__k", "word"))
-    rows = rows.select("__row", F.when(F.col("__k") == 0, F.col("__doc")).alias("__doc"), "word")
-    joined = rows.join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
+    rows = scored.select(F.monotonically_increasing_id().alias("__row"), one.alias("__doc"), "__tail")
+    # the entry in front holds the columns; its own key spreads it and counts nothing
+    rows = rows.select("__row", "__doc", F.posexplode(F.concat(F.array("__row"), "__tail")).alias("__k", "__h"))
+    rows = rows.select("__row", F.when(F.col("__k") == 0, F.col("__doc")).alias("__doc"), "__h")
+    by_hash = counts.groupBy(F.xxhash64("word").alias("__h")).agg(F.sum("c").alias("c"))
+    joined = rows.join(by_hash, "__h", "left")
+    c = F.when(F.col("__doc").isNull(), F.coalesce("c", F.lit(0))).otherwise(0)
     by_doc = joined.groupBy("__row").agg(
         F.first("__doc", ignorenulls=True).alias("__doc"), F.sum(F.log10(c + 1.0)).alias("__tail_log"), F.sum((c > 0).cast("long")).alias("__tail_known")
     )
