@@ -98,13 +98,13 @@ q AS (SELECT *, type IN {TYPES} AS ok, CAST(tw AS DOUBLE) / greatest(sw, 1) AS r
     list_filter(tk, lambda x: NOT (x IN {words(L.SCORING_ACRONYMS)} OR starts_with(x, 'http') OR starts_with(x, 'www') OR (upper(x) = x AND lower(x) <> x AND length(x) > 1)
       OR (regexp_matches(x, '^[A-Z]') AND length(x) > 2))) AS free FROM w),
 sc AS (SELECT *,
-  CASE WHEN NOT ok OR s = '' OR t = '' THEN 0.0 ELSE {clamp(rf'''1.0 - CASE WHEN tw < 2 AND type NOT IN ('title', 'caption') THEN 0.35 ELSE 0 END
+  CASE WHEN NOT ok OR s = '' OR t = '' THEN 0.0 ELSE {clamp(rf'''1.0::DOUBLE - CASE WHEN tw < 2 AND type NOT IN ('title', 'caption') THEN 0.35 ELSE 0 END
     - CASE WHEN ratio < 0.35 OR ratio > 2.4 THEN 0.25 ELSE 0 END - CASE WHEN {GARBLED} THEN 0.35 ELSE 0 END
     - CASE WHEN type IN ('paragraph', 'footnote') AND tw >= 6 AND NOT regexp_matches(t, '[.!?]$') THEN 0.1 ELSE 0 END
     - CASE WHEN length(replace(t, '[', '')) <> length(replace(t, ']', '')) THEN 0.1 ELSE 0 END''')} END AS tq,
   CASE WHEN NOT ok OR len(tk) = 0 THEN 0.0 ELSE {clamp(f'''least(0.85, CAST(len(list_filter(free, lambda x: lower({edge('x')}) IN {words(L.SCORING_RESIDUALS)})) AS DOUBLE) / len(tk) * 2.4)
     + least(0.25, len(list_filter(free, lambda x: lower({edge('x')}) IN {words(L.MINI_SPAN_WORDS)})) * 0.08)''')} END AS er,
-  CASE WHEN NOT ok OR s = '' OR t = '' THEN 0.0 ELSE {clamp(rf'''0.82 + CASE WHEN ratio BETWEEN 0.55 AND 1.9 THEN 0.12 ELSE -0.18 END
+  CASE WHEN NOT ok OR s = '' OR t = '' THEN 0.0 ELSE {clamp(rf'''0.82::DOUBLE + CASE WHEN ratio BETWEEN 0.55 AND 1.9 THEN 0.12 ELSE -0.18 END
     + CASE WHEN section_title <> '' AND type = 'title' AND {overlap('s', 'section_title')} >= 0.4 THEN 0.06 ELSE 0 END
     - CASE WHEN type = 'list_item' AND NOT regexp_matches(s, '^\s*([-*•]|\d+[.)]|[A-Za-z][.)])\s+') THEN 0.08 ELSE 0 END
     - CASE WHEN len(regexp_extract_all(lower(s), '[a-z]+')) BETWEEN 1 AND 2 THEN 0.45 ELSE 0 END''')} END AS cs,
@@ -112,7 +112,7 @@ sc AS (SELECT *,
     + CASE WHEN CAST(length(t) AS DOUBLE) / greatest(length(s), 1) > 1.45 THEN least(0.35, (CAST(length(t) AS DOUBLE) / greatest(length(s), 1) - 1.45) * 0.22) ELSE 0 END
     + CASE WHEN (CASE WHEN x1 - x0 <= 0 THEN 999 ELSE greatest(1, ceil(CAST(length(t) AS DOUBLE) / greatest(floor((x1 - x0) / (size * 0.52)), 1))) END) * size * 1.2 > y1 - y0 THEN 0.25 ELSE 0 END''')} END AS risk,
   {overlap('s', 'section_title')} >= 0.15 AS signal FROM q),
-cf AS (SELECT *, {clamp(rf'''0.52 + CASE WHEN len(aw) >= 6 THEN 0.22 WHEN len(aw) >= 4 THEN 0.12 ELSE 0 END + CASE WHEN {SHAPE} THEN 0.16 ELSE 0 END + CASE WHEN t <> '' THEN 0.05 ELSE 0 END
+cf AS (SELECT *, {clamp(rf'''0.52::DOUBLE + CASE WHEN len(aw) >= 6 THEN 0.22 WHEN len(aw) >= 4 THEN 0.12 ELSE 0 END + CASE WHEN {SHAPE} THEN 0.16 ELSE 0 END + CASE WHEN t <> '' THEN 0.05 ELSE 0 END
     + CASE WHEN type = 'title' THEN 0.08 + CASE WHEN size >= 13 THEN 0.18 ELSE 0 END + CASE WHEN sw BETWEEN 2 AND 8 AND {PLAUSIBLE} THEN 0.08 ELSE 0 END ELSE 0 END
     + CASE WHEN type = 'list_item' AND regexp_matches(s, '^\s*([-*•]|\d+[.)]|[A-Za-z][.)])\s+') THEN 0.08 ELSE 0 END - CASE WHEN contains(t, s) AND t <> s THEN 0.05 ELSE 0 END
     - CASE WHEN NOT (type = 'title' AND {PLAUSIBLE}) AND sw <= 3 AND NOT regexp_matches(s, '[.!?:;]$') THEN 0.18 ELSE 0 END + CASE WHEN signal THEN 0.08 ELSE 0 END''')} AS raw,
