@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from quire.llm.common import map_batches
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 120_000, 200_000, 60_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 60_000, 100_000, 30_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -114,8 +114,8 @@ class State(dict):
 
     __slots__ = ("owner", "emitted", "held", "lasts", "rest")
 
-    def __init__(self, owner: Encoder, emitted: int, held: bytes, lasts: tuple[tuple[int, int], ...]):
-        """lasts: for each length of ``held`` from 1, the last token of that prefix and where it starts."""
+    def __init__(self, owner: Encoder, emitted: int, held: bytes, lasts: tuple[int, ...]):
+        """lasts: for each length of ``held`` from 1, the last token of that prefix and where it starts, one after the other."""
         self.owner, self.emitted, self.held, self.lasts, self.rest = owner, emitted, held, lasts, None
 
     def flush(self) -> tuple[int, ...]:
@@ -139,22 +139,22 @@ class State(dict):
             if start < 0:
                 token = token_at(tail)
                 if token is not None:
-                    before = lasts[k - 1][0] if k else self.emitted
+                    before = lasts[2 * k - 2] if k else self.emitted
                     if before < 0:
                         start, found = k, token
                     else:
                         fits = pairs.get(before << 32 | token)
                         if merges.follows(before, token) if fits is None else fits:
                             start, found = k, token
-        lasts = (*lasts, (found, start))
+        lasts = (*lasts, found, start)
         # emit up to the place that the encodings of all prefixes pass through at whose ends a token may start
         at = n
         for k in reversed(meet):
             while at != k:  # the nearest common place of two encodings
                 if at > k:
-                    at = lasts[at - 1][1]
+                    at = lasts[2 * at - 1]
                 else:
-                    k = lasts[k - 1][1]
+                    k = lasts[2 * k - 1]
             if not at:
                 break
         if at:
@@ -162,18 +162,18 @@ class State(dict):
             after = owner.state(done[-1], held[at:], lasts, at, keep)
         else:
             # the token before only matters while a token may start right after it
-            done, after = (), owner.state(self.emitted if meet and meet[0] == 0 else -2 - lasts[0][0], held, lasts, 0, keep)
+            done, after = (), owner.state(self.emitted if meet and meet[0] == 0 else -2 - lasts[0], held, lasts, 0, keep)
         result = (done, after)
         if keep:
             self[byte] = result
         return result
 
 
-def chain(lasts: tuple[tuple[int, int], ...], end: int) -> tuple[int, ...]:
+def chain(lasts: tuple[int, ...], end: int) -> tuple[int, ...]:
     found = []
     while end:
-        token, end = lasts[end - 1]
-        found.append(token)
+        found.append(lasts[2 * end - 2])
+        end = lasts[2 * end - 1]
     return tuple(found[::-1])
 
 
@@ -189,7 +189,7 @@ class Encoder:
         key = (emitted, held) if emitted >= -1 else (lasts, held)  # these decide ``lasts`` wherever a later token may start
         known = self.states.get(key)
         if known is None:
-            own = tuple((t, s - cut) for t, s in lasts[cut:]) if cut else lasts
+            own = tuple(x - cut if k & 1 else x for k, x in enumerate(lasts[2 * cut :])) if cut else lasts
             known = State(self, emitted, held, own)
             if keep:
                 self.states[key] = known
