@@ -185,6 +185,11 @@ class Encoder:
         self.older: dict[str, tuple[int, ...]] = {}
         self.start = State(self, -1, b"", ())
 
+    def forget(self) -> None:
+        """Drops what was learned from texts; the merge rules stay."""
+        self.states, self.pieces, self.older, self.start = {}, {}, {}, State(self, -1, b"", ())
+        self.merges.pairs.clear()
+
     def state(self, emitted: int, held: bytes, lasts: tuple, cut: int, keep: bool) -> State:
         key = (emitted, held) if emitted >= -1 else (lasts, held)  # these decide ``lasts`` wherever a later token may start
         known = self.states.get(key)
@@ -339,6 +344,7 @@ def encode_texts(docs: DataFrame, text: str = "text", raw_ranks: bytes | None =
                 columns[2].append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
             return columns
 
+        run.end = enc.forget
         return run
 
     return map_batches(docs, make, [text], DIGESTS if digests else ENCODED)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -35,7 +38,8 @@ def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], reads: list[str],
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable], reads: list[str], adds: T.StructType) -> DataFrame:
-    """``map_rows`` for functions with state: ``make`` is called once for each partition."""
+    """``map_rows`` for functions with state: ``make`` is called once for each partition, and at its end the
+    function's attribute ``end``, where it has one."""
     names = {f.name.lower() for f in adds}
     kept = [f for f in df.schema if f.name.lower() not in names]
     schema = T.StructType(kept + list(adds))
@@ -53,10 +57,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], reads: list[str], a
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n_kept], *cols], [*batch.schema.names[:n_kept], *[f.name for f in adds]]
             )
+        getattr(fn, "end", lambda: None)()
+        del fn
+        release()
 
     return inner.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives a worker's unused memory back to the machine: workers live on and share an executor with its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

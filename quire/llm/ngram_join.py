@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import checkpoint, join_checked, map_rows, raw_texts
+from quire.llm.common import checkpoint, join_checked, map_rows, raw_texts, release
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # five words, similarity 4/5
 RUNS, SHARE, SMALL, DEPTH, BLOCK, SKETCH, BRANCHES = 14, 0.6, 200, 4, 1024, 64, 1
@@ -151,6 +151,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
                 held = []
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def owned(path: int, lists: list[list[int]], side: np.ndarray, cross: bool) -> np.ndarray | None:
