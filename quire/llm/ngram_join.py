@@ -4,12 +4,13 @@ A text is the set of its 5-word shingles (64-bit hashes).  Texts with equal sets
 are one node.  In each of ``RUNS`` runs a set of size s picks each of its tokens
 with chance 1/(SHARE*s), by a hash that all sets share; nodes that pick the same
 token meet in a bucket.  A bucket with more than ``SMALL`` nodes is split again by
-``BRANCHES`` more sampled token (the sets' least one under a further hash), so
-pairs that share only a passage fall apart while near duplicates stay together; up
-to ``DEPTH`` levels, or until its nodes are alike, when splitting cannot separate
-them.  In buckets, pairs are pruned by 64-byte minwise sketches and checked
-exactly.  A pair with Jaccard 0.8 or more shares 1.33 paths a run on average, 18 in
-``RUNS`` of 14, and stays together in a split with probability 0.8 or more: it is
+one more token (the sets' least one under a hash that only this bucket's path and
+level have), so pairs that share only a passage fall apart while near duplicates
+stay together; up to ``DEPTH`` levels, or until its nodes are alike, when splitting
+cannot separate them.  In buckets, pairs are pruned by 64-byte minwise sketches and
+checked exactly.  A pair with Jaccard 0.8 or more shares 1.33 paths a run on average,
+18 in ``RUNS`` of 14, and stays together in a split with probability 0.8 or more; as
+every path has hashes of its own, what one path parts another still holds.  A pair is
 found with 0.99999999 where a bucket of it is small at once, and with 0.9999 where
 all of them are split three times.
 
@@ -41,7 +42,9 @@ from pyspark.sql import types as T
 from quire.llm.common import checkpoint, join_checked, map_rows, raw_texts, release
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # five words, similarity 4/5
-RUNS, SHARE, SMALL, DEPTH, BLOCK, SKETCH, BRANCHES = 14, 0.6, 200, 4, 1024, 64, 1
+RUNS, SHARE, SMALL, DEPTH, BLOCK, SKETCH = 14, 0.6, 200, 4, 1024, 64
+#: Bits of each split's token; those of a path's DEPTH - 1 splits are one number.
+SPLIT_BITS = 63 // (DEPTH - 1)
 #: Nodes of a bucket are alike if two of them have the same least token with this probability.
 ALIKE = 0.3
 #: Pairs with fewer equal sketch values than this cannot have the similarity (binomial tail under 1e-7).
@@ -51,6 +54,7 @@ _RNG = np.random.default_rng(8)
 _FOLD = _RNG.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _RUN = _RNG.integers(1, 2**63, RUNS, dtype=np.uint64)
 _MIN = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
+_LEVEL = _RNG.integers(1, 2**63, DEPTH - 1, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,42 +92,54 @@ def picked(tokens: np.ndarray, seed: np.uint64) -> np.ndarray:
     return mix(values[chosen] ^ mix(np.array([seed], np.uint64)))
 
 
-def sampled(tokens: np.ndarray) -> tuple[bytes, list[int]]:
-    """The sketch of a set, and the tokens sampled for splitting."""
-    least = np.full(SKETCH, 0xFFFFFFFFFFFFFFFF, np.uint64)
+def least_tokens(tokens: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The set's least token under the hash of each odd factor."""
+    least = np.full(len(factors), 0xFFFFFFFFFFFFFFFF, np.uint64)
     for k in range(0, len(tokens), 4096):
-        values = tokens[k : k + 4096, None] * _MIN
+        values = tokens[k : k + 4096, None] * factors
         np.minimum(least, (values ^ (values >> np.uint64(32))).min(0), out=least)
-    least = mix(least)
-    return (least >> np.uint64(56)).astype(np.uint8).tobytes(), signed(least[: BRANCHES * (DEPTH - 1)])
+    return mix(least)
+
+
+def sampled(tokens: np.ndarray, paths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The sketch of a set, and for each of its paths the tokens that split the path's bucket, level by level."""
+    factors = mix(paths[:, None] ^ _LEVEL) | np.uint64(1)
+    least = least_tokens(tokens, np.concatenate([_MIN, factors.ravel()]))
+    own = least[SKETCH:].reshape(factors.shape) >> np.uint64(64 - SPLIT_BITS)
+    splits = np.bitwise_or.reduce(own << (np.arange(DEPTH - 1) * SPLIT_BITS).astype(np.uint64), axis=1)
+    return (least[:SKETCH] >> np.uint64(56)).astype(np.uint8).tobytes(), signed(splits)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+PATHS = T.ArrayType(T.StructType([T.StructField("path", T.LongType()), T.StructField("splits", T.LongType())]))
 LIGHT = T.StructType(
-    [T.StructField("set_key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("least", T.LongType()), T.StructField("paths", T.ArrayType(T.LongType()))]
-    + [T.StructField("sketch", T.BinaryType()), T.StructField("picks", T.ArrayType(T.LongType()))]
+    [T.StructField("set_key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("least", T.LongType()), T.StructField("paths", PATHS)]
+    + [T.StructField("sketch", T.BinaryType())]
 )
 
 
 def light_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """For each document: ids of its text and set, the set's size and least token, and its first paths."""
+    """For each document: ids of its text and set, the set's size and least token, its first paths and their splits."""
 
     def run(texts) -> list:
-        columns: list[list] = [[], [], [], [], [], []]
+        columns: list[list] = [[], [], [], []]
+        paths, splits, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
         for raw in raw_texts(texts):
             tokens = shingles(raw)
-            marks, picks = sampled(tokens) if len(tokens) else (b"", [])
-            columns[4].append(marks)
-            columns[5].append(picks)
-            paths = np.concatenate([picked(tokens, s) for s in _RUN]) if len(tokens) else tokens
+            own = np.unique(np.concatenate([picked(tokens, s) for s in _RUN])) if len(tokens) else tokens
+            marks, own_splits = sampled(tokens, own) if len(tokens) else (b"", signed(own))
+            columns[3].append(marks)
+            paths.append(signed(own))
+            splits.append(own_splits)
+            ends.append(ends[-1] + len(own))
             columns[0].append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
             columns[1].append(len(tokens))
             columns[2].append(int(signed(mix(tokens)[:1] if not len(tokens) else mix(tokens).min(keepdims=True))[0]) if len(tokens) else 0)
-            columns[3].append(signed(np.unique(paths)))
-        return columns
+        both = pa.StructArray.from_arrays([pa.array(np.concatenate(paths)), pa.array(np.concatenate(splits))], ["path", "splits"])
+        return [*columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both), columns[3]]
 
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), text_key(F.col(f"`{text}`")).alias("text_key"))
     return map_rows(own, run, ["text"], LIGHT).drop("text")
@@ -308,21 +324,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row for each document: ``doc_id``, ``class_id`` (the least id of its class), ``n_links``: other texts
     with similarity 0.8 or more, copies not counted, and ``text_key`` (MD5 of the text)."""
     light = checkpoint(light_rows(docs, doc_id, text))
-    own = ["size", "least", "paths", "sketch", "picks"]
+    own = ["size", "least", "paths", "sketch"]
     texts = light.where("set_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("set_key", *own)])
     nodes = checkpoint(
         texts.groupBy("set_key").agg(F.min("text_key").alias("node"), F.min("first_id").alias("first_id"), F.count("*").alias("weight"), *[F.first(c).alias(c) for c in own])
     )
-    level, finals = checkpoint(sized(nodes.select(F.explode("paths").alias("path"), "node", "least"))), []
+    level, finals = checkpoint(sized(nodes.select(F.inline("paths"), "node", "least"))), []
     for depth in range(1, DEPTH + 1):
         done = F.lit(True) if depth == DEPTH else (F.col("n") <= SMALL) | F.col("alike")
         finals.append(level.where(done).select("path", "node", "n"))
         if depth == DEPTH or level.where(~done).isEmpty():
             break
-        picks = F.slice("picks", BRANCHES * (depth - 1) + 1, BRANCHES)
-        open_rows = level.where(~done).join(nodes.select("node", picks.alias("next")), "node")
-        children = open_rows.select("node", "least", "path", F.posexplode("next").alias("k", "token"))
-        level = checkpoint(sized(children.select(F.xxhash64("path", "k", "token").alias("path"), "node", "least")))
+        token = F.shiftrightunsigned("splits", SPLIT_BITS * (depth - 1)).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
+        level = checkpoint(sized(level.where(~done).select(F.xxhash64("path", token).alias("path"), "node", "least", "splits")))
     final = reduce(DataFrame.unionByName, finals)
 
     about = final.groupBy("node").agg(F.collect_list("path").alias("finals"))

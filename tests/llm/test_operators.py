@@ -260,6 +260,21 @@ def test_near_duplicates(spark, edge, monkeypatch):
     assert ngram_join.near_duplicates(edge).count() == len(EDGE) and ngram_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_shared_passages(spark, monkeypatch):
+    """Pairs just over the threshold whose shingles lie in passages of many texts, so that all their buckets are split."""
+    monkeypatch.setattr(ngram_join, "SMALL", 6)
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}_{j}" for j in range(30)) for k in range(80)]
+    docs = []
+    for k in range(100):
+        own = rng.sample(passages, 12)
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:-1], f"x{k} " * 26]))]
+    want = near_by_hand(docs)
+    assert sum(n > 0 for _, n in want.values()) >= 190
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # 9
 
 
