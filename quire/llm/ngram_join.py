@@ -323,6 +323,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: ``doc_id``, ``class_id`` (the least id of its class), ``n_links``: other texts
     with similarity 0.8 or more, copies not counted, and ``text_key`` (MD5 of the text)."""
+    return rooted(docs, doc_id, text).drop("root")
+
+
+def rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``root``, the key of the class; null for texts without words."""
     light = checkpoint(light_rows(docs, doc_id, text))
     own = ["size", "least", "paths", "sketch"]
     texts = light.where("set_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("set_key", *own)])
@@ -367,17 +372,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     placed = nodes.select("set_key", "node", "first_id", "weight").join(counted, "node", "left").join(roots, "node", "left")
     placed = checkpoint(placed.select("set_key", "first_id", F.coalesce("root", "node").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = placed.join(classes, "root").select("set_key", "class_id", "n_links")
+    named = placed.join(classes, "root").select("set_key", "root", "class_id", "n_links")
     out = light.select("doc_id", "text_key", F.col("set_key").alias("__k")).join(named, loose("__k") == loose("set_key"), "left")
     return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key"
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", "root"
     )
 
 
+def row_key(doc_id, text_key):
+    """Equal for rows with the same text and id."""
+    return F.concat(text_key, F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("")).cast("binary"))
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one with the class's least id, of its rows the first by text."""
-    found = near_duplicates(docs, doc_id, text)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.min("text_key").alias("__key"))
-    rows = docs.withColumn("__t", text_key(F.col(f"`{text}`")))
-    joined = rows.join(keep, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__key")), "left_semi")
-    return joined.drop("__t")
+    """``docs`` with one row of each class: the one with the class's least id, of its rows the first by text, of rows with
+    the same id and text any one.  Rows without words are classes of their own and all stay."""
+    words = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = rooted(docs, doc_id, text).where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    keep = found.groupBy("root").agg(F.min("doc_id").alias("id"), F.min("text_key").alias("key")).select(row_key(F.col("id"), F.col("key")).alias("__row"))
+    rows = docs.where(words).withColumn("__row", row_key(F.col(f"`{doc_id}`"), text_key(F.col(f"`{text}`"))))
+    # both steps are dealt by the same key: one shuffle
+    chosen = rows.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return chosen.unionByName(docs.where(~words))

@@ -275,6 +275,15 @@ def test_near_duplicates_of_shared_passages(spark, monkeypatch):
     assert got == want
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """One row of each class stays, whatever its id; rows without words all stay."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, d), (None, c), (None, ""), (None, None), (9, " \n"), (9, " \n")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, a), (None, b), (7, c), (7, d), (None, ""), (None, None), (9, " \n"), (9, " \n")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 # 9
 
 
