@@ -11,9 +11,8 @@ refines the sum.  The product of all decisions is the text's probability.
 
 Learning: word counts are one Spark sum.  The context counts of all training
 texts are summed by partition and added in blocks, in rounds.  Weights and map
-are learned online in a pass over all training texts, each decision's own occurrence
-left out of its counts, with gradients of every ``STRIDE``-th token;
-partitions' results are averaged by their size.  The tables grow with the corpus
+are learned online in a pass over all tokens of all training texts, each decision's
+own occurrence left out of its counts; partitions' results are averaged by their size.  The tables grow with the corpus
 up to ``MAX_BITS``; beyond that contexts share slots.
 
 Edge cases: null and empty texts are the end token alone; words and texts of any
@@ -44,7 +43,7 @@ from quire.llm.common import checkpoint, map_batches, raw_texts
 #: Ranked words (each of at most HEAD_BYTES bytes, which bounds what is sent); the end of a text is rank 1.
 HEAD, HEAD_BYTES = (1 << 17) - 2, 48
 MIN_BITS, MAX_BITS, BYTE_BITS = 18, 21, 19
-GATES, MAP_PLACES, MAP_STEPS, STRIDE = 48 * 16, 4096, 25, 8
+GATES, MAP_PLACES, MAP_STEPS = 48 * 16, 4096, 25
 #: Words of a rank up to this are common; counts start at PRIOR.
 COMMON, PRIOR = 40, 0.2
 CHUNK_TOKENS, CHUNK_BYTES, BLOCK, FAN_IN = 30_000, 400_000, 1 << 16, 64
@@ -165,8 +164,8 @@ class Coder:
         c = self.layout.hashed(5, ((two << 16 | back[2] << 8 | back[3])[at] << 8 | place).astype(np.uint64) * _C)
         return a, b, c, 32 + np.minimum(depth, 15), bit, word[at]
 
-    def chunks(self, texts: list[bytes], every: int = 1) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
-        """All decisions of the texts (of every so many tokens) in bounded portions, with the text number of each."""
+    def chunks(self, texts: list[bytes]) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+        """All decisions of the texts in bounded portions, with the text number of each."""
         doc, rank, hashes, spelled, at = self.tokens(texts)
         fresh = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
         one = np.where(fresh, _A, np.concatenate([[_A], hashes])[: len(hashes)])
@@ -174,9 +173,6 @@ class Coder:
         last = np.maximum.accumulate(np.where((rank > 0) & (rank <= COMMON), np.arange(1, len(rank) + 1), 0))
         last = np.concatenate([[0], last])[: len(rank)]
         common = np.concatenate([[1], rank])[last].astype(np.uint64) * _B + _A
-        if every > 1:
-            one, common, rank, doc, spelled = one[::every], common[::every], rank[::every], doc[::every], [w for w, k in zip(spelled, at) if k % every == 0]
-            at = np.flatnonzero(rank == 0)
         for k in range(0, len(rank), CHUNK_TOKENS):
             part = slice(k, k + CHUNK_TOKENS)
             rows = self.ranked(rank[part], one[part], common[part])
@@ -326,7 +322,7 @@ def learn(train: DataFrame, head: list[bytes], tokens: int) -> Model:
         squares, seen = np.zeros((GATES, 4)), 0
         for batch in batches:
             for texts in portions(batch.column(0)):
-                for rows, _ in coder.chunks(texts, STRIDE):
+                for rows, _ in coder.chunks(texts):
                     model.learn(rows, squares)
                     seen += len(rows[4])
         if seen:

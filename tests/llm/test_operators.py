@@ -156,6 +156,14 @@ def test_decisions_are_a_probability():
         assert np.exp(np.bincount(rows[5], log_p)).sum() == pytest.approx(np.exp(length[0]), rel=1e-4)
 
 
+def test_learning_takes_every_decision(spark):
+    rows, head = [f"a b c{k} a a word{k % 7} b" for k in range(90)], [b"a", b"b"]
+    model = context_mixing.learn(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3), head, 720)
+    coder = context_mixing.Coder(head, model.layout)
+    decisions = sum(len(own[4]) for own, _ in coder.chunks([t.encode() for t in rows]))
+    assert model.map_counts.sum() == pytest.approx(decisions, rel=1e-4)
+
+
 # 5
 
 
