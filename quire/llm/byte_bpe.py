@@ -3,11 +3,13 @@
 Encoding: the last token of the BPE encoding of every prefix of a piece can be
 found from those of shorter prefixes: it is the one token that ends there and
 may follow the last token of the prefix before it (``follows``: merging the two
-tokens' bytes gives the two tokens).  A transducer state is the last token
-emitted and the bytes read since.  A token is emitted as soon as every token that
-could still start in these bytes agrees on it, so the bytes held back are fewer
-than twice the longest token.  States and transitions are made when first needed,
-one a piece of text, and no longer kept when there are too many.
+tokens' bytes gives the two tokens).  So the transducer is nondeterministic: from
+every place of a piece a walker goes down the trie of tokens, and holds the
+encoding of the bytes before its start.  A deterministic state is the set of
+walkers alive.  A token is emitted as soon as all walkers agree on it, so the bytes
+held back are fewer than twice the longest token.  States and transitions are made
+when first needed, one a piece of text, and no longer kept when there are too many;
+from the first byte without a transition the walkers run on by themselves.
 
 Decoding: a state is the unfinished tail of a UTF-8 sequence (at most 3 bytes);
 its transitions by token are made lazily too.  Malformed input becomes U+FFFD.
@@ -22,6 +24,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -30,7 +34,10 @@ from pyspark.sql import types as T
 
 from quire.llm.common import map_batches
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 60_000, 100_000, 30_000
+#: What a worker keeps for its life: some 70 MB.
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 30_000, 200_000, 100_000
+#: Characters of a short piece, and of the texts that are worked on together.
+SHORT, PORTION = 40, 2_000_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -48,7 +55,6 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
         self.pairs: dict[int, bool] = {}
         #: token -> (time at which merging makes it, left part, right part); single bytes are there from the start
         self.made: dict[int, tuple[int, int, int]] = {}
@@ -58,8 +64,15 @@ class Merges:
                 self.made[token] = (-1, token, token)
             elif len(parts := self.merged(raw, token)) == 2 and all(p in self.made for p in parts):
                 self.made[token] = (max(token, *(self.made[p][0] for p in parts)), *parts)
-        #: tokens that their own bytes encode to
-        self.ends = {self.bytes_of[t]: t for t in self.made}
+        #: the trie of the tokens that their own bytes encode to: byte -> [the token that ends here or -1, its trie or None]
+        self.trie: dict[int, list] = {}
+        for token in self.made:
+            at = [-1, self.trie]
+            for byte in self.bytes_of[token]:
+                if at[1] is None:
+                    at[1] = {}
+                at = at[1].setdefault(byte, [-1, None])
+            at[0] = token
 
     def merged(self, raw: bytes, below: int = 1 << 60) -> list[int]:
         """The definition: join the adjacent pair of least rank, the leftmost first, until none joins."""
@@ -106,75 +119,54 @@ class Merges:
         return known
 
 
-BYTES = [bytes((b,)) for b in range(256)]
+#: An encoding of a prefix: its last token, the encoding before that one, the number of tokens since the last emission.
+Back = tuple  # (token, Back | None, int)
+#: A walker: the trie below its place, and the encoding of what lies before its start.
+Walkers = list  # of (dict, Back)
+
+
+def chain(back: Back) -> list[int]:
+    """The tokens of an encoding since the last emission."""
+    found = []
+    while back[1] is not None:
+        found.append(back[0])
+        back = back[1]
+    return found[::-1]
+
+
+def agreed(walkers: Walkers) -> Back:
+    """The longest encoding that those of all walkers begin with."""
+    common = walkers[0][1]
+    for _, back in walkers[1:]:
+        while back is not common:
+            if back[2] >= common[2]:
+                back = back[1]
+            else:
+                common = common[1]
+    return common
+
+
+def since(walkers: Walkers, start: Back) -> Walkers:
+    """The walkers after the emission of ``start``."""
+    own = {id(start): (start[0], None, 0)}
+
+    def moved(back: Back) -> Back:
+        known = own.get(id(back))
+        if known is None:
+            before = moved(back[1])
+            known = own[id(back)] = (back[0], before, before[2] + 1)
+        return known
+
+    return [(node, moved(back)) for node, back in walkers]
 
 
 class State(dict):
     """byte -> (tokens emitted, next state)."""
 
-    __slots__ = ("owner", "emitted", "held", "lasts", "rest")
-
-    def __init__(self, owner: Encoder, emitted: int, held: bytes, lasts: tuple[int, ...]):
-        """lasts: for each length of ``held`` from 1, the last token of that prefix and where it starts, one after the other."""
-        self.owner, self.emitted, self.held, self.lasts, self.rest = owner, emitted, held, lasts, None
-
-    def flush(self) -> tuple[int, ...]:
-        """The tokens of the bytes held, if the piece ends here."""
-        if self.rest is None:
-            self.rest = chain(self.lasts, len(self.held))
-        return self.rest
-
-    def step(self, byte: int, keep: bool) -> tuple[tuple[int, ...], State]:
-        """The transition by a byte that is not in the table yet; with ``keep`` it is put there."""
-        owner, held = self.owner, self.held + BYTES[byte]
-        merges, lasts, n = owner.merges, self.lasts, len(held)
-        token_at, pairs, first = merges.ends.get, merges.pairs, n - merges.longest
-        if first < 0:
-            first = 0
-        prefixes, meet, start = merges.prefixes, [], -1
-        for k in range(first, n):
-            tail = held[k:]
-            if tail in prefixes:
-                meet.append(k)  # a longer token may start here
-            if start < 0:
-                token = token_at(tail)
-                if token is not None:
-                    before = lasts[2 * k - 2] if k else self.emitted
-                    if before < 0:
-                        start, found = k, token
-                    else:
-                        fits = pairs.get(before << 32 | token)
-                        if merges.follows(before, token) if fits is None else fits:
-                            start, found = k, token
-        lasts = (*lasts, found, start)
-        # emit up to the place that the encodings of all prefixes pass through at whose ends a token may start
-        at = n
-        for k in reversed(meet):
-            while at != k:  # the nearest common place of two encodings
-                if at > k:
-                    at = lasts[2 * at - 1]
-                else:
-                    k = lasts[2 * k - 1]
-            if not at:
-                break
-        if at:
-            done = chain(lasts, at)
-            after = owner.state(done[-1], held[at:], lasts, at, keep)
-        else:
-            # the token before only matters while a token may start right after it
-            done, after = (), owner.state(self.emitted if meet and meet[0] == 0 else -2 - lasts[0], held, lasts, 0, keep)
-        result = (done, after)
-        if keep:
-            self[byte] = result
-        return result
-
+    __slots__ = ("held", "walkers")
 
-def chain(lasts: tuple[int, ...], end: int) -> tuple[int, ...]:
-    found = []
-    while end:
-        found.append(lasts[2 * end - 2])
-        end = lasts[2 * end - 1]
-    return tuple(found[::-1])
+    def __init__(self, held: bytes, walkers: Walkers):
+        self.held, self.walkers = held, walkers
 
 
 class Encoder:
@@ -183,50 +175,115 @@ class Encoder:
         self.states: dict[tuple, State] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.start = State(self, -1, b"", ())
-
-    def forget(self) -> None:
-        """Drops what was learned from texts; the merge rules stay."""
-        self.states, self.pieces, self.older, self.start = {}, {}, {}, State(self, -1, b"", ())
-        self.merges.pairs.clear()
-
-    def state(self, emitted: int, held: bytes, lasts: tuple, cut: int, keep: bool) -> State:
-        key = (emitted, held) if emitted >= -1 else (lasts, held)  # these decide ``lasts`` wherever a later token may start
-        known = self.states.get(key)
-        if known is None:
-            own = tuple(x - cut if k & 1 else x for k, x in enumerate(lasts[2 * cut :])) if cut else lasts
-            known = State(self, emitted, held, own)
-            if keep:
-                self.states[key] = known
-        return known
+        self.start = State(b"", [(self.merges.trie, (-1, None, 0))])
+
+    def run(self, walkers: Walkers, data: bytes, out: list[int] | None = None) -> Walkers:
+        """The walkers after ``data``, by themselves, without the table; the one that starts behind it comes last and
+        holds the encoding of all bytes.  With ``out`` tokens are emitted there when too many are held."""
+        merges = self.merges
+        trie, pairs, follows, most = merges.trie, merges.pairs.get, merges.follows, 2 * merges.longest
+        for byte in data:
+            alive, found = [], None
+            for below, back in walkers:
+                hit = below.get(byte)
+                if hit is not None:
+                    token, below = hit
+                    if below is not None:
+                        alive.append((below, back))
+                    if found is None and token >= 0:
+                        before = back[0]
+                        if before < 0 or (follows(before, token) if (fits := pairs(before << 32 | token)) is None else fits):
+                            found = (token, back, back[2] + 1)
+            alive.append((trie, found))
+            walkers = alive
+            if found[2] > most and out is not None:
+                common = agreed(walkers)
+                out += chain(common)
+                walkers = since(walkers, common)
+        return walkers
+
+    def transition(self, state: State, byte: int) -> tuple[list[int], State]:
+        """Makes the transition by a byte that is not in the table yet."""
+        walkers, held = self.run(state.walkers, (byte,)), state.held + bytes((byte,))
+        common = agreed(walkers)
+        done = chain(common)
+        if done:
+            walkers = since(walkers, common)
+            held = held[sum(len(self.merges.bytes_of[t]) for t in done) :]
+        # the token before only matters while a walker started right after it
+        first = walkers[0][1]
+        key = (first[0] if first[1] is None else tuple(chain(first)), held)
+        after = self.states.get(key)
+        if after is None:
+            after = self.states[key] = State(held, walkers)
+        state[byte] = result = (done, after)
+        return result
 
     def piece(self, text: str) -> tuple[int, ...]:
-        state, out, keep = self.start, [], len(self.states) < MAX_STATES
-        for byte in text.encode("utf-8", "surrogatepass"):
+        state, out, data = self.start, [], text.encode("utf-8", "surrogatepass")
+        for at, byte in enumerate(data):
             known = state.get(byte)
             if known is None:
-                known = state.step(byte, keep)
-                keep = False  # one new transition a piece: the table grows where pieces pass often
+                if len(self.states) < MAX_STATES:  # one new transition a piece: the table grows where pieces pass often
+                    self.transition(state, byte)
+                walkers = self.run(state.walkers, data[at:], out)
+                return (*out, *chain(walkers[-1][1]))
             if known[0]:
                 out += known[0]
             state = known[1]
-        return (*out, *state.flush())
+        return (*out, *chain(state.walkers[-1][1]))
+
+    def in_order(self, pieces: list[str]) -> Iterator[tuple[int, ...]]:
+        """``piece`` of each of the sorted pieces: what a piece shares with the one before is not read again."""
+        path: list[tuple] = [((), self.start, self.start.walkers)]  # after each byte: tokens emitted, state or None, walkers
+        before, run = b"", self.run
+        for piece in pieces:
+            data = piece.encode("utf-8", "surrogatepass")
+            at = 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
+                at += 1
+            del path[at + 1 :]
+            out, state, walkers = path[at]
+            for byte in data[at:]:
+                if state is not None:
+                    known = state.get(byte)
+                    if known is None and len(path) <= at + 1 and len(self.states) < MAX_STATES:
+                        known = self.transition(state, byte)
+                    if known is not None:
+                        out, state = (*out, *known[0]), known[1]
+                        walkers = state.walkers
+                    else:
+                        state, walkers = None, run(walkers, (byte,))
+                else:
+                    walkers = run(walkers, (byte,))
+                path.append((out, state, walkers))
+            before = data
+            yield (*out, *chain(walkers[-1][1]))
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text.  The results for short pieces are kept for a while."""
+        split = [self.split(text) for text in texts]
+        table: dict[str, tuple[int, ...]] = dict.fromkeys(itertools.chain.from_iterable(split))
+        known, older, fresh = self.pieces.get, self.older.get, []
+        for piece in table:
+            ids = known(piece)
+            if ids is None and (ids := older(piece)) is None:
+                if len(piece) <= SHORT:
+                    fresh.append(piece)
+                    continue
+                ids = self.piece(piece)
+            table[piece] = ids
+        fresh.sort()
+        table.update(zip(fresh, self.in_order(fresh)))
+        self.pieces.update((p, ids) for p, ids in table.items() if len(p) <= SHORT)
+        if len(self.pieces) > MAX_PIECES:
+            self.older, self.pieces = self.pieces, {}
+        return [list(itertools.chain.from_iterable([table[p] for p in own])) for own in split]
 
     def encode(self, text: str) -> list[int]:
-        out, known, get = [], self.pieces, self.pieces.get
-        for piece in self.split(text):
-            ids = get(piece)
-            if ids is None:
-                ids = self.older.get(piece)
-                if ids is None:
-                    ids = self.piece(piece)
-                if len(piece) <= 40:  # the transducer's results for short pieces are kept for a while
-                    if len(known) >= MAX_PIECES:
-                        self.older = dict(known)
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        return self.encode_all([text])[0]
 
 
 #: First byte of a sequence: its length, and the range that its second byte must lie in.
@@ -316,6 +373,19 @@ def default_vocabulary() -> tuple[bytes, str]:
     return read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def portions(column) -> Iterator[list[str]]:
+    """Texts of a batch, some PORTION characters together; null is empty."""
+    held, size = [], 0
+    for value in column:
+        held.append(value.as_py() or "")
+        size += len(held[-1])
+        if size >= PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 ENCODED = T.StructType(
     [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 )
@@ -336,15 +406,14 @@ def encode_texts(docs: DataFrame, text: str = "text", raw_ranks: bytes | None =
 
         def run(texts) -> list:
             columns: list[list] = [[], [], []]
-            for value in texts:
-                ids = enc.encode(value.as_py() or "")
-                back = dec.feed(ids) + dec.end()
-                columns[0].append(len(ids))
-                columns[1].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() if digests else ids)
-                columns[2].append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
+            for part in portions(texts):
+                for ids in enc.encode_all(part):
+                    back = dec.feed(ids) + dec.end()
+                    columns[0].append(len(ids))
+                    columns[1].append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() if digests else ids)
+                    columns[2].append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
             return columns
 
-        run.end = enc.forget
         return run
 
     return map_batches(docs, make, [text], DIGESTS if digests else ENCODED)
