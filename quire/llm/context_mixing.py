@@ -1,30 +1,38 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a sequence of binary decisions.  A word among the ``HEAD`` most frequent
-ones is its rank: five decisions for the rank's number of bits, then these bits; any
-other word is the empty rank and then its bytes and a zero byte, by a Huffman code.  Every decision has three hashed contexts with counts of zeros and ones
-(its place alone, after the word before, after the last common word; inside a
-spelled word after one byte, two bytes and the last common word, four bytes).  A
-gate, the depth of the decision and how well the contexts are known, selects the
-weights that add up the three predictions in the logistic domain; an adaptive map of (place, mixed prediction)
-refines the sum.  The product of all decisions is the text's probability.
+ones and the end of a text go down a Huffman tree, where a leaf of its own stands for
+any other word.  Every decision has three hashed contexts with counts of zeros and ones
+(its node alone, after the word before, after the last common word).  A gate, the
+depth of the decision and how well the contexts are known, selects the weights that
+add up the three predictions in the logistic domain; an adaptive map of (place, mixed
+prediction) refines the sum.  The product of all decisions is the text's probability.
+
+The other words are as many as the corpus has: their counts stay a distributed table that
+the texts' words find by a join.  Such a word has the share of its count; what
+Good and Turing leave for words never seen is spelled: the bytes and a zero byte by
+a Huffman code, decided in the same way after one, two and four bytes.  The words
+seen once, as new ones will be, teach how these look.
 
 Learning: word counts are one Spark sum.  The context counts of all training
 texts are summed by partition and added in blocks, in rounds.  Weights and map
 are learned online in a pass over all tokens of all training texts, each decision's
-own occurrence left out of its counts; partitions' results are averaged by their size.  The tables grow with the corpus
-up to ``MAX_BITS``; beyond that contexts share slots.
+own occurrence left out of its counts.  For that pass the texts are dealt by hash into
+shards of some ``SHARD_TOKENS`` tokens, whose number follows the corpus and not the
+cluster; a shard is learned in the order of its hashes, and the shards' results are
+averaged by their size.  So the partitions do not matter.  The context tables grow with
+the corpus up to ``MAX_BITS``; beyond that contexts share slots.
 
 Edge cases: null and empty texts are the end token alone; words and texts of any
 length; equal rows get equal scores; without training texts the counts are zero
 and every decision has probability one half or what the map says; an empty table
-gives an empty result; columns of the input named like an added one are replaced.
+gives an empty result; the text itself is not among the columns of the result; other
+columns of the input named like an added one are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -32,21 +40,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import checkpoint, map_batches, raw_texts
+from quire.llm.common import checkpoint, map_batches, raw_texts, release
 
-#: Ranked words (each of at most HEAD_BYTES bytes, which bounds what is sent); the end of a text is rank 1.
+#: Ranked words (each of at most HEAD_BYTES bytes, which bounds what is sent); rank 0 is any other word, rank 1 the end of a text.
 HEAD, HEAD_BYTES = (1 << 17) - 2, 48
 MIN_BITS, MAX_BITS, BYTE_BITS = 18, 21, 19
-GATES, MAP_PLACES, MAP_STEPS = 48 * 16, 4096, 25
+#: The gates' depths of decisions in ranked words, then in spelled ones; the last places of the map are the spelled ones' depths.
+RANK_DEPTHS, BYTE_DEPTHS = 32, 16
+GATES, MAP_PLACES, MAP_STEPS = (RANK_DEPTHS + BYTE_DEPTHS) * 16, 4096, 25
 #: Words of a rank up to this are common; counts start at PRIOR.
 COMMON, PRIOR = 40, 0.2
-CHUNK_TOKENS, CHUNK_BYTES, BLOCK, FAN_IN = 30_000, 400_000, 1 << 16, 64
+#: Texts are worked on some CHUNK_BYTES together, where equal tokens with equal contexts are worked on once; their
+#: decisions in portions that fit a processor's cache.
+CHUNK_TOKENS, CHUNK_BYTES, WORD_BYTES, BLOCK, FAN_IN = 8_000, 4_000_000, 20_000, 1 << 16, 64
+SHARD_TOKENS = 1_000_000
 END = b"\x00"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -61,223 +75,275 @@ def word_rows(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
 
 
-#: Number of binary digits of each place.
-_DEPTH = np.frexp(np.arange(1 << 19).astype(float))[1].astype(np.int64)
+def scattered(key: np.ndarray) -> np.ndarray:
+    """32 hash bits of 64-bit numbers."""
+    key = (key ^ (key >> np.uint64(31))) * _A
+    key = (key ^ (key >> np.uint64(29))) * _B
+    return (key >> np.uint64(32)).astype(np.uint32)
+
+
+class Code:
+    """A Huffman code: the decisions of symbol s are node[k], bit[k] for k from starts[s], length[s] of them; the root is node 0."""
+
+    def __init__(self, weights: np.ndarray):
+        n = len(weights)
+        order = np.lexsort((np.arange(n), weights))
+        leaves, names, sums, i, j = weights[order].tolist(), order.tolist(), [], 0, 0
+        up, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8)
+        for k in range(n - 1):  # the two lightest of the leaves and the nodes made so far
+            total = 0
+            for bit in (0, 1):
+                if i < n and (j >= k or leaves[i] <= sums[j]):
+                    item, total, i = names[i], total + leaves[i], i + 1
+                else:
+                    item, total, j = n + j, total + sums[j], j + 1
+                up[item], side[item] = k, bit
+            sums.append(total)
+        leaf, at, steps = np.arange(n), np.arange(n), []
+        while len(leaf):  # from all leaves to the root at once
+            k = up[at]
+            steps.append((leaf, n - 2 - k, side[at]))
+            leaf, at = leaf[k < n - 2], n + k[k < n - 2]
+        self.length = np.zeros(n, np.int64)
+        for own, _, _ in steps:
+            self.length[own] += 1
+        self.starts = np.cumsum(self.length) - self.length
+        self.node, self.bit = np.zeros(int(self.length.sum()), np.int32), np.zeros(int(self.length.sum()), np.int8)
+        for level, (own, node, bit) in enumerate(steps):
+            place = self.starts[own] + self.length[own] - 1 - level
+            self.node[place], self.bit[place] = node, bit
+        self.hash = scattered(self.node.astype(np.uint64) + _C)
+
+    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all decisions of the symbols: place in the code's lists, depth, number of the symbol."""
+        own = self.length.take(symbols)
+        before = np.cumsum(own) - own
+        depth = np.arange(int(own.sum())) - np.repeat(before, own)
+        return depth + np.repeat(self.starts.take(symbols), own), depth, np.repeat(np.arange(len(symbols)), own)
 
 
 class Layout:
-    """Where the regions of the count table lie: places, word before, common word, one byte, two bytes, four bytes."""
+    """Where the regions of the count table lie: nodes, word before, common word, one byte, two bytes, four bytes."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        sizes = [1 << 18, 1 << bits, 1 << bits, 1 << 16, 1 << BYTE_BITS, 1 << BYTE_BITS]
+        sizes = [HEAD + 2, 1 << bits, 1 << bits, 1 << 16, 1 << BYTE_BITS, 1 << BYTE_BITS]
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.size = int(self.starts[-1])
 
     def hashed(self, region: int, key: np.ndarray) -> np.ndarray:
-        key = key ^ (key >> np.uint64(31))
-        key = key * _A
-        return (key >> np.uint64(64 - (self.bits if region < 3 else BYTE_BITS))).astype(np.int64) + self.starts[region]
-
-
-def byte_code(head: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Huffman code of bytes as they occur in the ranked words: length, nodes and bits of each byte."""
-    counts = np.bincount(np.frombuffer(END.join(head) + END, np.uint8), minlength=256) + 1
-    heap = [(int(n), k, (k,)) for k, n in enumerate(counts)]
-    heapq.heapify(heap)
-    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-    for node in range(255):
-        n0, _, zeros = heapq.heappop(heap)
-        n1, _, ones = heapq.heappop(heap)
-        for bit, members in ((0, zeros), (1, ones)):
-            for k in members:
-                paths[k].append((node, bit))
-        heapq.heappush(heap, (n0 + n1, 256 + node, zeros + ones))
-    length = np.array([len(p) for p in paths])
-    nodes, bits = np.zeros((256, length.max()), np.int64), np.zeros((256, length.max()), np.int64)
-    for k, p in enumerate(paths):
-        nodes[k, : len(p)], bits[k, : len(p)] = zip(*p[::-1])
-    return length, nodes, bits
+        """Slots of 32-bit hashes."""
+        return (key >> np.uint32(32 - (self.bits if region < 3 else BYTE_BITS))) + self.starts[region]
+
+
+#: Three slots, gate depth, bit, token, place in the map of each decision.
+Rows = tuple
 
 
 class Coder:
-    """Turns tokens into decisions: three slots, depth, bit and token of each."""
+    """Turns tokens into decisions."""
 
-    def __init__(self, head: list[bytes], layout: Layout):
+    def __init__(self, head: list[bytes], weights: np.ndarray, layout: Layout):
+        """``weights`` of the leaves: other words, the end, the words of ``head``."""
         self.rank = {w: k + 2 for k, w in enumerate(head)}
         self.rank[END] = 1
-        self.layout, self.code = layout, byte_code(head)
+        self.layout, self.code = layout, Code(np.maximum(weights, 1))
+        self.letters = Code(np.bincount(np.frombuffer(END.join(head) + END, np.uint8), minlength=256) + 1)
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """For all tokens of the texts: text number, rank (0: spelled), hash of the token; the spelled words, by token."""
-        rank, doc, spelled, hashes = [], [], [], []
+        """For all tokens of the texts: text number, rank; 64-bit hashes, texts and tokens of the words without rank."""
+        rank, lengths, others = [], [], []
         get = self.rank.get
-        for k, raw in enumerate(texts):
+        for raw in texts:
             own = words_of(raw)
-            own.append(END)
             ranks = [get(w, 0) for w in own]
+            ranks.append(1)
             rank += ranks
-            doc.append(np.full(len(own), k))
-            spelled += [w for w, r in zip(own, ranks) if not r]
+            lengths.append(len(ranks))
+            others += [w for w, r in zip(own, ranks) if not r]
         rank = np.array(rank, np.int64)
-        doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
-        hashes = rank.astype(np.uint64)
-        if spelled:
-            hashes[rank == 0] = [xxhash.xxh64_intdigest(w, 42) for w in spelled]  # Spark's xxhash64
-            own_hashes = hashes[rank == 0]
-        self.spelled_hashes = own_hashes if spelled else np.zeros(0, np.uint64)
-        return doc, rank, hashes * _B + _C, spelled, np.flatnonzero(rank == 0)
-
-    def ranked(self, rank: np.ndarray, one: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Decisions of ranks, given the hashes of the word before and of the last common word."""
-        n_bits = _DEPTH[rank]
-        parts = []
-        token = np.arange(len(rank))
-        shifts = np.arange(4, -1, -1)
-        place = (32 + n_bits[:, None]) >> (shifts + 1)
-        parts.append((place.ravel(), ((n_bits[:, None] >> shifts) & 1).ravel(), np.repeat(token, 5)))
-        for b in range(2, int(n_bits.max(initial=0)) + 1):
-            own = token[n_bits == b]
-            if len(own):
-                shifts = np.arange(b - 2, -1, -1)
-                v = rank[own][:, None]
-                parts.append(((32 + (1 << (b - 1)) + (v >> (shifts + 1))).ravel(), (v >> shifts & 1).ravel(), np.repeat(own, b - 1)))
-        place, bit, token = (np.concatenate(x) for x in zip(*parts))
-        key = place.astype(np.uint64) * _C
-        return place, self.layout.hashed(1, key ^ one[token]), self.layout.hashed(2, key ^ common[token]), _DEPTH[place], bit, token
-
-    def spelt(self, words: list[bytes], common: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Decisions of the bytes of words, given the hash of the last common word before each."""
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in others], np.uint64)  # Spark's xxhash64
+        return np.repeat(np.arange(len(texts)), lengths), rank, hashes, others, np.flatnonzero(rank == 0)
+
+    def ranked(self, rank: np.ndarray, one: np.ndarray, common: np.ndarray) -> Rows:
+        """Decisions of ranks, given the 32-bit hashes of the word before and of the last common word."""
+        at, depth, token = self.code.decisions(rank)
+        node, key = self.code.node.take(at).astype(np.int64), self.code.hash.take(at)
+        a, b = self.layout.hashed(1, key ^ one.take(token)), self.layout.hashed(2, key ^ common.take(token))
+        return node, a, b, np.minimum(depth, RANK_DEPTHS - 1), self.code.bit.take(at), token, np.minimum(node, MAP_PLACES - BYTE_DEPTHS - 1)
+
+    def spelt(self, words: list[bytes]) -> Rows:
+        """Decisions of the bytes of words."""
         lengths = np.array([len(w) + 1 for w in words], np.int64)
         flat = np.frombuffer(END.join(words) + END, np.uint8).astype(np.int64)
         inside = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         back = [np.where(inside >= k, np.concatenate([np.zeros(k, np.int64), flat])[: len(flat)], 0) for k in range(1, 5)]
-        length, nodes, bits = self.code
-        own = length[flat]
-        at = np.repeat(np.arange(len(flat)), own)  # the byte of each decision
-        depth = np.arange(len(at)) - np.repeat(np.cumsum(own) - own, own)
-        place, bit = nodes[flat[at], depth], bits[flat[at], depth]
+        at, depth, byte = self.letters.decisions(flat)
+        node, key = self.letters.node.take(at).astype(np.int64), self.letters.hash.take(at)
         two = back[0] << 8 | back[1]
-        word = np.repeat(np.arange(len(words)), lengths)
-        a = self.layout.starts[3] + (back[0][at] << 8 | place)
-        b = self.layout.hashed(4, (two[at] << 8 | place).astype(np.uint64) * _B ^ common[word][at])
-        c = self.layout.hashed(5, ((two << 16 | back[2] << 8 | back[3])[at] << 8 | place).astype(np.uint64) * _C)
-        return a, b, c, 32 + np.minimum(depth, 15), bit, word[at]
-
-    def chunks(self, texts: list[bytes]) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
-        """All decisions of the texts in bounded portions, with the text number of each."""
-        doc, rank, hashes, spelled, at = self.tokens(texts)
-        fresh = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-        one = np.where(fresh, _A, np.concatenate([[_A], hashes])[: len(hashes)])
+        four = two << 16 | back[2] << 8 | back[3]
+        depth = np.minimum(depth, BYTE_DEPTHS - 1)
+        return (
+            self.layout.starts[3] + (back[0].take(byte) << 8 | node), self.layout.hashed(4, key ^ scattered(two.astype(np.uint64)).take(byte)),
+            self.layout.hashed(5, key ^ scattered(four.astype(np.uint64) + _B).take(byte)), RANK_DEPTHS + depth, self.letters.bit.take(at),
+            np.repeat(np.arange(len(words)), lengths).take(byte), MAP_PLACES - BYTE_DEPTHS + depth,
+        )
+
+    def distinct(self, rank: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct (rank, hash of the word before, hash of the last common word) of the tokens; for each token which
+        one it is, and how many tokens each one has."""
+        key = rank.astype(np.uint64)
+        key[rank == 0] = hashes
+        one = np.concatenate([scattered(np.ones(1, np.uint64)), scattered(key)])[: len(key)]  # before the first word of a text stands an end
         # the last common word or end before each token; an end stands for no word yet
         last = np.maximum.accumulate(np.where((rank > 0) & (rank <= COMMON), np.arange(1, len(rank) + 1), 0))
         last = np.concatenate([[0], last])[: len(rank)]
-        common = np.concatenate([[1], rank])[last].astype(np.uint64) * _B + _A
+        common = np.concatenate([[1], rank])[last]
+        key, which, times = np.unique(rank << 38 | common << 32 | one.astype(np.int64), return_inverse=True, return_counts=True)
+        return key >> 38, (key & 0xFFFFFFFF).astype(np.uint32), scattered((key >> 32 & 63).astype(np.uint64) + _A), which, times
+
+    def chunks(self, rank: np.ndarray, one: np.ndarray, common: np.ndarray) -> Iterator[tuple[Rows, np.ndarray]]:
+        """The decisions of ranked tokens in bounded portions, with the token number of each."""
         for k in range(0, len(rank), CHUNK_TOKENS):
             part = slice(k, k + CHUNK_TOKENS)
             rows = self.ranked(rank[part], one[part], common[part])
-            yield rows, doc[part][rows[5]]
-            i, j = np.searchsorted(at, [k, k + CHUNK_TOKENS])
-            while i < j:  # some CHUNK_BYTES of spelled words together; a longer one alone
-                size = np.cumsum([len(w) for w in spelled[i:j]])
-                n = max(1, int(np.searchsorted(size, CHUNK_BYTES // 2, "right")))
-                rows = self.spelt(spelled[i : i + n], common[at[i : i + n]])
-                yield rows, doc[at[i : i + n]][rows[5]]
-                i += n
+            yield rows, rows[5] + k
+
+    def spelled(self, words: list[bytes]) -> Iterator[tuple[Rows, np.ndarray]]:
+        """The decisions of spelled words, some WORD_BYTES of them together, with the word number of each."""
+        held, size, start = [], 0, 0
+        for k, w in enumerate(words):
+            held.append(w)
+            size += len(w) + 1
+            if size >= WORD_BYTES or k + 1 == len(words):
+                rows = self.spelt(held)
+                yield rows, rows[5] + start
+                held, size, start = [], 0, k + 1
 
 
 class Model:
     """The summed counts, the gates' weights and the map."""
 
     def __init__(self, layout: Layout, counts: np.ndarray, weights: np.ndarray | None = None, map_counts: np.ndarray | None = None):
-        self.layout, self.zeros, self.ones = layout, np.ascontiguousarray(counts[:, 0], np.float32), np.ascontiguousarray(counts[:, 1], np.float32)
-        n = self.zeros + self.ones
-        self.known = (n >= 1).astype(np.uint8) + (n >= 3) + (n >= 16)
-        self.logit = np.log((self.ones + np.float32(PRIOR)) / (self.zeros + np.float32(PRIOR)))
+        """``counts``: zeros and ones of each slot, two bytes each."""
+        self.layout, self.counts = layout, np.ascontiguousarray(counts, np.uint16)
         self.weights = np.tile([0.4, 0.3, 0.3, 0.0], (GATES, 1)) if weights is None else weights
-        self.columns = [np.ascontiguousarray(self.weights[:, k], np.float32) for k in range(4)]
         self.map_counts = np.zeros((MAP_PLACES * MAP_STEPS, 2)) if map_counts is None else map_counts
+
+    #: 0 to 3, by a slot's number of decisions.
+    known = np.array([0, 1, 1, *[2] * 13, 3], np.uint32)
+
+    def freeze(self) -> Model:
+        """Makes the tables that scoring reads."""
+        zeros, ones = self.counts[:, 0].astype(np.float32), self.counts[:, 1].astype(np.float32)
+        logit = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
+        # how well a slot is known stands in the logit's two last bits: one look-up for both
+        self.logit = ((logit.view(np.uint32) & np.uint32(0xFFFFFFFC)) | self.known.take(np.minimum(zeros + ones, 16).astype(np.uint8))).view(np.float32)
+        self.columns = [np.ascontiguousarray(self.weights[:, k], np.float32) for k in range(4)]
         middle = (np.arange(MAP_STEPS) - MAP_STEPS // 2) / 1.5
         prior = 1 / (1 + np.exp(-np.tile(middle, MAP_PLACES)))
         p = (self.map_counts[:, 1] + 12 * prior) / (self.map_counts.sum(1) + 12)
         self.map_logit = (np.log(p) - np.log1p(-p)).astype(np.float32)
-
-    def gate(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
-        return rows[3] * 16 + self.known.take(rows[1]) * 4 + self.known.take(rows[2])
+        return self
 
     @staticmethod
     def step(place: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lower of the two map cells around a prediction, and the share of the upper."""
         x = np.clip(z * np.float32(1.5) + np.float32(MAP_STEPS // 2), np.float32(0), np.float32(MAP_STEPS - 1.001))
-        low = x.astype(np.int32)
-        return (place & (MAP_PLACES - 1)) * MAP_STEPS + low, x - low
+        low = x.astype(np.int64)
+        return place * MAP_STEPS + low, x - low.astype(np.float32)
 
-    def log_probability(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+    def log_probability(self, rows: Rows) -> np.ndarray:
         """Natural logarithm of the probability of each decision's bit."""
-        g = self.gate(rows)
+        x = [self.logit.take(rows[k]) for k in range(3)]
+        known = (x[1].view(np.uint32) & np.uint32(3)) << np.uint32(2) | (x[2].view(np.uint32) & np.uint32(3))
+        g = rows[3] * 16 + known
         z = self.columns[3].take(g)
         for k in range(3):
-            z += self.columns[k].take(g) * self.logit.take(rows[k])
-        cell, share = self.step(rows[0], z)
+            z += self.columns[k].take(g) * x[k]
+        cell, share = self.step(rows[6], z)
         low = self.map_logit.take(cell)
         z += low + share * (self.map_logit.take(cell + 1) - low)
-        z *= np.where(rows[4] == 1, np.float32(-0.5), np.float32(0.5))
-        return -(np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))))
+        z *= np.float32(0.5) - rows[4].astype(np.float32)
+        return -(np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z))))
 
-    def learn(self, rows: tuple[np.ndarray, ...], squares: np.ndarray) -> None:
-        """One online step of the weights and the map, with the decisions' own occurrences left out."""
+    def learn(self, rows: Rows, times: np.ndarray, squares: np.ndarray) -> None:
+        """One online step of the weights and the map, with the decisions' own occurrences left out; ``times``: how often
+        each decision was made."""
         bit = rows[4].astype(np.float32)
         x = np.ones((4, len(bit)), np.float32)
-        known = np.zeros(len(bit), np.int64)
+        pairs, known = self.counts.view("<u4").ravel(), rows[3] * 16
         for k in range(3):
-            zeros, ones = self.zeros.take(rows[k]), self.ones.take(rows[k])
-            ones, zeros = np.maximum(ones - bit, 0), np.maximum(zeros - (1 - bit), 0)
-            np.log((ones + PRIOR) / (zeros + PRIOR), out=x[k])
+            both = pairs.take(rows[k])
+            ones = np.maximum((both >> np.uint32(16)).astype(np.float32) - bit, 0)
+            zeros = np.maximum((both & np.uint32(0xFFFF)).astype(np.float32) + (bit - 1), 0)
             if k:
-                n = ones + zeros
-                known = known * 4 + (n >= 1) + (n >= 3) + (n >= 16)
-        g = rows[3] * 16 + known
-        z = sum(np.ascontiguousarray(self.weights[:, k], np.float32).take(g) * x[k] for k in range(4))
-        off = bit - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        step = np.stack([np.bincount(g, off * x[k], GATES) for k in range(4)], 1)
+                known += self.known.take(np.minimum(ones + zeros, 16).astype(np.uint8)) << (4 - 2 * k)
+            ones += np.float32(PRIOR)
+            zeros += np.float32(PRIOR)
+            np.log(ones / zeros, out=x[k])
+        z = sum(np.ascontiguousarray(self.weights[:, k], np.float32).take(known) * x[k] for k in range(4))
+        times = times.astype(np.float32)
+        off = (bit - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * times
+        step = np.stack([np.bincount(known, off * x[k], GATES) for k in range(4)], 1)
         squares += step**2
         self.weights += 0.15 * step / np.sqrt(squares + 1e-6)
-        cell, share = self.step(rows[0], z)
-        for at, part in ((cell, 1 - share), (cell + 1, share)):
-            np.add.at(self.map_counts, (at, rows[4]), part)
+        cell, share = self.step(rows[6], z)
+        flat, upper = self.map_counts.reshape(-1), (share * times).astype(np.float64)
+        cell = cell * 2 + rows[4]
+        np.add.at(flat, cell, times - upper)
+        np.add.at(flat, cell + 2, upper)
 
 
 def portions(column: pa.Array) -> Iterator[list[bytes]]:
-    """Texts of a batch, some CHUNK_BYTES together."""
+    """Texts of a column, some CHUNK_BYTES together."""
     held, size = [], 0
-    for raw in raw_texts(column):
-        held.append(raw)
-        size += len(raw)
-        if size >= CHUNK_BYTES:
-            yield held
-            held, size = [], 0
+    for k in range(0, len(column), 256):
+        for raw in raw_texts(column.slice(k, 256)):
+            held.append(raw)
+            size += len(raw)
+            if size >= CHUNK_BYTES:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
 
+def decided(coder: Coder, texts: pa.Array, words: pa.Array, scatter: bool = False) -> Iterator[tuple[Rows, np.ndarray]]:
+    """The decisions of a batch of rows, texts and words that are spelled, and how often each is made; with ``scatter``
+    not in the order of ranks, for an online learner."""
+    for part in portions(texts.filter(pc.invert(words))):
+        rank, one, common, _, times = coder.distinct(*coder.tokens(part)[1:3])
+        if scatter:
+            order = np.random.default_rng(len(rank)).permutation(len(rank))
+            rank, one, common, times = rank[order], one[order], common[order], times[order]
+        for rows, owner in coder.chunks(rank, one, common):
+            yield rows, times.take(owner)
+    for part in portions(texts.filter(words)):
+        for rows, owner in coder.spelled(part):
+            yield rows, np.ones(len(owner), np.int64)
+
+
 def pack(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype(np.float32).tobytes(), 1)
+    """Eight bytes a number, or four where all are small whole numbers."""
+    kind = np.uint32 if values.max(initial=0) < 1 << 32 and not (values % 1).any() else np.float64
+    return (b"u" if kind is np.uint32 else b"f") + zlib.compress(values.astype(kind).tobytes(), 1)
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.float32).astype(np.float64)
+    return np.frombuffer(zlib.decompress(raw[1:]), np.uint32 if raw[:1] == b"u" else np.float64).astype(np.float64)
 
 
-def add_up(rows: DataFrame, tasks: int) -> DataFrame:
-    """Sums (part, block, sums) over parts: FAN_IN arrays of a block at most in one task, in rounds."""
+def add_up(rows: DataFrame, parts: int) -> DataFrame:
+    """Sums (part, block, sums) over parts in their order: FAN_IN arrays of a block at most in one task, in rounds."""
 
     def add(own: pd.DataFrame) -> pd.DataFrame:
-        total = sum((unpack(x) for x in own["sums"]), np.float64(0)).astype(np.float32)
-        return pd.DataFrame({"part": [own["part"].iat[0]], "block": [own["block"].iat[0]], "sums": [pack(total)]})
+        total = sum((unpack(x) for x in own.sort_values("part")["sums"]), np.float64(0))
+        return pd.DataFrame({"part": [own["part"].iat[0] // FAN_IN], "block": [own["block"].iat[0]], "sums": [pack(total)]})
 
-    while tasks > 1:
-        tasks = -(-tasks // FAN_IN)
-        rows = rows.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part", "block").applyInPandas(add, "part long, block long, sums binary")
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        rows = rows.groupBy(F.expr(f"part div {FAN_IN}"), "block").applyInPandas(add, _SUMS)
     return rows
 
 
@@ -292,45 +358,66 @@ _SUMS = "part long, block long, sums binary"
 _SUMS_ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("sums", pa.binary())])
 
 
-def learn(train: DataFrame, head: list[bytes], tokens: int) -> Model:
-    """The model of the training texts (one column)."""
-    layout = Layout(int(np.clip(math.ceil(math.log2(2 * tokens + 1)), MIN_BITS, MAX_BITS)))
-    train, tasks = learning_tasks(train)
+def learn(train: DataFrame, words: DataFrame, coder_of, layout: Layout, tokens: int) -> Model:
+    """The model of the training texts (``text``, and ``key``: a hash that spreads them) and of the words to be
+    spelled (one column); ``coder_of`` makes the coder; ``tokens``: how many the texts have."""
+    spelled = words.select(F.col(words.columns[0]).alias("text"), F.lit(True).alias("word"))
+    counted, tasks = learning_tasks(train.select("text", F.lit(False).alias("word")).unionByName(spelled))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, table, one = Coder(head, layout), np.zeros((layout.size, 2), np.uint32), np.uint32(1)
+        coder, table = coder_of(), np.zeros((layout.size, 2), np.uint32)
         flat = table.reshape(-1)
         for batch in batches:
-            for texts in portions(batch.column(0)):
-                for rows, _ in coder.chunks(texts):
-                    for k in range(3):
-                        np.add.at(flat, rows[k] * 2 + rows[4], one)
+            for rows, times in decided(coder, batch.column(0), batch.column(1)):
+                times = times.astype(np.uint32)
+                for k in range(3):
+                    np.add.at(flat, rows[k] * 2 + rows[4], times)
         part = TaskContext.get().partitionId()
         for k in range(0, layout.size, BLOCK):
             if table[k : k + BLOCK].any():
-                yield pa.RecordBatch.from_pydict({"part": [part], "block": [k // BLOCK], "sums": [pack(table[k : k + BLOCK].astype(np.float32))]}, _SUMS_ARROW)
+                yield pa.RecordBatch.from_pydict({"part": [part], "block": [k // BLOCK], "sums": [pack(table[k : k + BLOCK].ravel())]}, _SUMS_ARROW)
+        del coder, table, flat
+        release()
 
-    counts = np.zeros((layout.size, 2), np.float32)
-    for row in add_up(train.mapInArrow(count, _SUMS), tasks).toLocalIterator():
+    small = np.zeros((layout.size, 2), np.uint16)
+    for row in add_up(counted.mapInArrow(count, _SUMS), tasks).toLocalIterator():
         own = unpack(row.sums).reshape(-1, 2)
-        counts[row.block * BLOCK : row.block * BLOCK + len(own)] += own
-    halve = np.maximum(1, counts.max(1, keepdims=True) / 60_000)  # two bytes a count
-    small = np.rint(counts / halve).astype(np.uint16)
+        halve = np.maximum(1, own.max(1, keepdims=True) / 60_000)  # two bytes a count
+        small[row.block * BLOCK : row.block * BLOCK + len(own)] = np.rint(own / halve)
+
+    shards = -(-tokens // SHARD_TOKENS) or 1
+    mixed = train.select("text", F.lit(False).alias("word"), F.pmod("key", F.lit(shards)).alias("shard"), "key")
+    own_key = F.xxhash64("text")
+    mixed = mixed.unionByName(spelled.select("text", "word", (F.pmod(own_key, F.lit(shards)) + shards).alias("shard"), own_key.alias("key")))
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, model = Coder(head, layout), Model(layout, small)
-        squares, seen = np.zeros((GATES, 4)), 0
+        coder, model, at, squares, seen = coder_of(), None, None, None, 0
+
+        def sums() -> pa.RecordBatch:
+            values = np.concatenate([model.weights.ravel() * seen, [seen], model.map_counts.ravel()])
+            return pa.RecordBatch.from_pydict({"part": [at], "block": [0], "sums": [pack(values)]}, _SUMS_ARROW)
+
         for batch in batches:
-            for texts in portions(batch.column(0)):
-                for rows, _ in coder.chunks(texts):
-                    model.learn(rows, squares)
-                    seen += len(rows[4])
+            shard = batch.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(shard)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if at != shard[a]:  # a shard begins
+                    if seen:
+                        yield sums()
+                    at, model, squares, seen = int(shard[a]), Model(layout, small), np.zeros((GATES, 4)), 0
+                for rows, times in decided(coder, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), scatter=True):
+                    model.learn(rows, times, squares)
+                    seen += int(times.sum())
         if seen:
-            sums = np.concatenate([model.weights.ravel() * seen, [seen], model.map_counts.ravel()])
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "block": [0], "sums": [pack(sums.astype(np.float32))]}, _SUMS_ARROW)
+            yield sums()
+        del coder, model
+        release()
 
+    dealt = mixed.repartition("shard").sortWithinPartitions("shard", "key").select("text", "word", "shard")
     total = np.zeros(GATES * 4 + 1 + MAP_PLACES * MAP_STEPS * 2)
-    for row in add_up(train.mapInArrow(mix, _SUMS), tasks).toLocalIterator():
+    for row in add_up(dealt.mapInArrow(mix, _SUMS), 2 * shards).toLocalIterator():
         total += unpack(row.sums)
     seen = total[GATES * 4]
     weights = total[: GATES * 4].reshape(GATES, 4) / seen if seen else None
@@ -338,83 +425,122 @@ def learn(train: DataFrame, head: list[bytes], tokens: int) -> Model:
 
 
 ADDS = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("n_tokens", "__head_known")]
-    + [T.StructField(c, T.DoubleType()) for c in ("__head_log", "score", "bits_per_byte")]
-    + [T.StructField("__tail", T.ArrayType(T.LongType()))]
+    [T.StructField(c, T.LongType()) for c in ("n_tokens", "__bytes", "__head_known")]
+    + [T.StructField(c, T.DoubleType()) for c in ("__head_log", "__score")]
+    + [T.StructField("__tail", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("novel", T.DoubleType())])))]
 )
 
 
-_READY: dict[bytes, tuple[Coder, Model]] = {}
+#: What a worker process keeps for its next partitions: the last coder and the last model.
+_CODERS: dict[bytes, Coder] = {}
+_READY: dict[bytes, Model] = {}
 
 
 def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one words), ``score`` (log10 of the
-    model's probability) and ``bits_per_byte``, all learned from the rows for which ``trains`` holds."""
+    """``docs`` without the text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one words), ``score``
+    (log10 of the model's probability) and ``bits_per_byte``, all learned from the rows for which ``trains`` holds."""
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    train = docs.where(trains).select(own.alias("text"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+    train = docs.where(trains).select(own.alias("text"), F.xxhash64(*plain).alias("key"))  # copies of a text lie in different shards
     counts = checkpoint(word_rows(train, F.col("text")).groupBy("word").agg(F.count("*").alias("c")))
     n_docs = train.count()
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    sums = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")
+    ).first()
     total, kinds = sums.n + n_docs, sums.v + (n_docs > 0)
-    # words seen once are spelled, as new words will be, and teach how these look
+    # words seen once are no ranked words, as new words will not be
     top = counts.where((F.octet_length("word") <= HEAD_BYTES) & (F.col("c") > 1)).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    head, head_c = [w.encode() for w in top.column("word").to_pylist()], np.concatenate([[0, n_docs], top.column("c").to_numpy()])
-    model = learn(train, head, total)
+    head, head_c = [w.encode() for w in top.column("word").to_pylist()], np.concatenate([[0, n_docs], top.column("c").to_numpy()]).astype(np.int64)
+    weights = head_c.copy()
+    weights[0] = total - head_c.sum()
+    layout = Layout(int(np.clip(math.ceil(math.log2(2 * total + 1)), MIN_BITS, MAX_BITS)))
+    code_name = hashlib.blake2b(END.join(head) + weights.tobytes() + bytes([layout.bits])).digest()
+
+    def coder_of() -> Coder:
+        if code_name not in _CODERS:
+            _CODERS.clear()
+            _CODERS[code_name] = Coder(head, weights, layout)
+        return _CODERS[code_name]
+
+    model = learn(train, counts.where("c = 1").select("word"), coder_of, layout, total)
     # what the function carries: ranked words, two bytes for each count, weights and map
-    layout, weights, map_counts = model.layout, model.weights, model.map_counts
-    small = np.stack([model.zeros, model.ones], 1).astype(np.uint16)
+    small, gates, map_counts = model.counts, model.weights, model.map_counts
     logs, known = np.log10(head_c + 1.0), head_c > 0
+    # the mass of the other words: words never seen, as many as were seen once; those seen once by those seen twice; the rest by their counts
+    new = sums.once + 1.0
+    once = min(0.9, (2.0 * sums.twice + 0.5) / new)
+    mass = new + sums.once * once + max(0, int(weights[0]) - sums.once)
 
-    name = hashlib.blake2b(small.tobytes() + weights.tobytes() + map_counts.tobytes() + END.join(head)).digest()
+    name = hashlib.blake2b(small.tobytes() + gates.tobytes() + map_counts.tobytes() + END.join(head)).digest()
 
     def make():
-        if name not in _READY:  # a worker process keeps the last model for its next partitions
+        if name not in _READY:
             _READY.clear()
-            _READY[name] = Coder(head, layout), Model(layout, small, weights, map_counts)
-        coder, own_model = _READY[name]
+            _READY[name] = Model(layout, small, gates, map_counts).freeze()
+        coder, own_model = coder_of(), _READY[name]
 
-        def run(texts) -> list:
+        def run(texts, trained) -> list:
             columns: list[list] = [[], [], [], [], []]
-            tails: list[np.ndarray] = []
-            lengths: list[np.ndarray] = []
+            hashed, novel, lengths = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(1, np.int64)]
+            trained, start = np.array(trained.to_pylist(), bool), 0
             for part in portions(texts):
                 n = len(part)
-                doc, rank, _, _, at = coder.tokens(part)
-                tails.append(coder.spelled_hashes.view(np.int64))
+                doc, rank, hashes, others, at = coder.tokens(part)
+                own_rank, one, common, which, _ = coder.distinct(rank, hashes)
+                by_token = np.zeros(len(own_rank))
+                for rows, owner in coder.chunks(own_rank, one, common):
+                    own_logs = np.bincount(rows[5], own_model.log_probability(rows))
+                    by_token[owner[0] : owner[0] + len(own_logs)] = own_logs
+                score = np.bincount(doc, by_token[which], n)
+                # words of training texts are never new
+                fresh = np.flatnonzero(~trained[start : start + n][doc[at]])
+                kinds_of = {w: k for k, w in enumerate(dict.fromkeys([others[k] for k in fresh]))}
+                spelled = np.zeros(len(kinds_of))
+                for rows, owner in coder.spelled(list(kinds_of)):
+                    spelled += np.bincount(owner, own_model.log_probability(rows), len(spelled))
+                new_logs = np.zeros(len(others))
+                new_logs[fresh] = spelled[[kinds_of[others[k]] for k in fresh]] / math.log(10) if len(fresh) else 0
+                hashed.append(hashes.view(np.int64))
+                novel.append(new_logs)
                 lengths.append(np.bincount(doc[at], minlength=n))
-                score = np.zeros(n)
-                for rows, owner in coder.chunks(part):
-                    score += np.bincount(owner, own_model.log_probability(rows), n)
                 ranked = rank > 0
                 columns[0] += np.bincount(doc, minlength=n).tolist()
-                columns[1] += np.bincount(doc[ranked], known[rank[ranked]], n).astype(np.int64).tolist()
-                columns[2] += np.bincount(doc[ranked], logs[rank[ranked]], n).tolist()
-                columns[3] += (score / math.log(10)).tolist()
-                columns[4] += (-score / math.log(2) / np.maximum(1, [len(x) for x in part])).tolist()
-            ends = np.concatenate([[0], np.cumsum(np.concatenate([*lengths, np.zeros(0, np.int64)]))]).astype(np.int32)
-            values = np.concatenate([*tails, np.zeros(0, np.int64)])
-            return [*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))]
+                columns[1] += [len(x) for x in part]
+                columns[2] += np.bincount(doc[ranked], known[rank[ranked]], n).astype(np.int64).tolist()
+                columns[3] += np.bincount(doc[ranked], logs[rank[ranked]], n).tolist()
+                columns[4] += (score / math.log(10)).tolist()
+                start += n
+            ends = np.cumsum(np.concatenate(lengths)).astype(np.int32)
+            tail = pa.StructArray.from_arrays([pa.array(np.concatenate(hashed)), pa.array(np.concatenate(novel))], ["h", "novel"])
+            return [*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)]
 
         return run
 
-    names = [c for c in docs.columns if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")]
-    scored = map_batches(docs.select(*[f"`{c}`" for c in names]), make, [text], ADDS)
+    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    names = [c for c in docs.columns if c.lower() not in added and c.lower() != text.lower()]
+    read = docs.select(*[f"`{c}`" for c in names], F.col(f"`{text}`").alias("__text"), F.coalesce(trains, F.lit(False)).alias("__trains"))
+    scored = map_batches(read, make, ["__text", "__trains"], ADDS).drop("__text", "__trains")
     # the other words find their counts by a join on a 64-bit hash; one row for each document keeps its columns
-    one = F.struct(*[F.col(f"`{c}`") for c in names], "n_tokens", "__head_known", "__head_log", "score", "bits_per_byte")
+    one = F.struct(*[F.col(f"`{c}`") for c in names], "n_tokens", "__bytes", "__head_known", "__head_log", "__score")
     rows = scored.select(F.monotonically_increasing_id().alias("__row"), one.alias("__doc"), "__tail")
     # the entry in front holds the columns; its own key spreads it and counts nothing
-    rows = rows.select("__row", "__doc", F.posexplode(F.concat(F.array("__row"), "__tail")).alias("__k", "__h"))
-    rows = rows.select("__row", F.when(F.col("__k") == 0, F.col("__doc")).alias("__doc"), "__h")
+    first = F.array(F.struct(F.col("__row").alias("h"), F.lit(0.0).alias("novel")))
+    rows = rows.select("__row", "__doc", F.posexplode(F.concat(first, "__tail")).alias("__k", "__w"))
+    rows = rows.select("__row", F.when(F.col("__k") == 0, F.col("__doc")).alias("__doc"), F.col("__w.h").alias("__h"), F.col("__w.novel").alias("__novel"))
     by_hash = counts.groupBy(F.xxhash64("word").alias("__h")).agg(F.sum("c").alias("c"))
     joined = rows.join(by_hash, "__h", "left")
-    c = F.when(F.col("__doc").isNull(), F.coalesce("c", F.lit(0))).otherwise(0)
+    word = F.col("__doc").isNull()
+    c = F.when(word, F.coalesce("c", F.lit(0))).otherwise(0)
+    share = F.when(c == 0, F.col("__novel") + F.lit(math.log10(new / mass))).when(c == 1, F.lit(math.log10(once / mass))).otherwise(F.log10(c / F.lit(float(mass))))
     by_doc = joined.groupBy("__row").agg(
-        F.first("__doc", ignorenulls=True).alias("__doc"), F.sum(F.log10(c + 1.0)).alias("__tail_log"), F.sum((c > 0).cast("long")).alias("__tail_known")
+        F.first("__doc", ignorenulls=True).alias("__doc"), F.sum(F.log10(c + 1.0)).alias("__tail_log"), F.sum((c > 0).cast("long")).alias("__tail_known"),
+        F.sum(F.when(word, share).otherwise(0.0)).alias("__tail_score"),
     )
     floor = math.log10(total + kinds + 1)
+    score = F.col("__doc.__score") + F.col("__tail_score")
     return by_doc.select(
         *[F.col(f"__doc.`{x}`").alias(x) for x in names], F.col("__doc.n_tokens").alias("n_tokens"),
         (F.col("__doc.__head_known") + F.col("__tail_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("__doc.__head_log") + F.col("__tail_log") - F.col("__doc.n_tokens") * F.lit(floor)).alias("base_score"),
-        F.col("__doc.score").alias("score"), F.col("__doc.bits_per_byte").alias("bits_per_byte"),
+        score.alias("score"), (score * F.lit(-math.log2(10)) / F.greatest(F.col("__doc.__bytes"), F.lit(1))).alias("bits_per_byte"),
     )
