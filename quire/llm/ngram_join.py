@@ -201,8 +201,18 @@ def owned(path: int, lists: list[list[int]], side: np.ndarray, cross: bool) -> n
     return free if free.any() else None
 
 
-def close_sizes(size: np.ndarray) -> np.ndarray:
-    return np.minimum(size[:, None], size) * DENOMINATOR >= np.maximum(size[:, None], size) * NUMERATOR
+#: Rows of a bucket's matrix of pairs that are worked on at once: only its bits are held as a whole.
+STRIPE = 128
+
+
+def stripes(n: int) -> Iterator[slice]:
+    return (slice(k, k + STRIPE) for k in range(0, n, STRIPE))
+
+
+def keep_close_sizes(pairs: np.ndarray, size: np.ndarray) -> None:
+    for part in stripes(len(size)):
+        own = size[part, None]
+        pairs[part] &= np.minimum(own, size) * DENOMINATOR >= np.maximum(own, size) * NUMERATOR
 
 
 def alike_sketches(pairs: np.ndarray, sketches: np.ndarray) -> np.ndarray:
@@ -224,7 +234,7 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = owned(path, bucket.column("finals").to_pylist(), bucket.column("side").to_numpy(), cross)
         if pairs is None:
             continue
-        pairs &= close_sizes(bucket.column("size").to_numpy())
+        keep_close_sizes(pairs, bucket.column("size").to_numpy())
         sketches = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         keep = alike_sketches(pairs, sketches).any(1) if pairs.any() else np.zeros(len(pairs), bool)
         if keep.any():
@@ -246,7 +256,7 @@ def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
         part = np.zeros((n, min(2048, total - k)), np.float32)
         part[rows[a:b], column[a:b] - k] = 1
         both += part @ part.T
-    return both.astype(np.int64)
+    return both
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +271,12 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(x, np.uint64) for x in bucket.column("tokens").to_pylist()]
         size = np.array([len(s) for s in sets])
         both = common_tokens(sets)
-        pairs &= DENOMINATOR * both >= NUMERATOR * (size[:, None] + size - both)
-        links = pairs @ bucket.column("weight").to_numpy()
+        weight, links = bucket.column("weight").to_numpy(), np.zeros(len(sets), np.int64)
+        for part in stripes(len(sets)):
+            shared = both[part].astype(np.int64)  # counts below 2 ** 24 are whole in four bytes
+            pairs[part] &= DENOMINATOR * shared >= NUMERATOR * (size[part, None] + size - shared)
+            links[part] = pairs[part] @ weight
+        del sets, both
         nodes = bucket.column("node").to_pylist()
         root = np.arange(len(nodes))
         by_name = sorted(range(len(nodes)), key=nodes.__getitem__)
@@ -294,7 +308,7 @@ def sized(rows: DataFrame) -> DataFrame:
     kinds = rows.groupBy("path", "least").agg(F.count("*").alias("k"))
     buckets = kinds.groupBy("path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q")).where("n > 1")
     buckets = buckets.select(F.col("path"), "n", (F.col("q") >= F.lit(ALIKE) * F.col("n") * F.col("n")).alias("alike"))
-    return rows.join(buckets, "path")
+    return joined_loosely(rows, buckets, "path")
 
 
 def loose(name: str):
@@ -302,6 +316,12 @@ def loose(name: str):
     return F.concat(F.col(name), F.lit(b""))
 
 
+def joined_loosely(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """An inner join on a key that may have very many rows in ``big`` and has one in ``small``."""
+    other = small.withColumnRenamed(key, "__other")
+    return big.join(other, loose(key) == loose("__other")).drop("__other")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) rows with root <= node -> every node that is in a row with the least node of its component."""
     state = checkpoint(edges.where("node <> root").distinct())
@@ -372,7 +392,7 @@ def rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     placed = nodes.select("set_key", "node", "first_id", "weight").join(counted, "node", "left").join(roots, "node", "left")
     placed = checkpoint(placed.select("set_key", "first_id", F.coalesce("root", "node").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     classes = placed.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = placed.join(classes, "root").select("set_key", "root", "class_id", "n_links")
+    named = joined_loosely(placed, classes, "root").select("set_key", "root", "class_id", "n_links")
     out = light.select("doc_id", "text_key", F.col("set_key").alias("__k")).join(named, loose("__k") == loose("set_key"), "left")
     return out.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", "root"
