@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -144,24 +146,52 @@ def test_context_mixing(spark, edge):
 
 
 def test_decisions_are_a_probability():
-    """Over all continuations of one decision tree the probabilities add up to one."""
-    coder = context_mixing.Coder([b"a", b"b", b"c"], context_mixing.Layout(16))
-    rng = np.random.default_rng(1)
-    model = context_mixing.Model(coder.layout, rng.integers(0, 9, (coder.layout.size, 2)))
-    for bits in (1, 2, 5, 9):
-        rank = np.arange(1 << (bits - 1), 1 << bits)
-        rows = coder.ranked(rank, np.full(len(rank), 5, np.uint64), np.full(len(rank), 9, np.uint64))
-        log_p = model.log_probability(rows)
-        length = log_p[: 5 * len(rank)].reshape(-1, 5).sum(1)  # the number of bits, the same for all these ranks
-        assert np.exp(np.bincount(rows[5], log_p)).sum() == pytest.approx(np.exp(length[0]), rel=1e-4)
-
-
-def test_learning_takes_every_decision(spark):
-    rows, head = [f"a b c{k} a a word{k % 7} b" for k in range(90)], [b"a", b"b"]
-    model = context_mixing.learn(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3), head, 720)
-    coder = context_mixing.Coder(head, model.layout)
-    decisions = sum(len(own[4]) for own, _ in coder.chunks([t.encode() for t in rows]))
+    """Over all words of the code, and over all letters after any bytes, the probabilities add up to one."""
+    coder = context_mixing.Coder([b"a", b"bb", b"c", b"dd"], np.array([9, 5, 4, 3, 2, 1]), context_mixing.Layout(16))
+    model = context_mixing.Model(coder.layout, np.random.default_rng(1).integers(0, 9, (coder.layout.size, 2))).freeze()
+    rank = np.arange(6)
+    rows = coder.ranked(rank, np.full(6, 5, np.uint32), np.full(6, 9, np.uint32))
+    assert np.exp(np.bincount(rows[5], model.log_probability(rows))).sum() == pytest.approx(1, rel=1e-4)
+    words = [b"xy" + bytes([k]) for k in range(1, 256)]
+    rows = coder.spelt(words)
+    first = coder.spelt([b"xy"])  # the bytes x and y, then the end of the word
+    n = int((coder.letters.length[np.frombuffer(b"xy", np.uint8)]).sum())
+    end, log_p = coder.letters.length[0], model.log_probability(rows)
+    third = [log_p[rows[5] == k][n : n + coder.letters.length[k + 1]].sum() for k in range(255)]
+    assert np.exp(third).sum() + np.exp(model.log_probability(first)[n : n + end].sum()) == pytest.approx(1, rel=1e-4)
+
+
+def _corpus():
+    return [f"a b c{k} a a word{k % 7} b" for k in range(90)]
+
+
+def _learned(spark, parts):
+    head, weights, layout = [b"a", b"b"], np.array([180, 90, 270, 180]), context_mixing.Layout(18)
+    train = spark.createDataFrame([(t, k) for k, t in enumerate(_corpus())], "text string, key long").repartition(parts)
+    words = spark.createDataFrame([(f"c{k}",) for k in range(90)], "word string")
+    return context_mixing.learn(train, words, lambda: context_mixing.Coder(head, weights, layout), layout, 720)
+
+
+def test_learning_takes_every_decision(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "SHARD_TOKENS", 300)
+    model, other = _learned(spark, 3), _learned(spark, 1)
+    coder = context_mixing.Coder([b"a", b"b"], np.array([180, 90, 270, 180]), model.layout)
+    decisions = sum(int(coder.code.length[coder.tokens([t.encode()])[1]].sum()) for t in _corpus())
+    decisions += sum(len(coder.spelt([b"c%d" % k])[4]) for k in range(90))
     assert model.map_counts.sum() == pytest.approx(decisions, rel=1e-4)
+    assert np.array_equal(model.counts, other.counts) and np.allclose(model.weights, other.weights)  # partitions do not matter
+
+
+def test_held_out_texts_are_better_than_by_word_counts(spark):
+    """The add-one baseline does not say which word a new word is; one that spells it by the frequencies of letters does."""
+    rows = {r.doc_id: r for r in queries.op4_context_mixing(spark, SF).collect()}
+    words = {i: context_mixing.words_of((t or "").encode()) for i, t in texts()}
+    known = {w for i, own in words.items() if not rows[i].held_out for w in own}
+    letters = collections.Counter(x for w in known for x in w + b"\x00")
+    n = sum(letters.values())
+    spelled = sum(math.log10((letters[x] + 1) / (n + 256)) for i, own in words.items() if rows[i].held_out for w in own if w not in known for x in w + b"\x00")
+    held_out = [r for r in rows.values() if r.held_out]
+    assert sum(r.score for r in held_out) > sum(r.base_score for r in held_out) + spelled
 
 
 # 5
@@ -184,6 +214,47 @@ def test_style_tree(spark):
     assert html_extract.extract(spark.createDataFrame([], "url string, html string")).count() == 0
 
 
+def test_only_declared_branches_go():
+    page = '<main><div class="related-work">one</div><section id="search-methods">two</section><article class="post comment">three</article></main>'
+    assert html_extract.main_text(page) == "one\n\ntwo\n\nthree"
+    assert html_extract.main_text("<main>a<!-- b") == "a" and html_extract.main_text("<p>x <b") == "x <b"
+
+
+def test_deep_and_long_pages_take_linear_time():
+    for page in ("<div>" * 20_000 + "x", "<a " * 40_000, "<p><button>" + "<div>" * 20_000, "<ul>" + "<li>x" * 20_000, "<span>" * 20_000 + "</b>" * 20_000):
+        began = time.process_time()
+        html_extract.main_text(page)
+        html_extract.style_values(page)
+        assert time.process_time() - began < 8
+
+
+def _site(k):
+    return (
+        f"<body><div class=top>Our site</div><article><h1>Title {k}</h1><p>Own text {k}</p><div class=note>Join us today</div>"
+        f"<p>{'Read this too' if k % 4 else 'Rare words'}</p><p>More {k * k}</p></article><div class=more>Link {k % 2}</div></body>"
+    )
+
+
+def test_style_tree_against_brute_force(spark):
+    """Entropies and block shares over a small host, counted one by one; without the tree pages keep the notice."""
+    pages = [_site(k) for k in range(16)]
+    shapes, reads, blocks, n = collections.defaultdict(list), collections.defaultdict(list), collections.Counter(), len(pages)
+    for page in pages:
+        nodes, keys = html_extract.style_values(page)
+        for path, shape, text in nodes:
+            shapes[path].append(shape)
+            reads[path].append(text)
+        blocks.update(keys)
+    entropy = lambda own: -sum(c / len(own) * math.log(c / len(own)) for c in collections.Counter(own).values()) / math.log(len(own))
+    low = {p for p in shapes if 0.2 * entropy(shapes[p]) + 0.8 * entropy(reads[p]) < 0.2} | {k for k, c in blocks.items() if c > n / 2}
+    df = spark.createDataFrame([(k, "http://h.org/", x) for k, x in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    rows = html_extract.low_nodes(df.withColumn("__host", F.lit("h.org"))).collect()
+    assert len(rows) == 1 and set(rows[0]["__low"]) == low
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got[3] == "Title 3\n\nOwn text 3\n\nMore 9" and got[4] == "Title 4\n\nOwn text 4\n\nRare words\n\nMore 16"
+    assert html_extract.main_text(pages[3]) == "Title 3\n\nOwn text 3\n\nJoin us today\n\nRead this too\n\nMore 9"
+
+
 # 6
 
 
@@ -283,6 +354,29 @@ def test_near_duplicates_of_shared_passages(spark, monkeypatch):
     assert got == want
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    """At the parameters of the query: every pair of different texts of the table with similarity 0.8 or more."""
+    sets = collections.defaultdict(set)
+    for _, text in texts():
+        tokens = frozenset(ngram_join.shingles((text or "").encode()).tolist())
+        if tokens:
+            sets[tokens].add(text)
+    own, holders, weight = list(sets), collections.defaultdict(list), [len(x) for x in sets.values()]
+    for k, tokens in enumerate(own):
+        for x in tokens:
+            holders[x].append(k)
+    pairs = collections.Counter(p for ks in holders.values() if len(ks) > 1 for p in itertools.combinations(ks, 2))
+    links = [w - 1 for w in weight]
+    for (a, b), n in pairs.items():
+        if 5 * n >= 4 * (len(own[a]) + len(own[b]) - n):
+            links[a] += weight[b]
+            links[b] += weight[a]
+    want = {text: n for n, tokens in zip(links, own) for text in sets[tokens]}
+    got = {r.doc_id: r.n_links for r in queries.op8_ngram_join(spark, SF).collect()}
+    found = [got[i] for i, text in texts() if text in want], [want[text] for _, text in texts() if text in want]
+    assert sum(found[0]) >= 0.99 * sum(found[1]) > 0 and all(x <= y for x, y in zip(*found))
+
+
 def test_one_of_each_with_null_and_repeated_ids(spark):
     """One row of each class stays, whatever its id; rows without words all stay."""
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
