@@ -152,7 +152,7 @@ def is_noise(t, kind, size) -> Column:
     return (
         F.when(among(kind, ["image", "header", "footer", "noise", "list_item", "caption", "footnote"]), False)
         .when((kind == "title") & is_short_title(t, size), False).when(text == "", True).when(among(noise_form(text), L.NOISE_PHRASES), True)
-        .when(among(F.lower(text), L.SHORT_TERMS) | name, False).otherwise((n >= 1) & (n <= 3) & ~text.rlike("[.!?:;]") & ~verb)
+        .when(among(noise_form(text), L.SHORT_TERMS) | ((n >= 1) & F.forall(words, lambda w: among(F.lower(w), L.SHORT_TERMS))) | name, False).otherwise((n >= 1) & (n <= 3) & ~text.rlike("[.!?:;]") & ~verb)
     )
 
 
@@ -187,7 +187,7 @@ def join_texts(a, b) -> Column:
     return (
         F.when(acronym_pair(a, b), F.when(short_a, F.concat(b, F.lit(" ("), a, F.lit(")"))).otherwise(F.concat(a, F.lit(" ("), b, F.lit(")"))))
         .when(low_a.contains(low_b), a).when(low_b.contains(low_a), b)
-        .when(a.endswith("-"), F.concat(F.rtrim(a, F.lit("-")), b)).otherwise(F.concat_ws(" ", a, b))
+        .when(a.endswith("-"), F.concat(F.left(a, F.length(a) - 1), b)).otherwise(F.concat_ws(" ", a, b))
     )
 
 

@@ -69,12 +69,13 @@ def fitted(ops: DataFrame) -> DataFrame:
 
 
 def gates(blocks: DataFrame) -> DataFrame:
-    """Why a document cannot be laid over yet: one conditional count each, the first that fails."""
-    on = among(F.col("type"), [*L.SCORED_TYPES, "table"])
-    none = F.trim("translated_text") == ""
+    """Why a document cannot be laid over yet: one conditional count each, the first that fails.  Only blocks whose status is
+    translated count as done; ratios are of text blocks, tables only save a document from being not ready."""
+    on, none = among(F.col("type"), L.SCORED_TYPES), F.coalesce(F.trim("translated_text"), F.lit("")) == ""
+    done = ~none & (F.col("status") == "translated")
     t = blocks.groupBy("doc_id").agg(
-        F.count_if(on).alias("n"), F.count_if(on & ~none).alias("done"), F.count_if(on & none & ~among(F.col("status"), ["skipped", "needs_review"])).alias("empty"),
+        F.count_if(on).alias("n"), F.count_if(on & done).alias("done"), F.count_if((F.col("type") == "table") & done).alias("tables"), F.count_if(on & none & ~among(F.col("status"), ["skipped", "needs_review"])).alias("empty"),
         F.count_if(on & (F.col("status") == "needs_review") & F.coalesce(F.col("warning") == "english_residual", F.lit(False))).alias("residual"),
     )
-    gate = F.when(F.col("done") == 0, "TRANSLATION_NOT_READY").when(F.col("empty") > 0.2 * F.col("n"), "TRANSLATION_INCOMPLETE").when(F.col("residual") > 0.3 * F.col("n"), "TRANSLATION_QUALITY_FAILED").otherwise("READY")
+    gate = F.when((F.col("done") == 0) & (F.col("tables") == 0), "TRANSLATION_NOT_READY").when(F.col("empty") > 0.2 * F.col("n"), "TRANSLATION_INCOMPLETE").when(F.col("residual") > 0.3 * F.col("n"), "TRANSLATION_QUALITY_FAILED").otherwise("READY")
     return t.select("doc_id", "n", "done", gate.alias("gate"))

@@ -1,24 +1,15 @@
-"""Tables: rows and columns of cells, the filled grid, its confidence and its gaps."""
+"""Tables whose cells have rows and columns: the filled grid, its confidence and its gaps.  Finding them is in ``regions``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import text as X
 from quire.functions.scores import clamp
-from quire.functions.text import among
 
 TABLE = ["doc_id", "table_no"]
 
 
-def is_cell(t: str, kind: str) -> Column:
-    """Whether a block can be a table cell: a few words in a small box, no page edge."""
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    words = F.size(X.words_split(t))
-    return ~among(F.col(kind), ["header", "footer", "image", "noise"]) & words.between(1, 6) & w.between(8, 180) & h.between(5, 28)
-
-
 def piped_cells(documents: DataFrame) -> DataFrame:
     """Cells of texts with `` | `` between them: lines are rows, places follow from row and column."""
     lines = documents.where(F.col("text").contains(" | ")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -28,23 +19,6 @@ def piped_cells(documents: DataFrame) -> DataFrame:
     return cells.withColumns({"x0": x0, "y0": y0, "x1": x0 + F.greatest(F.lit(8.0), F.least(F.lit(50.0), 5.0 * F.length("source_text"))), "y1": y0 + 14.0})
 
 
-def row_islands(cells: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """Rows by vertical centre: a new one where the centre moves on by more than the tolerance."""
-    order = Window.partitionBy(*TABLE).orderBy("y0", "x0")
-    center = (F.col("y0") + F.col("y1")) / 2
-    opened = F.coalesce((center - F.lag(center).over(order) > tolerance).cast("int"), F.lit(1))
-    return cells.withColumn("row_no", F.sum(opened).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def row_groups(cells: DataFrame) -> DataFrame:
-    """Runs of rows with equal numbers of cells (two or more) and gaps of 4 to 32: one row for each run of two or more rows."""
-    rows = row_islands(cells).groupBy(*TABLE, "row_no").agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.max("y1").alias("bottom")).where("n >= 2")
-    order = Window.partitionBy(*TABLE).orderBy("row_no")
-    breaks = ~((F.col("n") == F.lag("n").over(order)) & (F.col("top") - F.lag("bottom").over(order)).between(4, 32))
-    runs = rows.withColumn("run", F.sum(F.coalesce(breaks.cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*TABLE, "run").agg(F.count("*").alias("n_rows"), F.max("n").alias("n_columns"), F.min("row_no").cast("long").alias("first_row")).where("n_rows >= 2").drop("run")
-
-
 def columns(cells: DataFrame) -> DataFrame:
     """Columns of a table: extent, centre, support and number of distinct heights, left to right."""
     c = cells.groupBy(*TABLE, "column_index").agg(
@@ -54,10 +28,17 @@ def columns(cells: DataFrame) -> DataFrame:
 
 
 def boundaries(cells: DataFrame) -> DataFrame:
-    """Logical edges of columns: half way between neighbours' centres, x0 - 4 and x1 + 10 at the outer edges."""
+    """Logical edges of columns: half way between neighbours' centres, but outside the column's own cells by 3 and its
+    neighbours' by 2 and 3; x0 - 4 and x1 + 10 at the outer edges."""
     order = Window.partitionBy(*TABLE).orderBy("x0", "column_index")
-    left, right = (F.lag("center").over(order) + F.col("center")) / 2, (F.lead("center").over(order) + F.col("center")) / 2
-    c = columns(cells).withColumns({"left_boundary": F.coalesce(left, F.col("x0") - 4), "right_boundary": F.coalesce(right, F.col("x1") + 10)})
+    middle = lambda other: (other("center").over(order) + F.col("center")) / 2
+    left = F.greatest(F.lag("x1").over(order) + 2, F.least(F.col("x0") - 3, middle(F.lag)))
+    right = F.least(F.lead("x0").over(order) - 3, F.greatest(F.col("x1") + 3, middle(F.lead)))
+    # greatest and least skip nulls: the outer edges are told by the neighbour's absence
+    first, last = F.lag("x1").over(order).isNull(), F.lead("x0").over(order).isNull()
+    c = columns(cells).withColumns({"__l": F.when(first, F.col("x0") - 4).otherwise(left), "__r": F.when(last, F.col("x1") + 10).otherwise(right)})
+    crossed = F.col("__r") <= F.col("__l")
+    c = c.withColumns({"left_boundary": F.when(crossed, F.col("x0") - 3).otherwise(F.col("__l")), "right_boundary": F.when(crossed, F.col("x1") + 6).otherwise(F.col("__r"))}).drop("__l", "__r")
     return c.withColumn("logical_width", F.col("right_boundary") - F.col("left_boundary"))
 
 
@@ -79,12 +60,14 @@ def diagnostics(cells: DataFrame) -> DataFrame:
 
 
 def confidence(cells: DataFrame) -> DataFrame:
-    """Grid confidence: .25 rows of the usual width, .22 filled cells, .23 columns that repeat, .3 grid less its gaps; 0 under 2 by 2."""
+    """Grid confidence: .25 rows of the usual width, .22 filled cells, .23 columns found of the usual width, .3 grid less its
+    gaps; 0 under two rows or where a row has fewer than two cells.  Of equally usual widths the least counts."""
     widths = cells.groupBy(*TABLE, "row_index").agg(F.count("*").alias("w"))
-    usual = widths.groupBy(*TABLE, "w").agg(F.count("*").alias("k")).groupBy(*TABLE).agg(F.max("k").alias("usual"), F.sum("k").alias("n_rows"))
+    usual = widths.groupBy(*TABLE, "w").agg(F.count("*").alias("k")).groupBy(*TABLE).agg(
+        F.max("k").alias("usual"), F.max_by("w", F.struct("k", -F.col("w"))).alias("expected"), F.min("w").alias("narrowest"), F.sum("k").alias("n_rows")
+    )
     g = grid(cells).groupBy(*TABLE).agg(F.count("*").alias("n"), F.count_if("empty_cell").alias("empty"), F.countDistinct("column_index").alias("n_columns"))
-    repeats = columns(cells).groupBy(*TABLE).agg(F.count_if(F.col("support") >= 2).alias("repeating"))
-    t = g.join(usual, TABLE).join(repeats, TABLE)
+    t = g.join(usual, TABLE)
     hole = F.col("empty") / F.col("n")
-    score = 0.25 * F.col("usual") / F.col("n_rows") + 0.22 * (1 - hole) + 0.23 * F.col("repeating") / F.col("n_columns") + 0.3 * (1 - F.least(F.lit(0.45), 0.8 * hole) - F.least(F.lit(0.3), 0.5 * hole))
-    return t.select(*TABLE, F.col("n_rows"), F.col("n_columns"), F.when((F.col("n_rows") < 2) | (F.col("n_columns") < 2), 0.0).otherwise(clamp(score)).alias("confidence"))
+    score = 0.25 * F.col("usual") / F.col("n_rows") + 0.22 * (1 - hole) + 0.23 * F.least(F.lit(1.0), F.col("n_columns") / F.col("expected")) + 0.3 * (1 - F.least(F.lit(0.45), 0.8 * hole) - F.least(F.lit(0.3), 0.5 * hole))
+    return t.select(*TABLE, F.col("n_rows"), F.col("n_columns"), F.when((F.col("n_rows") < 2) | (F.col("narrowest") < 2), 0.0).otherwise(clamp(score)).alias("confidence"))

@@ -220,8 +220,22 @@ grid AS (SELECT r.doc_id, 1 AS table_no, r.row_index, c.column_index, coalesce(x
   FROM (SELECT DISTINCT doc_id, row_index FROM cells) r JOIN (SELECT DISTINCT doc_id, column_index FROM cells) c USING (doc_id) LEFT JOIN cells x ON x.doc_id = r.doc_id AND x.row_index = r.row_index AND x.column_index = c.column_index),
 cols AS (SELECT doc_id, column_index, min(x0) AS x0, max(x1) AS x1, count(*) AS support, count(DISTINCT round_even(y0 / 8, 0)) AS vertical_repetition, (min(x0) + max(x1)) / 2 AS center FROM box GROUP BY ALL)
 """
+#: Closed form of table regions for cells whose places follow from row and column: runs of neighbouring rows of equal width.
+REGIONS = r""",
+ck AS (SELECT doc_id, row_index, column_index, source_text FROM cells WHERE len(string_split(regexp_replace(trim(regexp_replace(source_text, '\s+', ' ', 'g')), '^$', ''), ' ')) <= 6 AND trim(regexp_replace(source_text, '\s+', ' ', 'g')) <> ''),
+rw AS (SELECT doc_id, row_index, list(column_index ORDER BY column_index) AS cs FROM ck GROUP BY ALL HAVING count(*) >= 2),
+rj AS (SELECT *, lag(row_index) OVER w AS pr, lag(cs) OVER w AS pcs FROM rw WINDOW w AS (PARTITION BY doc_id ORDER BY row_index)),
+gr AS (SELECT doc_id, row_index, cs, sum(CASE WHEN pr = row_index - 1 AND len(pcs) = len(cs) AND len(list_filter(list_zip(pcs, cs), lambda z: z[1] = z[2])) >= greatest(2, len(cs) - 1) THEN 0 ELSE 1 END)
+  OVER (PARTITION BY doc_id ORDER BY row_index) AS run FROM rj),
+gk AS (SELECT g.doc_id, g.run, k.row_index, k.column_index, k.source_text FROM gr g JOIN ck k USING (doc_id, row_index)),
+rk AS (SELECT doc_id, run, min(row_index) AS first_row, count(DISTINCT row_index) AS n_rows, count(DISTINCT column_index) AS n_columns, count(*) AS n_cells,
+  1 - count(*) / (count(DISTINCT row_index) * count(DISTINCT column_index))::DOUBLE AS hole FROM gk GROUP BY ALL HAVING count(DISTINCT row_index) >= 2),
+rg AS (SELECT *, round(0.25 + 0.22 * (1 - hole) + 0.23 + 0.3 * (1 - least(0.45, 0.8 * hole) - least(0.3, 0.5 * hole)), 3) AS confidence,
+  round(greatest(0, least(1, 0.25 + 0.2 * (1 - hole) + 0.2 + 0.2 + 0.15 * greatest(0, 1 - least(0.3, 0.55 * hole) - least(0.25, 0.45 * hole)) - least(0.2, 0.35 * hole))), 3) AS quality FROM rk
+  WHERE round(0.25 + 0.22 * (1 - hole) + 0.23 + 0.3 * (1 - least(0.45, 0.8 * hole) - least(0.3, 0.5 * hole)), 3) >= 0.6)
+"""
 EVENTS = "ev AS (SELECT user_id AS doc_id, event_id AS job_id, ts, CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status FROM events)"
-PLAIN = r"trim(regexp_replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+PLAIN = r"trim(regexp_replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
 OVERLAY = (
     SCORED + rf""",
 ov AS (SELECT *, type IN {TYPES} AND trim(source_text) <> '' AND x1 - x0 >= 2 AS mask,
@@ -251,9 +265,13 @@ ORACLE_SQL |= {
     "contained_fragments_anti": ONLY_BLOCKS + f""", nb AS (SELECT *, lower({NORM}) AS m, {WORD4} AS ws FROM blocks)
         SELECT doc_id, pos, source_text FROM nb a WHERE NOT (len(a.ws) BETWEEN 1 AND 3 AND length(a.m) <= 36 AND EXISTS (SELECT 1 FROM nb b WHERE b.doc_id = a.doc_id AND b.page_number = a.page_number AND b.pos <> a.pos
           AND contains(b.m, a.m) AND length(b.m) > length(a.m) + 5 AND greatest(b.y0 - a.y1, a.y0 - b.y1, 0) <= 12))""",
-    "overlap_pairs": ONLY_BLOCKS + """, cp AS (SELECT *, 0 AS copy FROM blocks UNION ALL SELECT * REPLACE (x0 + 0.2 AS x0, y0 + 0.2 AS y0, x1 + 0.2 AS x1, y1 + 0.2 AS y1), 1 FROM blocks WHERE doc_id % 10 = 0)
+    "overlap_pairs": ONLY_BLOCKS + """, cp AS (SELECT *, 0 AS copy FROM blocks UNION ALL SELECT * REPLACE (x0 + 0.2 AS x0, y0 + 0.2 AS y0, x1 + 0.2 AS x1, y1 + 0.2 AS y1), 1 FROM blocks)
         SELECT a.doc_id, a.page_number, a.pos, a.copy, b.pos AS other_pos, b.copy AS other_copy FROM cp a JOIN cp b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND (a.pos, a.copy) < (b.pos, b.copy)
-        WHERE greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) > 0.9 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))""",
+        WHERE greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) > 0.95 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))""",
+    "block_dedup": ONLY_BLOCKS + """, cp AS (SELECT *, 0 AS copy FROM blocks UNION ALL SELECT * REPLACE (x0 + 0.2 AS x0, y0 + 0.2 AS y0, x1 + 0.2 AS x1, y1 + 0.2 AS y1), 1 FROM blocks),
+        pr AS (SELECT a.doc_id, b.pos, b.copy FROM cp a JOIN cp b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.type = b.type AND a.source_text = b.source_text AND (a.pos, a.copy) < (b.pos, b.copy)
+        WHERE greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) > 0.95 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)))
+        SELECT doc_id, pos, copy FROM cp ANTI JOIN pr USING (doc_id, pos, copy)""",
     "repeating_artifacts": ONLY_BLOCKS + """, pg AS (SELECT DISTINCT doc_id, page_number FROM blocks), n AS (SELECT doc_id, count(*) AS c FROM pg GROUP BY 1)
         SELECT doc_id, page_number, CASE WHEN c >= 2 THEN 'header' ELSE 'unknown' END AS type, CASE WHEN c >= 2 THEN 'repeating_header' END AS role, source AS source_text FROM pg JOIN n USING (doc_id) JOIN documents USING (doc_id)
         UNION ALL SELECT doc_id, page_number, CASE WHEN c >= 2 THEN 'footer' ELSE 'unknown' END, CASE WHEN c >= 2 THEN 'repeating_footer' END, 'Page ' || page_number FROM pg JOIN n USING (doc_id)""",
@@ -269,23 +287,28 @@ ORACLE_SQL |= {
     "job_conflicts": "WITH " + EVENTS + """ SELECT doc_id, job_id, before, 'PROCESS_ALREADY_RUNNING' AS code FROM (SELECT *, lag(status) OVER (PARTITION BY doc_id ORDER BY ts, job_id) AS before FROM ev)
         WHERE status = 'queued' AND before IN ('queued', 'processing')""",
     "page_limits": ONLY_BLOCKS + "SELECT doc_id, max(page_number) AS page_count, CASE WHEN max(page_number) > 10 THEN 'TOO_MANY_PAGES' WHEN max(length(trim(source_text))) = 0 THEN 'NO_SELECTABLE_TEXT' ELSE '' END AS code FROM blocks GROUP BY 1",
-    "translation_gates": STATED + f"""SELECT doc_id, count(*) FILTER (type IN {TYPES}) AS n, count(*) FILTER (type IN {TYPES} AND trim(translated_text) <> '') AS done,
-        CASE WHEN count(*) FILTER (type IN {TYPES} AND trim(translated_text) <> '') = 0 THEN 'TRANSLATION_NOT_READY'
+    "translation_gates": STATED + f"""SELECT doc_id, count(*) FILTER (type IN {TYPES}) AS n, count(*) FILTER (type IN {TYPES} AND status = 'translated' AND trim(translated_text) <> '') AS done,
+        CASE WHEN count(*) FILTER (type IN {TYPES} AND status = 'translated' AND trim(translated_text) <> '') = 0 THEN 'TRANSLATION_NOT_READY'
           WHEN count(*) FILTER (type IN {TYPES} AND trim(translated_text) = '' AND status <> 'needs_review') > 0.2 * count(*) FILTER (type IN {TYPES}) THEN 'TRANSLATION_INCOMPLETE' ELSE 'READY' END AS gate FROM st GROUP BY 1""",
     "overlay_ops": OVERLAY + "SELECT doc_id, pos, op, text, warning, x0, y0, x1, y1 FROM ops",
     "overlay_fit": OVERLAY + """SELECT doc_id, pos, op, CAST(coalesce(list_max(f), 7) AS INTEGER) AS font_size, len(f) = 0 AS overflow FROM (SELECT *, list_filter(range(7, CAST(trunc(greatest(least(size, 18), 7)) AS BIGINT) + 1),
         lambda z: (CASE WHEN x1 <= x0 THEN 999 ELSE greatest(1, ceil(CAST(length(text) AS DOUBLE) / greatest(floor((x1 - x0) / (z * 0.52)), 1))) END) * z * 1.2 <= y1 - y0) AS f FROM ops WHERE op <> 'mask')""",
+    "table_regions": "WITH " + GRID + REGIONS + """SELECT doc_id, 1 AS page_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_row) AS INTEGER) AS table_no, n_rows, n_columns, n_cells, confidence FROM rg""",
+    "table_cells": "WITH " + GRID + REGIONS + """, tn AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_row) AS INTEGER) AS table_no FROM rg),
+        gc AS (SELECT DISTINCT doc_id, run, column_index FROM gk), gl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY column_index) - 1 AS c FROM gc)
+        SELECT t.doc_id, t.table_no, CAST(r.row_index - t.first_row AS INTEGER) AS row_index, CAST(l.c AS INTEGER) AS column_index, coalesce(k.source_text, '') AS source_text, k.source_text IS NULL AS empty_cell
+        FROM tn t JOIN gr r ON r.doc_id = t.doc_id AND r.run = t.run JOIN gl l ON l.doc_id = t.doc_id AND l.run = t.run LEFT JOIN gk k ON k.doc_id = t.doc_id AND k.run = t.run AND k.row_index = r.row_index AND k.column_index = l.column_index""",
+    "table_totals": "WITH " + GRID + REGIONS + """SELECT doc_id, CAST(count(*) AS BIGINT) AS tables, CAST(sum(n_cells) AS BIGINT) AS cells, CAST(sum(n_cells) AS BIGINT) AS open_cells, round(avg(quality), 3) AS table_score FROM rg GROUP BY 1""",
     "table_grid": "WITH " + GRID + "SELECT * FROM grid",
     "table_diagnostics": "WITH " + GRID + """SELECT doc_id, table_no, count(DISTINCT row_index) AS rows, count(DISTINCT column_index) AS columns, count(*) AS expected, count(*) FILTER (NOT empty_cell) AS mapped,
         coalesce(string_agg(row_index || ':' || column_index, ',' ORDER BY row_index, column_index) FILTER (empty_cell), '') AS missing FROM grid GROUP BY ALL""",
     "table_confidence": "WITH " + GRID + f""", wd AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, row_index, count(*) AS w FROM cells GROUP BY ALL) GROUP BY ALL),
-        us AS (SELECT doc_id, max(k) AS usual, CAST(sum(k) AS BIGINT) AS n_rows FROM wd GROUP BY 1), gg AS (SELECT doc_id, count(*) AS n, count(*) FILTER (empty_cell) AS empty, count(DISTINCT column_index) AS n_columns FROM grid GROUP BY 1),
-        rp AS (SELECT doc_id, count(*) FILTER (support >= 2) AS rep FROM cols GROUP BY 1)
-        SELECT doc_id, 1 AS table_no, n_rows, n_columns, CASE WHEN n_rows < 2 OR n_columns < 2 THEN 0.0 ELSE {clamp('0.25::DOUBLE * usual / n_rows + 0.22::DOUBLE * (1 - empty / n) + 0.23::DOUBLE * rep / n_columns + 0.3::DOUBLE * (1 - least(0.45::DOUBLE, 0.8::DOUBLE * empty / n) - least(0.3::DOUBLE, 0.5::DOUBLE * empty / n))')} END AS confidence
-        FROM gg JOIN us USING (doc_id) JOIN rp USING (doc_id)""",
-    "column_boundaries": "WITH " + GRID + """SELECT doc_id, column_index, support, vertical_repetition, lb AS left_boundary, rb AS right_boundary, rb - lb AS logical_width FROM (SELECT *, coalesce((lag(center) OVER w + center) / 2, x0 - 4) AS lb,
-        coalesce((lead(center) OVER w + center) / 2, x1 + 10) AS rb FROM cols WINDOW w AS (PARTITION BY doc_id ORDER BY x0, column_index))""",
-    "web_blocks": f"""WITH p AS (SELECT page_id, list_concat(list_concat([{{'type': 'title', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1)], [{{'type': 'paragraph', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<p>([^<]*)</p>', 1)]),
+        us AS (SELECT doc_id, max(k) AS usual, arg_max(w, (k, -w)) AS expected, min(w) AS narrowest, CAST(sum(k) AS BIGINT) AS n_rows FROM wd GROUP BY 1), gg AS (SELECT doc_id, count(*) AS n, count(*) FILTER (empty_cell) AS empty, count(DISTINCT column_index) AS n_columns FROM grid GROUP BY 1)
+        SELECT doc_id, 1 AS table_no, n_rows, n_columns, CASE WHEN n_rows < 2 OR narrowest < 2 THEN 0.0 ELSE {clamp('0.25::DOUBLE * usual / n_rows + 0.22::DOUBLE * (1 - empty / n) + 0.23::DOUBLE * least(1.0, n_columns / expected) + 0.3::DOUBLE * (1 - least(0.45::DOUBLE, 0.8::DOUBLE * empty / n) - least(0.3::DOUBLE, 0.5::DOUBLE * empty / n))')} END AS confidence
+        FROM gg JOIN us USING (doc_id)""",
+    "column_boundaries": "WITH " + GRID + """SELECT doc_id, column_index, support, vertical_repetition, lb AS left_boundary, rb AS right_boundary, rb - lb AS logical_width FROM (SELECT *, CASE WHEN lag(x1) OVER w IS NULL THEN x0 - 4 ELSE greatest(lag(x1) OVER w + 2, least(x0 - 3, (lag(center) OVER w + center) / 2)) END AS lb,
+        CASE WHEN lead(x0) OVER w IS NULL THEN x1 + 10 ELSE least(lead(x0) OVER w - 3, greatest(x1 + 3, (lead(center) OVER w + center) / 2)) END AS rb FROM cols WINDOW w AS (PARTITION BY doc_id ORDER BY x0, column_index))""",
+    "web_blocks": f"""WITH p AS (SELECT page_id, list_concat(list_concat(list_concat([{{'type': 'header', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<nav>(.*?)</nav>', 1)], [{{'type': 'title', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1)]), [{{'type': 'paragraph', 's': x}} FOR x IN regexp_extract_all(regexp_replace(regexp_replace(html, '<br[^>]*>', ' ', 'g'), '</?(?:a|b|i|u|em|strong|span|code|small|sub|sup)(?: [^>]*)?>', '', 'g'), '<p>([^<]*)', 1)]),
         list_concat([{{'type': 'list_item', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)], [{{'type': 'footer', 's': x}} FOR x IN regexp_extract_all(html, '(?s)<footer>(.*?)</footer>', 1)])) AS b FROM pages)
         SELECT page_id, CAST(pos AS INTEGER) AS pos, b.type AS type, {PLAIN.format('b.s')} AS source_text FROM (SELECT page_id, unnest(range(len(b))) AS pos, unnest(b) AS b FROM p)""",
     "label_agreement": REPORT + "SELECT recommendation, quality, toxic, count(*) AS n FROM report JOIN labels USING (doc_id) GROUP BY ALL",
@@ -310,7 +333,7 @@ ORACLE_SQL |= {
         SELECT doc_id, pos, type FROM nz WHERE CASE WHEN type IN ('image', 'header', 'footer', 'noise', 'list_item', 'caption', 'footnote') THEN false
           WHEN type = 'title' AND ((size >= 14 AND length(s) >= 4) OR (len(w) BETWEEN 1 AND 5 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.8 * len(w) AND length(s) >= 8)) THEN false
           WHEN s = '' OR {edge('lower(s)')} IN {words(L.NOISE_PHRASES)} THEN true
-          WHEN lower(s) IN {words(L.SHORT_TERMS)} OR (len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z][a-z]+$'))) = 0) THEN false
+          WHEN {edge('lower(s)')} IN {words(L.SHORT_TERMS)} OR (len(w) >= 1 AND len(list_filter(w, lambda x: lower(x) NOT IN {words(L.SHORT_TERMS)})) = 0) OR (len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z][a-z]+$'))) = 0) THEN false
           ELSE len(w) BETWEEN 1 AND 3 AND NOT regexp_matches(s, '[.!?:;]') AND NOT regexp_matches({BARE.format('s')}, '(?i)\b({L.VERBS})\b') AND NOT regexp_matches({BARE.format('s')}, '\b[A-Za-z]+(?:{L.VERB_ENDINGS})\b') END""",
     "protected_tokens": ONLY_BLOCKS + rf""", pt AS (SELECT doc_id, pos, list_concat(list_concat(regexp_extract_all(source_text, 'https?://[^\s)]+'), regexp_extract_all(source_text, '\[[0-9A-Za-z]+\]')),
         list_concat(regexp_extract_all(source_text, '\([0-9]+\)'), regexp_extract_all({BARE.format('source_text')}, '\b[A-Z]{{2,}}\b'))) AS z FROM blocks)

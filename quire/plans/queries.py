@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import scores as S
@@ -312,10 +312,28 @@ def column_boundaries(spark, sf_dir):
     return boundaries(_cells(spark, sf_dir)).select("doc_id", "column_index", "support", "vertical_repetition", "left_boundary", "right_boundary", "logical_width")
 
 
-def row_groups(spark, sf_dir):
-    from quire.operators.tables import row_groups as groups
+def _cell_blocks(spark, sf_dir):
+    """Cells of piped lines as the blocks of one page."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("row_index", "column_index"))
+    return _cells(spark, sf_dir).withColumns({"page_number": F.lit(1), "type": F.lit("unknown"), "pos": place})
 
-    return groups(_cells(spark, sf_dir))
+
+def table_regions(spark, sf_dir):
+    from quire.operators import regions
+
+    return regions.table_blocks(regions.table_cells(_cell_blocks(spark, sf_dir))).select("doc_id", "page_number", "table_no", "n_rows", "n_columns", "n_cells", "confidence")
+
+
+def table_cells(spark, sf_dir):
+    from quire.operators import regions
+
+    return regions.table_cells(_cell_blocks(spark, sf_dir)).select("doc_id", "table_no", "row_index", "column_index", "source_text", "empty_cell")
+
+
+def table_totals(spark, sf_dir):
+    from quire.operators import regions
+
+    return regions.table_totals(regions.table_cells(_cell_blocks(spark, sf_dir)))
 
 
 def web_blocks(spark, sf_dir):

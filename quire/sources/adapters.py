@@ -47,14 +47,19 @@ def stand_in(blocks: DataFrame) -> DataFrame:
 
 
 def web_blocks(pages: DataFrame) -> DataFrame:
-    """Headings, paragraphs, list items and footers of a page, in order of kind, tags stripped."""
+    """Navigation (header), headings, paragraphs, list items and footers of a page, in order of kind, tags stripped.
+
+    A paragraph ends at the next tag that is not an inline one, as many are not closed.
+    """
+    inline = F.regexp_replace(F.regexp_replace("html", "<br[^>]*>", " "), "</?(?:a|b|i|u|em|strong|span|code|small|sub|sup)(?: [^>]*)?>", "")
+
     def found(pattern: str, kind: str):
-        parts = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+        parts = F.regexp_extract_all(inline if kind == "paragraph" else F.col("html"), F.lit(pattern), F.lit(1))
         return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("type"), i.alias("k"), _plain(x).alias("source_text")))
 
-    both = F.concat(found(r"(?s)<h1>(.*?)</h1>", "title"), found(r"(?s)<p>([^<]*)</p>", "paragraph"), found(r"(?s)<li>(.*?)</li>", "list_item"), found(r"(?s)<footer>(.*?)</footer>", "footer"))
+    both = F.concat(found(r"(?s)<nav>(.*?)</nav>", "header"), found(r"(?s)<h1>(.*?)</h1>", "title"), found(r"<p>([^<]*)", "paragraph"), found(r"(?s)<li>(.*?)</li>", "list_item"), found(r"(?s)<footer>(.*?)</footer>", "footer"))
     return pages.select("page_id", F.posexplode(both).alias("pos", "b")).select("page_id", "pos", F.col("b.type").alias("type"), F.col("b.source_text").alias("source_text"))
 
 
 def _plain(x):
-    return F.trim(F.regexp_replace(F.replace(F.regexp_replace(x, "<[^>]*>", ""), F.lit("&amp;"), F.lit("&")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.replace(F.regexp_replace(x, "<[^>]*>", " "), F.lit("&amp;"), F.lit("&")), r"\s+", " "))
