@@ -68,6 +68,24 @@ def merge(batches: list[DataFrame]) -> DataFrame:
     return renumber(out)
 
 
+def payload_warnings(batches: DataFrame) -> DataFrame:
+    """Warnings of a document's batches (doc_id, batch_id, warnings), each once, in the order of the first batch that has it."""
+    rows = batches.select("doc_id", "batch_id", F.posexplode("warnings").alias("k", "warning"))
+    first = rows.groupBy("doc_id", "warning").agg(F.min(F.struct("batch_id", "k")).alias("at"))
+    return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "warning"))), lambda x: x["warning"]), ",").alias("warnings"))
+
+
+#: What a stored batch without these values has (fixed values).
+PAYLOAD_DEFAULTS = {"source_language": "en", "target_language": "fr", "domain": "general"}
+
+
+def payloads(manifests: DataFrame) -> DataFrame:
+    """Payloads of completed batches from their manifests: absent or null languages and domain by default, counts 0."""
+    own = {c: (F.coalesce(F.col(c), F.lit(v)) if c in manifests.columns else F.lit(v)) for c, v in PAYLOAD_DEFAULTS.items()}
+    done = F.coalesce(F.col("translated_blocks_count"), F.lit(0)) if "translated_blocks_count" in manifests.columns else F.lit(0)
+    return manifests.where("status = 'completed'").withColumns({**own, "translated_blocks_count": done})
+
+
 def progress(manifests: DataFrame) -> DataFrame:
     """Share of the work done: from 20, 60 points over the batches in order, 90 when all are complete."""
     s = batch_summary(manifests)

@@ -200,7 +200,7 @@ def table_cells(blocks: DataFrame) -> DataFrame:
     ``blocks``: doc_id, page_number, pos, type, source_text, x0, y0, x1, y1.
     """
 
-    def page(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def page(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cells, out, number = [Cell(*r) for r in rows[["pos", "source_text", "x0", "y0", "x1", "y1"]].itertuples(index=False)], [], 0
         cells.sort(key=lambda c: c.pos)
         for group in row_groups(candidate_rows(cells)):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import lexicon as L
@@ -68,6 +68,39 @@ def fitted(ops: DataFrame) -> DataFrame:
     return ops.withColumn("font_size", F.coalesce(F.array_max(sizes), F.lit(7))).withColumn("overflow", F.size(sizes) == 0)
 
 
+def mask_zones(ops: DataFrame) -> DataFrame:
+    """All masks of a page together, in order: what a writer clears in one pass before it writes; pictures and lines stay."""
+    zone = F.struct("pos", "x0", "y0", "x1", "y1")
+    return ops.where("op = 'mask'").groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(zone)), lambda z: F.array(z["x0"], z["y0"], z["x1"], z["y1"])).alias("zones"))
+
+
+def cell_text() -> Column:
+    return F.coalesce(F.nullif(F.trim("translated_text"), F.lit("")), F.col("source_text"), F.lit(""))
+
+
+def table_rows(cells: DataFrame) -> DataFrame:
+    """Rows of each table in order, as a document writer fills them: texts of the columns, translated where they are."""
+    cell = F.struct("column_index", cell_text().alias("text"))
+    return cells.groupBy("doc_id", "page_number", "table_no", "row_index").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["text"]).alias("texts"))
+
+
+def table_overlay(cells: DataFrame, weak: DataFrame, width: float = 595.0, height: float = 842.0, pad: float = 0.75, most: float = 9.0) -> DataFrame:
+    """Writing operations of tables: one for each filled cell, with a note where its translation is missing; a table whose
+    grid is too unsure (``weak``: doc_id, page_number, table_no, is_weak) is one block of lines instead."""
+    own = ["doc_id", "page_number", "table_no"]
+    judged = cells.join(weak.select(*own, "is_weak"), own, "left").withColumn("is_weak", F.coalesce("is_weak", F.lit(False)))
+    has, source = F.trim(F.coalesce("translated_text", F.lit(""))), F.trim(F.coalesce("source_text", F.lit("")))
+    box = lambda margin: [F.round(x, 2).alias(c) for x, c in zip(G.expand(G.box(), F.lit(margin), F.lit(width), F.lit(height)), ("x0", "y0", "x1", "y1"))]
+    sure = judged.where(~F.col("is_weak") & ~F.col("empty_cell") & ((has != "") | (source != "")))
+    sure = sure.select(*own, "row_index", "column_index", F.when(has != "", has).otherwise(F.lit("[review]")).alias("text"), F.when(has == "", "masked_without_translation").alias("warning"), *box(pad))
+    lines = table_rows(judged.where("is_weak")).where(F.exists("texts", lambda t: F.trim(t) != ""))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", F.array_join("texts", " | ").alias("t")))), lambda x: x["t"]), "\n")
+    extent = judged.where("is_weak").groupBy(*own).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    plain = extent.join(lines.groupBy(*own).agg(text.alias("text")), own, "left")
+    plain = plain.select(*own, F.lit(0).alias("row_index"), F.lit(0).alias("column_index"), F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("[review]")).alias("text"), F.lit("weak_table_grid_detection").alias("warning"), *box(1.5))
+    return fitted(sure.unionByName(plain).withColumn("size", F.lit(10.0))).withColumn("font_size", F.least(F.col("font_size").cast("double"), F.lit(most))).drop("size")
+
+
 def gates(blocks: DataFrame) -> DataFrame:
     """Why a document cannot be laid over yet: one conditional count each, the first that fails.  Only blocks whose status is
     translated count as done; ratios are of text blocks, tables only save a document from being not ready."""

@@ -38,6 +38,32 @@ def neighbours(blocks: DataFrame) -> DataFrame:
 
 
 def section_lookup(blocks: DataFrame) -> DataFrame:
-    """Every block with its section's title, empty outside sections; an equi join on document and position."""
-    found = sectioned(blocks).select("doc_id", "pos", "section_title")
-    return blocks.join(found, ["doc_id", "pos"], "left").withColumn("section_title", F.coalesce("section_title", F.lit("")))
+    """Every block with its section's title, empty outside sections: windows over all blocks, so that they are worked out once."""
+    order = Window.partitionBy("doc_id").orderBy("page_number", "pos")
+    opened = F.sum((F.col("type") == "title").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    title = F.first(F.when(F.col("type") == "title", X.normalize("source_text")), ignorenulls=True).over(Window.partitionBy("doc_id", "__opened"))
+    named = F.when(F.col("type").isin(*L.SECTION_TYPES), F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled section")))
+    return blocks.withColumn("__opened", F.coalesce(opened, F.lit(0))).withColumn("section_title", F.coalesce(named, F.lit(""))).drop("__opened")
+
+
+def contained_in_section(blocks: DataFrame) -> DataFrame:
+    """Texts of one to three words that stand as whole words in a longer text of their section: a left semi join on document
+    and section, of the short texts only."""
+    own = sectioned(blocks).withColumn("__n", X.semantic_form("source_text")).withColumn("__w", X.word_count("__n"))
+    longer = own.select("doc_id", "section_no", F.col("pos").alias("__pos"), F.col("__n").alias("__m"), F.col("__w").alias("__v"))
+    short = own.where((F.col("__n") != "") & (F.col("__w") <= 3))
+    inside = F.regexp_like("__m", F.concat(F.lit(r"(?U)\b\Q"), "__n", F.lit(r"\E\b")))
+    test = (F.col("pos") != F.col("__pos")) & (F.col("__v") > F.col("__w")) & F.col("__m").contains(F.col("__n")) & inside
+    same = [short[c] == longer[c] for c in ("doc_id", "section_no")]
+    return short.join(longer, [*same, test], "left_semi").drop("__n", "__w")
+
+
+def rebuilt_sections(batches: list[DataFrame]) -> DataFrame:
+    """The sections of a merged document, with the block ids that the merge gave."""
+    from quire.operators.batches import merge
+
+    own = sectioned(merge(batches)).groupBy("doc_id", "section_no", "section_title").agg(
+        F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "pos", "block_id"))), lambda x: x["block_id"]), ",").alias("block_ids"),
+    )
+    return own.select("doc_id", F.format_string("section_%03d", "section_no").alias("section_id"), F.col("section_title").alias("title"), "page_start", "page_end", "block_ids")

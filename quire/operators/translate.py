@@ -97,6 +97,21 @@ def document_context(blocks: DataFrame, domain: str = "general") -> DataFrame:
     )
 
 
+def translate_document(blocks: DataFrame, translate, mock_allowed: bool = True, batch_size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Blocks with translation, status, warning and scores, and the states of their batches.
+
+    ``translate`` turns the source column into the translated one; it sees the texts of eligible blocks only.  A caller
+    that writes the blocks before it asks for the batches has every block translated once.
+    """
+    from quire.operators import batches, quality, sections
+
+    found = F.when(should_translate("type", "source_text"), translate(F.col("source_text"))).otherwise(F.lit(""))
+    said = blocks.withColumn("translated_text", F.coalesce(found, F.lit(""))).withColumn("__s", translation_status("type", "source_text", "translated_text", mock_allowed))
+    stated = said.withColumns({"status": F.col("__s.status"), "warning": F.col("__s.warning"), "warnings": F.array_compact(F.array("__s.warning"))}).drop("__s")
+    done = quality.score_blocks(quality.occurrences(sections.section_lookup(stated.drop("warnings"))))
+    return done, batches.batch_status(stated, batch_size)
+
+
 def user_prompt(context: DataFrame, blocks: DataFrame) -> DataFrame:
     """The request text of each eligible block: its document's context, then its source."""
     joined = blocks.where(should_translate("type", "source_text")).join(context, "doc_id")

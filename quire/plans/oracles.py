@@ -272,6 +272,19 @@ ORACLE_SQL |= {
         pr AS (SELECT a.doc_id, b.pos, b.copy FROM cp a JOIN cp b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.type = b.type AND a.source_text = b.source_text AND (a.pos, a.copy) < (b.pos, b.copy)
         WHERE greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) > 0.95 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)))
         SELECT doc_id, pos, copy FROM cp ANTI JOIN pr USING (doc_id, pos, copy)""",
+    "contained_noise": ONLY_BLOCKS + f""", nb AS (SELECT *, lower({NORM}) AS m FROM blocks)
+        SELECT doc_id, pos FROM nb a WHERE length(a.m) >= 4 AND EXISTS (SELECT 1 FROM nb b WHERE b.doc_id = a.doc_id AND b.page_number = a.page_number AND b.pos <> a.pos AND b.type IN ('paragraph', 'title') AND contains(b.m, a.m) AND length(b.m) > length(a.m) + 20 AND
+          (greatest(b.y0 - a.y1, a.y0 - b.y1, 0) <= 8 OR coalesce(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / nullif(least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)), 0), 0) > 0.2))""",
+    "contained_in_section": "WITH " + BLOCKS + "," + SECTIONS + rf""", cs AS (SELECT *, lower({NORM}) AS m FROM sec), cw AS (SELECT *, {n_words('m')} AS w FROM cs)
+        SELECT doc_id, pos FROM cw a WHERE a.m <> '' AND a.w <= 3 AND EXISTS (SELECT 1 FROM cw b WHERE b.doc_id = a.doc_id AND b.section_no = a.section_no AND b.pos <> a.pos AND b.w > a.w AND contains(b.m, a.m)
+          AND len(list_filter(range(1, length(b.m) - length(a.m) + 2), lambda i: substr(b.m, i, length(a.m)) = a.m
+            AND regexp_matches(substr(b.m, i - 1, 1) || ' ', '^[\p{{L}}\p{{N}}_]') <> regexp_matches(left(a.m, 1), '^[\p{{L}}\p{{N}}_]')
+            AND regexp_matches(substr(b.m, i + length(a.m), 1) || ' ', '^[\p{{L}}\p{{N}}_]') <> regexp_matches(right(a.m, 1), '^[\p{{L}}\p{{N}}_]'))) > 0)""",
+    "rebuilt_sections": "WITH " + BLOCKS + "," + SECTIONS + """, rn AS (SELECT doc_id, pos, printf('block_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y0, x0, pos)) AS block_id FROM blocks)
+        SELECT doc_id, printf('section_%03d', section_no) AS section_id, section_title AS title, min(page_number) AS page_start, max(page_number) AS page_end, string_agg(block_id, ',' ORDER BY pos) AS block_ids
+        FROM sec JOIN rn USING (doc_id, pos) GROUP BY doc_id, section_no, section_title""",
+    "payload_warnings": STATED + "SELECT doc_id, string_agg(warning, ',' ORDER BY p) AS warnings FROM (SELECT doc_id, warning, min(pos) AS p FROM st WHERE warning <> '' GROUP BY ALL) GROUP BY 1",
+    "mask_zones": OVERLAY + ", z AS (SELECT doc_id, (pos // 5) + 1 AS page_number, y0, y1 FROM ops WHERE op = 'mask') SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, count(*) AS n_zones, min(y0) AS top, max(y1) AS bottom FROM z GROUP BY ALL",
     "repeating_artifacts": ONLY_BLOCKS + """, pg AS (SELECT DISTINCT doc_id, page_number FROM blocks), n AS (SELECT doc_id, count(*) AS c FROM pg GROUP BY 1)
         SELECT doc_id, page_number, CASE WHEN c >= 2 THEN 'header' ELSE 'unknown' END AS type, CASE WHEN c >= 2 THEN 'repeating_header' END AS role, source AS source_text FROM pg JOIN n USING (doc_id) JOIN documents USING (doc_id)
         UNION ALL SELECT doc_id, page_number, CASE WHEN c >= 2 THEN 'footer' ELSE 'unknown' END, CASE WHEN c >= 2 THEN 'repeating_footer' END, 'Page ' || page_number FROM pg JOIN n USING (doc_id)""",
@@ -299,6 +312,14 @@ ORACLE_SQL |= {
         SELECT t.doc_id, t.table_no, CAST(r.row_index - t.first_row AS INTEGER) AS row_index, CAST(l.c AS INTEGER) AS column_index, coalesce(k.source_text, '') AS source_text, k.source_text IS NULL AS empty_cell
         FROM tn t JOIN gr r ON r.doc_id = t.doc_id AND r.run = t.run JOIN gl l ON l.doc_id = t.doc_id AND l.run = t.run LEFT JOIN gk k ON k.doc_id = t.doc_id AND k.run = t.run AND k.row_index = r.row_index AND k.column_index = l.column_index""",
     "table_totals": "WITH " + GRID + REGIONS + """SELECT doc_id, CAST(count(*) AS BIGINT) AS tables, CAST(sum(n_cells) AS BIGINT) AS cells, CAST(sum(n_cells) AS BIGINT) AS open_cells, round(avg(quality), 3) AS table_score FROM rg GROUP BY 1""",
+    "table_overlay": "WITH " + GRID + REGIONS + """, tn AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_row) AS INTEGER) AS table_no FROM rg),
+        gc AS (SELECT DISTINCT doc_id, run, column_index FROM gk), gl AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, run ORDER BY column_index) - 1 AS INTEGER) AS c FROM gc)
+        SELECT t.doc_id, t.table_no, CAST(k.row_index - t.first_row AS INTEGER) AS row_index, l.c AS column_index, CASE WHEN l.c % 2 = 0 THEN trim(k.source_text) ELSE '[review]' END AS text,
+        CASE WHEN l.c % 2 = 0 THEN '' ELSE 'masked_without_translation' END AS warning FROM tn t JOIN gk k ON k.doc_id = t.doc_id AND k.run = t.run JOIN gl l ON l.doc_id = k.doc_id AND l.run = k.run AND l.column_index = k.column_index""",
+    "table_rows": "WITH " + GRID + REGIONS + """, tn AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_row) AS INTEGER) AS table_no FROM rg), gc AS (SELECT DISTINCT doc_id, run, column_index FROM gk)
+        SELECT t.doc_id, t.table_no, CAST(r.row_index - t.first_row AS INTEGER) AS row_index, string_agg(coalesce(k.source_text, ''), '|' ORDER BY c.column_index) AS texts
+        FROM tn t JOIN gr r ON r.doc_id = t.doc_id AND r.run = t.run JOIN gc c ON c.doc_id = t.doc_id AND c.run = t.run
+        LEFT JOIN gk k ON k.doc_id = t.doc_id AND k.run = t.run AND k.row_index = r.row_index AND k.column_index = c.column_index GROUP BY ALL""",
     "table_grid": "WITH " + GRID + "SELECT * FROM grid",
     "table_diagnostics": "WITH " + GRID + """SELECT doc_id, table_no, count(DISTINCT row_index) AS rows, count(DISTINCT column_index) AS columns, count(*) AS expected, count(*) FILTER (NOT empty_cell) AS mapped,
         coalesce(string_agg(row_index || ':' || column_index, ',' ORDER BY row_index, column_index) FILTER (empty_cell), '') AS missing FROM grid GROUP BY ALL""",

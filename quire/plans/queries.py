@@ -336,6 +336,65 @@ def table_totals(spark, sf_dir):
     return regions.table_totals(regions.table_cells(_cell_blocks(spark, sf_dir)))
 
 
+def table_overlay(spark, sf_dir):
+    """Cells in even columns are translated (as they are), the others are open."""
+    from quire.operators import regions
+    from quire.operators.render import table_overlay as ops
+
+    cells = regions.table_cells(_cell_blocks(spark, sf_dir)).withColumn("translated_text", F.when(F.col("column_index") % 2 == 0, F.col("source_text")).otherwise(F.lit("")))
+    return ops(cells, regions.table_quality(cells)).select("doc_id", "table_no", "row_index", "column_index", "text", F.coalesce("warning", F.lit("")).alias("warning"))
+
+
+def table_rows(spark, sf_dir):
+    from quire.operators import regions
+    from quire.operators.render import table_rows as rows
+
+    cells = regions.table_cells(_cell_blocks(spark, sf_dir)).withColumn("translated_text", F.lit(""))
+    return rows(cells).select("doc_id", "table_no", "row_index", F.array_join("texts", "|").alias("texts"))
+
+
+def marked_noise(spark, sf_dir):
+    from quire.operators.layout import mark_noise
+
+    return mark_noise(blocks(spark, sf_dir)).where("type = 'noise'").select("doc_id", "pos", "status", "role", F.array_join("warnings", ",").alias("warnings"))
+
+
+def contained_noise(spark, sf_dir):
+    from quire.operators.layout import contained_noise as contained
+
+    return contained(blocks(spark, sf_dir)).select("doc_id", "pos")
+
+
+def contained_in_section(spark, sf_dir):
+    return sections.contained_in_section(blocks(spark, sf_dir)).select("doc_id", "pos")
+
+
+def rebuilt_sections(spark, sf_dir):
+    b = blocks(spark, sf_dir)
+    return sections.rebuilt_sections([b.where("page_number % 2 = 1"), b.where("page_number % 2 = 0")])
+
+
+def payload_warnings(spark, sf_dir):
+    rows = _stated(spark, sf_dir).withColumn("batch_id", F.format_string("batch_%03d", F.expr("(page_number - 1) div 2 + 1"))).where("warning IS NOT NULL")
+    own = rows.groupBy("doc_id", "batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "warning"))), lambda x: x["warning"]).alias("warnings"))
+    return batches.payload_warnings(own)
+
+
+def mask_zones(spark, sf_dir):
+    from quire.operators.render import mask_zones as zones, overlay_ops as ops
+
+    z = zones(ops(scored(spark, sf_dir)))
+    return z.select("doc_id", "page_number", F.size("zones").cast("long").alias("n_zones"), F.array_min(F.transform("zones", lambda x: x[1])).alias("top"), F.array_max(F.transform("zones", lambda x: x[3])).alias("bottom"))
+
+
+def acronym_pairs(spark, sf_dir):
+    """Neighbouring lines of which one is the acronym of the other."""
+    from pyspark.sql import Window as W
+
+    b = blocks(spark, sf_dir).withColumn("next_text", F.lead("source_text").over(W.partitionBy("doc_id").orderBy("pos")))
+    return b.where(X.acronym_pair("source_text", "next_text")).select("doc_id", "pos", X.join_texts("source_text", "next_text").alias("text"))
+
+
 def web_blocks(spark, sf_dir):
     from quire.sources.adapters import web_blocks as blocks_of
 

@@ -110,7 +110,7 @@ def test_line_merge(spark):
 def test_duplicates(spark):
     rows = [(1, 1, 0, 0, "same words here", 72.0, 100.0, 300.0, 112.0), (1, 1, 0, 1, "same words here", 72.2, 100.2, 300.2, 112.2), (1, 1, 1, 0, "quite another text", 72.0, 100.0, 300.0, 112.0)]
     df = spark.createDataFrame(rows, "doc_id long, page_number int, pos int, copy int, source_text string, x0 double, y0 double, x1 double, y1 double")
-    assert sorted((r.pos, r.copy) for r in layout.deduplicated(df).collect()) == [(0, 0), (1, 0)]
+    assert sorted((r.pos, r.copy) for r in layout.deduplicated(df.withColumn("type", F.lit("paragraph"))).collect()) == [(0, 0), (1, 0)]
 
 
 def test_provider_retries_and_falls_back(spark):
@@ -169,3 +169,121 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("days").agg(F.sum("n")).first()[0] == events.count()
+
+
+# Tables by running means.
+
+
+def _grid(rows, xs, y0=100.0, step=24.0, width=lambda t: max(24.0, 7.0 * len(t)), drop=()):
+    return [
+        (1, 1, 10 * i + j, "unknown", t, xs[j], y0 + step * i, xs[j] + width(t), y0 + step * i + 14)
+        for i, row in enumerate(rows) for j, t in enumerate(row) if (i, j) not in drop
+    ]
+
+
+_BLOCK = "doc_id long, page_number int, pos int, type string, source_text string, x0 double, y0 double, x1 double, y1 double"
+_ROWS = [["Item", "Q1", "Q2", "Q3"], ["Sales", "12", "15", "19"], ["Costs", "37", "41", "44"]]
+
+
+def test_table_regions(spark):
+    from quire.operators import regions
+
+    make = lambda rows: regions.table_cells(spark.createDataFrame(rows, _BLOCK))
+    full = make(_grid(_ROWS, [72.0, 160.0, 250.0, 360.0]))
+    t = regions.table_blocks(full).collect()
+    assert [(r.n_rows, r.n_columns, r.n_cells, r.confidence) for r in t] == [(3, 4, 12, 1.0)]
+    q = regions.table_quality(full).first()
+    assert q.score >= 0.9 and (q.cells, q.open_cells, q.is_weak) == (12, 12, False)
+    # a cell whose row still has three of four aligned ones: runs need rows of equal width, so the row opens a new run
+    lines = [*_ROWS, ["Taxes", "1", "2", "3"], ["Total", "7", "8", "9"]]
+    cells = make(_grid(lines, [72.0, 160.0, 250.0, 360.0], drop={(2, 2)}) + [(1, 1, 99, "paragraph", "A longer paragraph that is no cell of any table here", 72.0, 60.0, 400.0, 74.0)])
+    assert {(r.n_rows, r.n_columns) for r in regions.table_blocks(cells).collect()} == {(2, 4)}
+    assert make(_grid([["a", "b"], ["c"]], [72.0, 160.0])).count() == 0 and make([]).count() == 0
+    assert make([(1, 1, 0, "unknown", None, 72.0, 1.0, 90.0, 14.0), (1, 1, 1, "header", "x", 72.0, 1.0, 90.0, 14.0)]).count() == 0
+
+
+def test_clusters_follow_running_means(spark):
+    from quire.operators.regions import Cell, bands, matrix, row_clusters, sureness
+
+    cells = [Cell(k, str(k), 72.0, 100.0 + 24 * k, 110.0, 114.0 + 24 * k) for k in range(3)] + [Cell(9 + k, "x", 160.0 + 4 * k, 101.0 + 24 * k, 200.0, 115.0 + 24 * k) for k in range(2)]
+    assert [len(own) for _, _, own in row_clusters(cells)] == [2, 2, 1] and [(b.x0, b.x1) for b in bands(cells)] == [(72.0, 110.0), (160.0, 200.0)]
+    grid = matrix(cells)
+    assert grid[2][1][0] is None and grid[2][1][2] and grid[0][1][0].text == "x"
+    assert sureness(grid) == round(0.25 + 0.22 * 5 / 6 + 0.23 + 0.3 * (1 - 0.8 / 6 - 0.5 / 6), 3)
+
+
+def test_tables_near_and_left_over(spark):
+    from quire.operators import regions
+
+    rows = [*_grid(_ROWS, [72.0, 160.0, 250.0, 360.0]), (1, 1, 90, "unknown", "Source: us", 80.0, 190.0, 140.0, 204.0), (1, 1, 91, "unknown", "far away", 80.0, 500.0, 140.0, 514.0)]
+    blocks = spark.createDataFrame(rows, _BLOCK)
+    cells = regions.table_cells(blocks)
+    assert sorted(r.pos for r in regions.without_cells(blocks, cells).collect()) == [90, 91]
+    assert [(r.pos, r.table_no) for r in regions.near_tables(blocks, cells).collect()] == [(90, 1)]
+
+
+def test_table_overlay_of_a_weak_grid_is_lines(spark):
+    from quire.operators.render import table_overlay, table_rows
+
+    cells = spark.createDataFrame(
+        [(1, 1, 1, 0, 0, "a", "A", 72.0, 100.0, 150.0, 130.0, False), (1, 1, 1, 0, 1, "b", "", 150.0, 100.0, 220.0, 130.0, False), (1, 1, 1, 1, 0, "", "", 72.0, 130.0, 150.0, 160.0, True)],
+        "doc_id long, page_number int, table_no int, row_index int, column_index int, source_text string, translated_text string, x0 double, y0 double, x1 double, y1 double, empty_cell boolean",
+    )
+    weak = lambda flag: spark.createDataFrame([(1, 1, 1, flag)], "doc_id long, page_number int, table_no int, is_weak boolean")
+    sure = table_overlay(cells, weak(False)).orderBy("column_index").collect()
+    assert [(r.text, r.warning) for r in sure] == [("A", None), ("[review]", "masked_without_translation")] and all(r.font_size <= 9 for r in sure)
+    plain = table_overlay(cells, weak(True)).collect()
+    assert [(r.text, r.warning) for r in plain] == [("A | b", "weak_table_grid_detection")]
+    assert [r.texts for r in table_rows(cells).orderBy("row_index").collect()] == [["A", "b"], [""]]
+
+
+# Noise, duplicates, gates.
+
+
+def test_noise_is_marked(spark):
+    long = "The governance framework defines several principles for artificial intelligence systems and the agencies that run them."
+    rows = [(1, 1, 0, "paragraph", long, 72.0, 100.0, 500.0, 130.0, 11.0), (1, 1, 1, "unknown", "several principles for artificial", 80.0, 104.0, 200.0, 116.0, 11.0)]
+    rows += [(1, 1, k, "unknown", t, 72.0, 200.0 + 20 * k, 150.0, 212.0 + 20 * k, 11.0) for k, t in enumerate(["AI-powered", "However Issues", "Technology Startups", "Learning", "David Grey", "AI.", "AI PDF"], 2)]
+    rows.append((1, 1, 20, "title", "Overview", 72.0, 700.0, 150.0, 712.0, 16.0))
+    got = {r.pos: r for r in layout.mark_noise(spark.createDataFrame(rows, _BLOCK + ", size double")).collect()}
+    assert {p for p, r in got.items() if r.type == "noise"} == {1, 2, 3, 4, 5}
+    assert got[1].type == "noise" and (got[1].status, got[1].role, got[1].warnings) == ("needs_review", "noise", ["noise_block"])
+    assert [got[p].type for p in (0, 6, 7, 8, 20)] == ["paragraph", "unknown", "unknown", "unknown", "title"]
+
+
+def test_duplicates_by_type_and_worth(spark):
+    box = (72.0, 100.0, 300.0, 112.0)
+    rows = [(1, 1, 0, "unknown", "Some words here", *box, 0), (1, 1, 1, "title", "Some words here", *box, 0), (1, 1, 2, "footnote", "Some words here", *box, 0)]
+    df = spark.createDataFrame(rows, _BLOCK + ", copy int")
+    assert sorted(r.pos for r in layout.deduplicated(df).collect()) == [1, 2]  # the title is worth more; a footnote is another kind
+
+
+def test_gates_count_translated_blocks(spark):
+    from quire.operators.render import gates
+
+    rows = [(1, "paragraph", "texte", "needs_review", None), (1, "table", "x", "pending", None), (2, "paragraph", "texte", "translated", None), (3, "table", "x", "translated", None)]
+    got = {r.doc_id: (r.n, r.done, r.gate) for r in gates(spark.createDataFrame(rows, "doc_id long, type string, translated_text string, status string, warning string")).collect()}
+    assert got == {1: (1, 0, "TRANSLATION_NOT_READY"), 2: (1, 1, "READY"), 3: (0, 0, "READY")}
+
+
+def test_images_payloads_service(spark):
+    from quire import service
+    from quire.operators import batches, translate
+
+    pictures = spark.createDataFrame([(1, 2, 1, "JPEG", bytearray(b"x"), 1.0, 2.0, 3.0, 4.0), (1, 2, 2, None, bytearray(b""), 1.0, 2.0, 3.0, 4.0)], "doc_id long, page_number int, image_no int, ext string, content binary, x0 double, y0 double, x1 double, y1 double")
+    r = layout.image_blocks(pictures).collect()
+    assert len(r) == 1 and (r[0].file_name, r[0].status, r[0].style.alignment, r[0].style.size) == ("image_001.jpg", "skipped", "center", None)
+    m = spark.createDataFrame([(1, "batch_001", "completed", None), (1, "batch_002", "failed", "de")], "doc_id long, batch_id string, status string, target_language string")
+    p = batches.payloads(m).collect()
+    assert len(p) == 1 and (p[0].source_language, p[0].target_language, p[0].domain, p[0].translated_blocks_count) == ("en", "fr", "general", 0)
+    w = spark.createDataFrame([(1, "batch_002", ["b", "c"]), (1, "batch_001", ["a", "b"])], "doc_id long, batch_id string, warnings array<string>")
+    assert batches.payload_warnings(w).first().warnings == "a,b,c"
+    assert service.health(spark)["status"] == "ok" and service.now_utc().endswith("Z") and service.storage_root("s3a://x/") == "s3a://x"
+    ids = spark.range(3).select(service.document_id().alias("i")).collect()
+    assert len({x.i for x in ids}) == 3 and all(x.i.startswith("doc_") for x in ids)
+    e = spark.range(1).select(service.error(F.lit("TOO_MANY_PAGES")).alias("a"), service.error(F.lit(None).cast("string")).alias("b")).first()
+    assert e.a.message and e.b is None
+    rows = [(1, 1, 0, "title", "Overview of things", 72.0, 100.0, 300.0, 116.0, 16.0), (1, 1, 1, "paragraph", "This agreement defines the responsibilities of each party.", 72.0, 130.0, 400.0, 144.0, 11.0), (1, 1, 2, "image", "", 0.0, 0.0, 9.0, 9.0, 0.0)]
+    done, states = translate.translate_document(spark.createDataFrame(rows, _BLOCK + ", size double"), translate.mock_translate)
+    got = {r.pos: r for r in done.collect()}
+    assert got[1].status == "translated" and got[1].translated_text and got[2].status == "skipped" and states.count() == 1
