@@ -86,14 +86,16 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` where every executor can read it again and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Where none is set
-    (tests on one machine) one is made beside the warehouse.
+    The folder is the session's ``spark.checkpoint.dir``.  Where none is set one is made beside the warehouse on a local
+    master (tests on one machine); on a cluster that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
             where = os.path.join(warehouse, "_checkpoints")
         sc.setCheckpointDir(where)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import map_batches, raw_texts
+from quire.llm.common import checkpoint, map_batches, raw_texts
 
 WINDOW, SAMPLE, BLOCK_BYTES = 10, 32, 4_000_000
 #: Words of the indexed text of a shard; a batch with more is split between documents.
@@ -243,11 +243,16 @@ ADDS = T.StructType(
 )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``n_words``, ``hit_spans`` (merged, in words) and ``hit_items`` (item ids as text, sorted)."""
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """Items (item, raw), and in how many blocks of a bounded size of text they are used."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").alias("raw")).where("raw IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("raw") + 16), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-size // block_bytes))
+    return items, max(1, -(-size // block_bytes))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> DataFrame:
+    """``docs`` with ``n_words``, ``hit_spans`` (merged, in words) and ``hit_items`` (item ids as text, sorted)."""
+    items, blocks = item_blocks(benchmark, block_bytes)
     for k in range(blocks):
         # rows of a block: a fraction of a bounded size of text
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "raw"), F.lit(blocks)) == k)
@@ -291,15 +296,41 @@ def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with hit passages cut from ``text``; other columns as they are."""
-    hits = find_hits(docs, benchmark, text)
-    clean = T.StructType([T.StructField(text, T.StringType())])
-
-    def cut(texts, spans) -> list:
-        return [[
-            t.as_py() if not s else cut_words(t.as_py().encode(), [(x["start"], x["end"]) for x in s]).decode()
-            for t, s in zip(texts, spans.to_pylist())
-        ]]
-
-    names = docs.columns
-    return map_batches(hits, lambda: cut, [text, "hit_spans"], clean).select(*[F.col(f"`{c}`") for c in names])
+    """``docs`` with hit passages cut from ``text``; other columns as they are.
+
+    What stood around a passage may join to a window of its own: a text is searched again until nothing hits.
+    """
+    clean, names, kept = T.StructType([T.StructField(text, T.StringType())]), docs.columns, [F.col(f"`{c}`") for c in docs.columns]
+    items, blocks = item_blocks(benchmark)
+    if blocks > 1:  # what one block's cut joins may be another block's window
+
+        def cut(texts, spans) -> list:
+            return [[
+                t.as_py() if not s else cut_words(t.as_py().encode(), [(x["start"], x["end"]) for x in s]).decode()
+                for t, s in zip(texts, spans.to_pylist())
+            ]]
+
+        while True:
+            hits = checkpoint(find_hits(docs, benchmark, text))
+            if hits.where("size(hit_spans) > 0").isEmpty():
+                return hits.select(*kept)
+            docs = map_batches(hits, lambda: cut, [text, "hit_spans"], clean).select(*kept)
+    rows = [(r.item, r.raw.encode()) for r in items.toLocalIterator()]
+
+    def make():
+        phrases = Phrases(rows, WINDOW)
+        number = phrases.number.get
+
+        def run(texts) -> list:
+            raws, left = raw_texts(texts), range(len(texts))
+            changed: dict[int, bytes] = {}
+            while left:
+                spans, _ = phrases.find([np.array([number(w, 0) for w in words_of(changed.get(k, raws[k]))], np.int64) for k in left])
+                hit = [(k, own) for k, own in zip(left, spans) if own]
+                changed.update((k, cut_words(changed.get(k, raws[k]), own)) for k, own in hit)
+                left = [k for k, _ in hit]
+            return [[changed[k].decode() if k in changed else t.as_py() for k, t in enumerate(texts)]]
+
+        return run
+
+    return map_batches(docs, make, [text], clean).select(*[F.col(f"`{c}`") for c in names])
