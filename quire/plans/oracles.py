@@ -356,6 +356,15 @@ ORACLE_SQL |= {
           WHEN s = '' OR {edge('lower(s)')} IN {words(L.NOISE_PHRASES)} THEN true
           WHEN {edge('lower(s)')} IN {words(L.SHORT_TERMS)} OR (len(w) >= 1 AND len(list_filter(w, lambda x: lower(x) NOT IN {words(L.SHORT_TERMS)})) = 0) OR (len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z][a-z]+$'))) = 0) THEN false
           ELSE len(w) BETWEEN 1 AND 3 AND NOT regexp_matches(s, '[.!?:;]') AND NOT regexp_matches({BARE.format('s')}, '(?i)\b({L.VERBS})\b') AND NOT regexp_matches({BARE.format('s')}, '\b[A-Za-z]+(?:{L.VERB_ENDINGS})\b') END""",
+    "marked_noise": ONLY_BLOCKS + rf""", nb AS (SELECT *, lower({NORM}) AS m, {NORM} AS s, regexp_extract_all({NORM}, '[A-Za-z][A-Za-z-]*') AS w FROM blocks),
+        ct AS (SELECT doc_id, pos FROM nb a WHERE length(a.m) >= 4 AND EXISTS (SELECT 1 FROM nb b WHERE b.doc_id = a.doc_id AND b.page_number = a.page_number AND b.pos <> a.pos AND b.type IN ('paragraph', 'title') AND contains(b.m, a.m) AND length(b.m) > length(a.m) + 20 AND
+          (greatest(b.y0 - a.y1, a.y0 - b.y1, 0) <= 8 OR coalesce(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / nullif(least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)), 0), 0) > 0.2))),
+        mn AS (SELECT nb.*, ct.pos IS NOT NULL AS inside FROM nb LEFT JOIN ct USING (doc_id, pos))
+        SELECT doc_id, pos, 'needs_review' AS status, 'noise' AS role, 'noise_block' AS warnings FROM mn WHERE CASE WHEN type IN ('image', 'header', 'footer', 'noise', 'list_item', 'caption', 'footnote') THEN false
+          WHEN type = 'title' AND ((size >= 14 AND length(s) >= 4) OR (len(w) BETWEEN 1 AND 5 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.8 * len(w) AND length(s) >= 8)) THEN false
+          WHEN s = '' OR {edge('lower(s)')} IN {words(L.NOISE_PHRASES)} THEN true
+          WHEN {edge('lower(s)')} IN {words(L.SHORT_TERMS)} OR (len(w) >= 1 AND len(list_filter(w, lambda x: lower(x) NOT IN {words(L.SHORT_TERMS)})) = 0) OR (len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z][a-z]+$'))) = 0) THEN false
+          ELSE inside OR (len(w) BETWEEN 1 AND 3 AND NOT regexp_matches(s, '[.!?:;]') AND NOT regexp_matches({BARE.format('s')}, '(?i)\b({L.VERBS})\b') AND NOT regexp_matches({BARE.format('s')}, '\b[A-Za-z]+(?:{L.VERB_ENDINGS})\b')) END""",
     "protected_tokens": ONLY_BLOCKS + rf""", pt AS (SELECT doc_id, pos, list_concat(list_concat(regexp_extract_all(source_text, 'https?://[^\s)]+'), regexp_extract_all(source_text, '\[[0-9A-Za-z]+\]')),
         list_concat(regexp_extract_all(source_text, '\([0-9]+\)'), regexp_extract_all({BARE.format('source_text')}, '\b[A-Z]{{2,}}\b'))) AS z FROM blocks)
         SELECT doc_id, pos, array_to_string({once('z')}, ' ') AS tokens FROM pt WHERE len(z) > 0""",
