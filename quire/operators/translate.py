@@ -97,6 +97,12 @@ def document_context(blocks: DataFrame, domain: str = "general") -> DataFrame:
     )
 
 
+def stated(blocks: DataFrame, mock_allowed: bool = True) -> DataFrame:
+    """Blocks with ``status``, ``warning`` and ``warnings``.  A generator makes the pair, so that it is worked out once for all its uses."""
+    s = translation_status("type", "source_text", "translated_text", mock_allowed)
+    return blocks.select("*", F.inline(F.array(s))).withColumn("warnings", F.array_compact(F.array("warning")))
+
+
 def translate_document(blocks: DataFrame, translate, mock_allowed: bool = True, batch_size: int = 5) -> tuple[DataFrame, DataFrame]:
     """Blocks with translation, status, warning and scores, and the states of their batches.
 
@@ -106,10 +112,9 @@ def translate_document(blocks: DataFrame, translate, mock_allowed: bool = True,
     from quire.operators import batches, quality, sections
 
     found = F.when(should_translate("type", "source_text"), translate(F.col("source_text"))).otherwise(F.lit(""))
-    said = blocks.withColumn("translated_text", F.coalesce(found, F.lit(""))).withColumn("__s", translation_status("type", "source_text", "translated_text", mock_allowed))
-    stated = said.withColumns({"status": F.col("__s.status"), "warning": F.col("__s.warning"), "warnings": F.array_compact(F.array("__s.warning"))}).drop("__s")
-    done = quality.score_blocks(quality.occurrences(sections.section_lookup(stated.drop("warnings"))))
-    return done, batches.batch_status(stated, batch_size)
+    said = stated(blocks.withColumn("translated_text", F.coalesce(found, F.lit(""))), mock_allowed)
+    done = quality.score_blocks(quality.occurrences(sections.section_lookup(said.drop("warnings"))))
+    return done, batches.batch_status(said, batch_size)
 
 
 def user_prompt(context: DataFrame, blocks: DataFrame) -> DataFrame:

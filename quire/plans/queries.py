@@ -212,9 +212,7 @@ def batch_range_join(spark, sf_dir):
 
 
 def _stated(spark, sf_dir):
-    s = translate.translation_status("type", "source_text", "translated_text")
-    rows = translated(spark, sf_dir).withColumn("s", s)
-    return rows.withColumns({"status": F.col("s.status"), "warning": F.col("s.warning"), "warnings": F.array_compact(F.array("s.warning"))})
+    return translate.stated(translated(spark, sf_dir))
 
 
 def batch_status(spark, sf_dir):
