@@ -356,6 +356,10 @@ ORACLE_SQL |= {
           WHEN s = '' OR {edge('lower(s)')} IN {words(L.NOISE_PHRASES)} THEN true
           WHEN {edge('lower(s)')} IN {words(L.SHORT_TERMS)} OR (len(w) >= 1 AND len(list_filter(w, lambda x: lower(x) NOT IN {words(L.SHORT_TERMS)})) = 0) OR (len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z][a-z]+$'))) = 0) THEN false
           ELSE len(w) BETWEEN 1 AND 3 AND NOT regexp_matches(s, '[.!?:;]') AND NOT regexp_matches({BARE.format('s')}, '(?i)\b({L.VERBS})\b') AND NOT regexp_matches({BARE.format('s')}, '\b[A-Za-z]+(?:{L.VERB_ENDINGS})\b') END""",
+    "acronym_pairs": ONLY_BLOCKS + rf""", nx AS (SELECT doc_id, pos, {norm('source_text')} AS a, {norm('lead(source_text) OVER (PARTITION BY doc_id ORDER BY pos)')} AS b FROM blocks),
+        ini AS (SELECT *, array_to_string([upper(left(w, 1)) FOR w IN string_split(a, ' ')], '') AS ai, array_to_string([upper(left(w, 1)) FOR w IN string_split(b, ' ')], '') AS bi FROM nx)
+        SELECT doc_id, pos, CASE WHEN regexp_matches(a, '^[A-Z]{{2,}}$') THEN b || ' (' || a || ')' ELSE a || ' (' || b || ')' END AS text FROM ini
+        WHERE (regexp_matches(a, '^[A-Z]{{2,}}$') AND len(string_split(b, ' ')) >= 2 AND starts_with(bi, a)) OR (regexp_matches(b, '^[A-Z]{{2,}}$') AND len(string_split(a, ' ')) >= 2 AND starts_with(ai, b))""",
     "marked_noise": ONLY_BLOCKS + rf""", nb AS (SELECT *, lower({NORM}) AS m, {NORM} AS s, regexp_extract_all({NORM}, '[A-Za-z][A-Za-z-]*') AS w FROM blocks),
         ct AS (SELECT doc_id, pos FROM nb a WHERE length(a.m) >= 4 AND EXISTS (SELECT 1 FROM nb b WHERE b.doc_id = a.doc_id AND b.page_number = a.page_number AND b.pos <> a.pos AND b.type IN ('paragraph', 'title') AND contains(b.m, a.m) AND length(b.m) > length(a.m) + 20 AND
           (greatest(b.y0 - a.y1, a.y0 - b.y1, 0) <= 8 OR coalesce(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / nullif(least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)), 0), 0) > 0.2))),
