@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import checkpoint, join_checked
 
-#: A line on more than this share of its host's pages is boilerplate,
-MAX_RATIO = 0.05
+#: A line on more than this share of its host's pages is boilerplate (lines that meet by chance stay far below),
+MAX_RATIO = 0.01
 #: if at least so many pages have it.
 MIN_PAGES = 5
 BLANKS = " \t\x0b\x0c\r"

@@ -145,7 +145,7 @@ pairs AS (SELECT DISTINCT rid, host, trim(line, e' \t\x0b\x0c\r') AS line
           FROM (SELECT row_number() OVER () AS rid, host, unnest(lines) AS line FROM d)),
 n AS (SELECT host, line, count(*) AS n FROM pairs WHERE line <> '' GROUP BY ALL),
 t AS (SELECT host, count(*) AS pages FROM d GROUP BY ALL),
-bad AS (SELECT host, list(line) AS bad FROM n JOIN t USING (host) WHERE n >= 5 AND n > 0.05 * pages GROUP BY ALL),
+bad AS (SELECT host, list(line) AS bad FROM n JOIN t USING (host) WHERE n >= 5 AND n > CAST(0.01 AS DOUBLE) * pages GROUP BY ALL),
 k AS (SELECT doc_id, text, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), trim(x, e' \t\x0b\x0c\r'))) AS keep
       FROM d LEFT JOIN bad USING (host))
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,

@@ -129,6 +129,23 @@ def test_line_dedup(spark, edge):
     assert line_dedup.line_dedup(edge).count() == len(EDGE) and line_dedup.line_dedup(edge.limit(0)).count() == 0
 
 
+def test_line_dedup_at_its_own_ratio(spark):
+    """Footers of some per cent of a host's pages go; lines on a few pages, or on 1 % and no more, stay."""
+    footers = ["Tous droits réservés.", "Nicht für den Verkauf.", "Todos los derechos.", "All rights reserved."]
+    rows = []
+    for k in range(800):
+        lines = [f"own line {k}", f"met by chance {k // 4}", f"on one per cent {k % 100}"]
+        if k % 12 < 4 and k % 4 < 2 + k % 2:
+            lines.append(footers[k % 4])
+        rows.append((k, "\n".join(lines), "h"))
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    texts = {k: text for k, text, _ in rows}
+    for r in got:
+        lines = texts[r.doc_id].split("\n")
+        assert r.text.split("\n") == lines[:3] and r.n_dropped == len(lines) - 3
+    assert sum(r.n_dropped for r in got) > 100
+
+
 # 4
 
 
