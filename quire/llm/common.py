@@ -37,10 +37,10 @@ def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], reads: list[str],
     return map_batches(df, lambda: fn, reads, adds)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], reads: list[str], adds: T.StructType) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable], reads: list[str], adds: T.StructType, back: bool = True) -> DataFrame:
     """``map_rows`` for functions with state: ``make`` is called once for each partition, and at its end the
-    function's attribute ``end``, where it has one."""
-    names = {f.name.lower() for f in adds}
+    function's attribute ``end``, where it has one.  Unless ``back``, the columns read are not in the result."""
+    names = {f.name.lower() for f in adds} | (set() if back else {c.lower() for c in reads})
     kept = [f for f in df.schema if f.name.lower() not in names]
     schema = T.StructType(kept + list(adds))
     # what is read but replaced travels under names of its own

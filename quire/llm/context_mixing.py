@@ -59,7 +59,8 @@ GATES, MAP_PLACES, MAP_STEPS = (RANK_DEPTHS + BYTE_DEPTHS) * 16, 4096, 25
 COMMON, PRIOR = 40, 0.2
 #: Texts are worked on some CHUNK_BYTES together, where equal tokens with equal contexts are worked on once; their
 #: decisions in portions that fit a processor's cache.
-CHUNK_TOKENS, CHUNK_BYTES, WORD_BYTES, BLOCK, FAN_IN = 8_000, 4_000_000, 20_000, 1 << 16, 64
+CHUNK_TOKENS, CHUNK_BYTES, WORD_BYTES, BLOCK, FAN_IN = 8_000, 3_000_000, 20_000, 1 << 16, 64
+COUNT_BYTES = 16_000_000
 SHARD_TOKENS = 1_000_000
 END = b"\x00"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -70,9 +71,34 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_LOWER).split()
 
 
-def word_rows(docs: DataFrame, text: Column) -> DataFrame:
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return docs.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+def slices(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """A column of texts in parts of some ``size`` bytes; no text is cut."""
+    parts = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(column)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        if a < b:
+            yield column.slice(a, b - a)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts in lower case, with the number of the text of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten()
+    real = pc.not_equal(words, "")
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return doc[real.to_numpy(zero_copy_only=False)], words.filter(real)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, c) of a column of texts, added up in parts of some COUNT_BYTES before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0), COUNT_BYTES):
+                yield pa.RecordBatch.from_arrays(split_words(part)[1].value_counts().flatten(), ["word", "c"])
+        release()
+
+    return texts.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def scattered(key: np.ndarray) -> np.ndarray:
@@ -145,25 +171,25 @@ class Coder:
 
     def __init__(self, head: list[bytes], weights: np.ndarray, layout: Layout):
         """``weights`` of the leaves: other words, the end, the words of ``head``."""
-        self.rank = {w: k + 2 for k, w in enumerate(head)}
-        self.rank[END] = 1
+        self.head = pa.array(head, pa.string())
         self.layout, self.code = layout, Code(np.maximum(weights, 1))
         self.letters = Code(np.bincount(np.frombuffer(END.join(head) + END, np.uint8), minlength=256) + 1)
 
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """For all tokens of the texts: text number, rank; 64-bit hashes, texts and tokens of the words without rank."""
-        rank, lengths, others = [], [], []
-        get = self.rank.get
-        for raw in texts:
-            own = words_of(raw)
-            ranks = [get(w, 0) for w in own]
-            ranks.append(1)
-            rank += ranks
-            lengths.append(len(ranks))
-            others += [w for w, r in zip(own, ranks) if not r]
-        rank = np.array(rank, np.int64)
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in others], np.uint64)  # Spark's xxhash64
-        return np.repeat(np.arange(len(texts)), lengths), rank, hashes, others, np.flatnonzero(rank == 0)
+    def tokens(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """For all tokens of the texts: text number, rank, and code (the rank, or Spark's xxhash64 of a word without
+        one); the distinct words without rank, and which one each token without rank is."""
+        n = len(texts)
+        doc, words = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        rank = pc.fill_null(pc.index_in(words, self.head), -2).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+        others = words.filter(pa.array(rank == 0)).dictionary_encode()
+        kinds, which = others.dictionary.cast(pa.binary()).to_pylist(), others.indices.to_numpy(zero_copy_only=False)
+        code = rank.astype(np.uint64)
+        code[rank == 0] = np.array([xxhash.xxh64_intdigest(w, 42) for w in kinds], np.uint64).take(which)
+        at = np.arange(len(doc)) + doc  # every text ends with an end
+        all_doc = np.repeat(np.arange(n), np.bincount(doc, minlength=n) + 1)
+        all_rank, all_code = np.ones(len(doc) + n, np.int64), np.ones(len(doc) + n, np.uint64)
+        all_rank[at], all_code[at] = rank, code
+        return all_doc, all_rank, all_code, kinds, which
 
     def ranked(self, rank: np.ndarray, one: np.ndarray, common: np.ndarray) -> Rows:
         """Decisions of ranks, given the 32-bit hashes of the word before and of the last common word."""
@@ -189,12 +215,10 @@ class Coder:
             np.repeat(np.arange(len(words)), lengths).take(byte), MAP_PLACES - BYTE_DEPTHS + depth,
         )
 
-    def distinct(self, rank: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    def distinct(self, rank: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
         """The distinct (rank, hash of the word before, hash of the last common word) of the tokens; for each token which
         one it is, and how many tokens each one has."""
-        key = rank.astype(np.uint64)
-        key[rank == 0] = hashes
-        one = np.concatenate([scattered(np.ones(1, np.uint64)), scattered(key)])[: len(key)]  # before the first word of a text stands an end
+        one = np.concatenate([scattered(np.ones(1, np.uint64)), scattered(code)])[: len(code)]  # before the first word of a text stands an end
         # the last common word or end before each token; an end stands for no word yet
         last = np.maximum.accumulate(np.where((rank > 0) & (rank <= COMMON), np.arange(1, len(rank) + 1), 0))
         last = np.concatenate([[0], last])[: len(rank)]
@@ -234,7 +258,7 @@ class Model:
     known = np.array([0, 1, 1, *[2] * 13, 3], np.uint32)
 
     def freeze(self) -> Model:
-        """Makes the tables that scoring reads."""
+        """Makes the tables that scoring reads, in place of the counts."""
         zeros, ones = self.counts[:, 0].astype(np.float32), self.counts[:, 1].astype(np.float32)
         logit = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
         # how well a slot is known stands in the logit's two last bits: one look-up for both
@@ -244,6 +268,7 @@ class Model:
         prior = 1 / (1 + np.exp(-np.tile(middle, MAP_PLACES)))
         p = (self.map_counts[:, 1] + 12 * prior) / (self.map_counts.sum(1) + 12)
         self.map_logit = (np.log(p) - np.log1p(-p)).astype(np.float32)
+        self.counts = self.map_counts = None
         return self
 
     @staticmethod
@@ -311,11 +336,12 @@ def portions(column: pa.Array) -> Iterator[list[bytes]]:
 
 def decided(coder: Coder, texts: pa.Array, words: pa.Array, scatter: bool = False) -> Iterator[tuple[Rows, np.ndarray]]:
     """The decisions of a batch of rows, texts and words that are spelled, and how often each is made; with ``scatter``
-    not in the order of ranks, for an online learner."""
-    for part in portions(texts.filter(pc.invert(words))):
+    portions do not follow the ranks, for an online learner."""
+    for part in slices(texts.filter(pc.invert(words)), CHUNK_BYTES):
         rank, one, common, _, times = coder.distinct(*coder.tokens(part)[1:3])
-        if scatter:
-            order = np.random.default_rng(len(rank)).permutation(len(rank))
+        if scatter:  # every portion has words of all ranks
+            parts = -(-len(rank) // CHUNK_TOKENS)
+            order = np.concatenate([np.arange(k, len(rank), parts) for k in range(parts)])
             rank, one, common, times = rank[order], one[order], common[order], times[order]
         for rows, owner in coder.chunks(rank, one, common):
             yield rows, times.take(owner)
@@ -431,9 +457,8 @@ ADDS = T.StructType(
 )
 
 
-#: What a worker process keeps for its next partitions: the last coder and the last model.
+#: What a worker process keeps for its next partitions: the last coder.
 _CODERS: dict[bytes, Coder] = {}
-_READY: dict[bytes, Model] = {}
 
 
 def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFrame:
@@ -442,7 +467,7 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFram
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
     train = docs.where(trains).select(own.alias("text"), F.xxhash64(*plain).alias("key"))  # copies of a text lie in different shards
-    counts = checkpoint(word_rows(train, F.col("text")).groupBy("word").agg(F.count("*").alias("c")))
+    counts = checkpoint(word_counts(train.select("text")))
     n_docs = train.count()
     sums = counts.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")
@@ -462,50 +487,45 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFram
             _CODERS[code_name] = Coder(head, weights, layout)
         return _CODERS[code_name]
 
-    model = learn(train, counts.where("c = 1").select("word"), coder_of, layout, total)
-    # what the function carries: ranked words, two bytes for each count, weights and map
-    small, gates, map_counts = model.counts, model.weights, model.map_counts
+    # what the functions carry: ranked words, four bytes for each context, weights and map
+    model = learn(train, counts.where("c = 1").select("word"), coder_of, layout, total).freeze()
     logs, known = np.log10(head_c + 1.0), head_c > 0
     # the mass of the other words: words never seen, as many as were seen once; those seen once by those seen twice; the rest by their counts
     new = sums.once + 1.0
     once = min(0.9, (2.0 * sums.twice + 0.5) / new)
     mass = new + sums.once * once + max(0, int(weights[0]) - sums.once)
 
-    name = hashlib.blake2b(small.tobytes() + gates.tobytes() + map_counts.tobytes() + END.join(head)).digest()
-
     def make():
-        if name not in _READY:
-            _READY.clear()
-            _READY[name] = Model(layout, small, gates, map_counts).freeze()
-        coder, own_model = coder_of(), _READY[name]
+        coder = coder_of()
 
         def run(texts, trained) -> list:
             columns: list[list] = [[], [], [], [], []]
             hashed, novel, lengths = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(1, np.int64)]
             trained, start = np.array(trained.to_pylist(), bool), 0
-            for part in portions(texts):
+            for part in slices(texts, CHUNK_BYTES):
                 n = len(part)
-                doc, rank, hashes, others, at = coder.tokens(part)
-                own_rank, one, common, which, _ = coder.distinct(rank, hashes)
+                doc, rank, code, kinds, kind = coder.tokens(part)
+                at = np.flatnonzero(rank == 0)
+                own_rank, one, common, which, _ = coder.distinct(rank, code)
                 by_token = np.zeros(len(own_rank))
                 for rows, owner in coder.chunks(own_rank, one, common):
-                    own_logs = np.bincount(rows[5], own_model.log_probability(rows))
+                    own_logs = np.bincount(rows[5], model.log_probability(rows))
                     by_token[owner[0] : owner[0] + len(own_logs)] = own_logs
                 score = np.bincount(doc, by_token[which], n)
                 # words of training texts are never new
-                fresh = np.flatnonzero(~trained[start : start + n][doc[at]])
-                kinds_of = {w: k for k, w in enumerate(dict.fromkeys([others[k] for k in fresh]))}
-                spelled = np.zeros(len(kinds_of))
-                for rows, owner in coder.spelled(list(kinds_of)):
-                    spelled += np.bincount(owner, own_model.log_probability(rows), len(spelled))
-                new_logs = np.zeros(len(others))
-                new_logs[fresh] = spelled[[kinds_of[others[k]] for k in fresh]] / math.log(10) if len(fresh) else 0
-                hashed.append(hashes.view(np.int64))
+                fresh = ~trained[start : start + n][doc[at]]
+                used, use = np.unique(kind[fresh], return_inverse=True)
+                spelled = np.zeros(len(used))
+                for rows, owner in coder.spelled([kinds[k] for k in used]):
+                    spelled += np.bincount(owner, model.log_probability(rows), len(spelled))
+                new_logs = np.zeros(len(at))
+                new_logs[fresh] = spelled[use] / math.log(10)
+                hashed.append(code[at].view(np.int64))
                 novel.append(new_logs)
                 lengths.append(np.bincount(doc[at], minlength=n))
                 ranked = rank > 0
                 columns[0] += np.bincount(doc, minlength=n).tolist()
-                columns[1] += [len(x) for x in part]
+                columns[1] += pc.fill_null(pc.binary_length(part), 0).to_pylist()
                 columns[2] += np.bincount(doc[ranked], known[rank[ranked]], n).astype(np.int64).tolist()
                 columns[3] += np.bincount(doc[ranked], logs[rank[ranked]], n).tolist()
                 columns[4] += (score / math.log(10)).tolist()
@@ -519,7 +539,7 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFram
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
     names = [c for c in docs.columns if c.lower() not in added and c.lower() != text.lower()]
     read = docs.select(*[f"`{c}`" for c in names], F.col(f"`{text}`").alias("__text"), F.coalesce(trains, F.lit(False)).alias("__trains"))
-    scored = map_batches(read, make, ["__text", "__trains"], ADDS).drop("__text", "__trains")
+    scored = map_batches(read, make, ["__text", "__trains"], ADDS, back=False)
     # the other words find their counts by a join on a 64-bit hash; one row for each document keeps its columns
     one = F.struct(*[F.col(f"`{c}`") for c in names], "n_tokens", "__bytes", "__head_known", "__head_log", "__score")
     rows = scored.select(F.monotonically_increasing_id().alias("__row"), one.alias("__doc"), "__tail")

@@ -11,7 +11,9 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import byte_bpe, chat_format, context_mixing, decontaminate, html_extract, line_dedup, ngram_join, quality_classifier, quality_rules, queries, sharding
@@ -162,6 +164,20 @@ def test_context_mixing(spark, edge):
     assert context_mixing.score_texts(edge.limit(0), F.lit(True)).count() == 0
 
 
+def test_tokens():
+    """Words as bytes.split() has them, in lower case of A-Z only, an end after each text, the hash of Spark for words without rank."""
+    odd = ["", " A\x0bb\x1cc\x85\n", "\x00 É éA", "a b \u00a0", "\r\t", "zz a zz Zz", "x" * 100_000 + " a"]
+    coder = context_mixing.Coder([b"a", b"\xc3\xa9a"], np.array([9, 5, 4, 3]), context_mixing.Layout(16))
+    rank_of = {b"a": 2, b"\xc3\xa9a": 3}
+    doc, rank, code, kinds, kind = coder.tokens(pa.array([None, *odd]).slice(1))
+    want = [(k, w) for k, t in enumerate(odd) for w in [*context_mixing.words_of(t.encode()), None]]
+    assert doc.tolist() == [k for k, _ in want]
+    assert rank.tolist() == [1 if w is None else rank_of.get(w, 0) for _, w in want]
+    assert [kinds[k] for k in kind] == [w for _, w in want if w is not None and w not in rank_of]
+    assert code[rank == 0].tolist() == [xxhash.xxh64_intdigest(kinds[k], 42) for k in kind] and code[rank > 0].tolist() == rank[rank > 0].tolist()
+    assert sum(map(len, context_mixing.slices(pa.array([None, *odd]), 4))) == len(odd) + 1 and not list(context_mixing.slices(pa.array([], pa.string()), 4))
+
+
 def test_decisions_are_a_probability():
     """Over all words of the code, and over all letters after any bytes, the probabilities add up to one."""
     coder = context_mixing.Coder([b"a", b"bb", b"c", b"dd"], np.array([9, 5, 4, 3, 2, 1]), context_mixing.Layout(16))
