@@ -215,6 +215,24 @@ def test_learning_takes_every_decision(spark, monkeypatch):
     assert np.array_equal(model.counts, other.counts) and np.allclose(model.weights, other.weights)  # partitions do not matter
 
 
+def test_learning_looks_counts_up_without_the_own_occurrence():
+    """One look-up a context gives the logit of the counts less the decision itself, and how well it is known."""
+    counts = np.random.default_rng(2).integers(0, 40, (100_000, 2)).astype(np.uint16)
+    got = context_mixing.Model.without_own(counts)
+    for bit in (0, 1):
+        left = counts.astype(float)
+        left[:, bit] = np.maximum(left[:, bit] - 1, 0)
+        assert np.allclose(got[bit], np.log((left[:, 1] + context_mixing.PRIOR) / (left[:, 0] + context_mixing.PRIOR)), atol=1e-5)
+        assert np.array_equal(got[bit].view(np.uint32) & 3, context_mixing.Model.known[np.minimum(left.sum(1), 16).astype(int)])
+
+
+def test_distinct_tokens_without_places():
+    coder = context_mixing.Coder([b"a", b"bb"], np.array([9, 5, 4, 3]), context_mixing.Layout(16))
+    rank, code = coder.tokens(["a bb a bb a x y", "", "a bb a"] * 9)[1:3]
+    plain, full = coder.distinct(rank, code, places=False), coder.distinct(rank, code)
+    assert plain[3] is None and all(np.array_equal(plain[k], full[k]) for k in (0, 1, 2, 4)) and plain[4].sum() == len(rank)
+
+
 def test_held_out_texts_are_better_than_by_word_counts(spark):
     """The add-one baseline does not say which word a new word is; one that spells it by the frequencies of letters does."""
     rows = {r.doc_id: r for r in queries.op4_context_mixing(spark, SF).collect()}
