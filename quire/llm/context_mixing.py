@@ -436,7 +436,8 @@ def learn(train: DataFrame, words: DataFrame, coder_of, layout: Layout, tokens:
         halve = np.maximum(1, own.max(1, keepdims=True) / 60_000)  # two bytes a count
         small[row.block * BLOCK : row.block * BLOCK + len(own)] = np.rint(own / halve)
 
-    others = Model.without_own(small)
+    # a broadcast of its own: in a function it would stay in each worker a second time, as the function's bytes
+    others = train.sparkSession.sparkContext.broadcast(Model.without_own(small))
     shards = -(-tokens // SHARD_TOKENS) or 1
     mixed = train.select("text", F.lit(False).alias("word"), F.pmod("key", F.lit(shards)).alias("shard"), "key")
     own_key = F.xxhash64("text")
@@ -458,7 +459,7 @@ def learn(train: DataFrame, words: DataFrame, coder_of, layout: Layout, tokens:
                 if at != shard[a]:  # a shard begins
                     if seen:
                         yield sums()
-                    at, model, squares, seen = int(shard[a]), Model(layout, None, others=others), np.zeros((GATES, 4)), 0
+                    at, model, squares, seen = int(shard[a]), Model(layout, None, others=others.value), np.zeros((GATES, 4)), 0
                 for rows, times in decided(coder, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), scatter=True):
                     model.learn(rows, times, squares)
                     seen += int(times.sum())
@@ -471,6 +472,7 @@ def learn(train: DataFrame, words: DataFrame, coder_of, layout: Layout, tokens:
     total = np.zeros(GATES * 4 + 1 + MAP_PLACES * MAP_STEPS * 2)
     for row in add_up(dealt.mapInArrow(mix, _SUMS), 2 * shards).toLocalIterator():
         total += unpack(row.sums)
+    others.unpersist()
     seen = total[GATES * 4]
     weights = total[: GATES * 4].reshape(GATES, 4) / seen if seen else None
     return Model(layout, small, weights, total[GATES * 4 + 1 :].reshape(-1, 2))
@@ -514,7 +516,7 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFram
         return _CODERS[code_name]
 
     # what the functions carry: ranked words, four bytes for each context, weights and map
-    model = learn(train, counts.where("c = 1").select("word"), coder_of, layout, total).freeze()
+    shared = docs.sparkSession.sparkContext.broadcast(learn(train, counts.where("c = 1").select("word"), coder_of, layout, total).freeze())
     logs, known = np.log10(head_c + 1.0), head_c > 0
     # the mass of the other words: words never seen, as many as were seen once; those seen once by those seen twice; the rest by their counts
     new = sums.once + 1.0
@@ -522,7 +524,7 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFram
     mass = new + sums.once * once + max(0, int(weights[0]) - sums.once)
 
     def make():
-        coder = coder_of()
+        coder, model = coder_of(), shared.value
 
         def run(texts, trained) -> list:
             columns: list[list] = [[], [], [], [], []]
