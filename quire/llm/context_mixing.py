@@ -60,6 +60,8 @@ COMMON, PRIOR = 40, 0.2
 #: Texts are worked on some CHUNK_BYTES together, where equal tokens with equal contexts are worked on once; their
 #: decisions in portions that fit a processor's cache.
 CHUNK_TOKENS, CHUNK_BYTES, WORD_BYTES, BLOCK, FAN_IN = 8_000, 3_000_000, 20_000, 1 << 16, 64
+#: Words are ranked some RANK_BYTES together: each look-up first makes a table of all ranked words.
+RANK_BYTES = 12_000_000
 COUNT_BYTES = 16_000_000
 SHARD_TOKENS = 1_000_000
 END = b"\x00"
@@ -89,6 +91,20 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return doc[real.to_numpy(zero_copy_only=False)], words.filter(real)
 
 
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [0], np.uint64)
+
+
+def short_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of up to seven bytes as numbers, bytes and length, which are found far faster than strings; which words these
+    are, the others' numbers are zero."""
+    ends = np.frombuffer(words.buffers()[1] or bytes(4), np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    length = np.minimum(np.diff(ends), 8)
+    raw = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    short = length < 8
+    return np.where(short, eight[ends[:-1] - ends[0]] & _LOW_BYTES.take(length) | length.astype(np.uint64) << np.uint64(56), np.uint64(0)), short
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) of a column of texts, added up in parts of some COUNT_BYTES before the shuffle."""
 
@@ -177,15 +193,38 @@ class Coder:
     def __init__(self, head: list[bytes], weights: np.ndarray, layout: Layout):
         """``weights`` of the leaves: other words, the end, the words of ``head``."""
         self.head = pa.array(head, pa.string())
+        keys, short = short_words(self.head)
+        self.short, self.short_rank = pd.Index(keys[short]), np.append(np.flatnonzero(short) + 2, 0)
+        self.long, self.long_rank = self.head.filter(pa.array(~short)), np.append(np.flatnonzero(~short) + 2, 0)
         self.layout, self.code = layout, Code(np.maximum(weights, 1))
         self.letters = Code(np.bincount(np.frombuffer(END.join(head) + END, np.uint8), minlength=256) + 1)
 
     def tokens(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """For all tokens of the texts: text number, rank, and code (the rank, or Spark's xxhash64 of a word without
         one); the distinct words without rank, and which one each token without rank is."""
-        n = len(texts)
         doc, words = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
-        rank = pc.fill_null(pc.index_in(words, self.head), -2).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+        return self.coded(len(texts), doc, words, self.ranks(words))
+
+    def ranks(self, words: pa.Array) -> np.ndarray:
+        """Ranks of words, 0 for other words."""
+        keys, short = short_words(words)
+        rank = self.short_rank.take(self.short.get_indexer(keys))
+        places = pc.fill_null(pc.index_in(words.filter(pa.array(~short)), self.long), -1).to_numpy(zero_copy_only=False)
+        rank[~short] = self.long_rank.take(places)
+        return rank
+
+    def portions(self, texts: pa.Array) -> Iterator[tuple]:
+        """The tokens of texts, some CHUNK_BYTES of them together, as ``tokens`` gives them; the texts are in front."""
+        for some in slices(texts, RANK_BYTES):
+            doc, words = split_words(some)
+            rank, start = self.ranks(words), 0
+            for part in slices(some, CHUNK_BYTES):
+                a, b = np.searchsorted(doc, [start, start + len(part)])
+                yield part, self.coded(len(part), doc[a:b] - start, words.slice(a, b - a), rank[a:b])
+                start += len(part)
+
+    def coded(self, n: int, doc: np.ndarray, words: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """The tokens of ``n`` texts from their words and the words' ranks, 0 for other words."""
         others = words.filter(pa.array(rank == 0)).dictionary_encode()
         kinds, which = raw_bytes(others.dictionary), others.indices.to_numpy(zero_copy_only=False)
         code = rank.astype(np.uint64)
@@ -200,7 +239,8 @@ class Coder:
         """Decisions of ranks, given the 32-bit hashes of the word before and of the last common word."""
         at, depth, token = self.code.decisions(rank)
         node, key = look_up(self.code.node, at).astype(np.int64), look_up(self.code.hash, at)
-        a, b = self.layout.hashed(1, key ^ look_up(one, token)), self.layout.hashed(2, key ^ look_up(common, token))
+        own = self.code.length.take(rank)
+        a, b = self.layout.hashed(1, key ^ np.repeat(one, own)), self.layout.hashed(2, key ^ np.repeat(common, own))
         return node, a, b, np.minimum(depth, RANK_DEPTHS - 1), look_up(self.code.bit, at), token, np.minimum(node, MAP_PLACES - BYTE_DEPTHS - 1)
 
     def spelt(self, words: list[bytes]) -> Rows:
@@ -220,20 +260,29 @@ class Coder:
             np.repeat(np.arange(len(words)), lengths).take(byte), MAP_PLACES - BYTE_DEPTHS + depth,
         )
 
-    def distinct(self, rank: np.ndarray, code: np.ndarray, places: bool = True) -> tuple[np.ndarray, ...]:
-        """The distinct (rank, hash of the word before, hash of the last common word) of the tokens; for each token which
-        one it is (with ``places``, which takes a slower sort), and how many tokens each one has."""
+    @staticmethod
+    def contexts(rank: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the hash of the word before and the rank of the last common word."""
         one = np.concatenate([scattered(np.ones(1, np.uint64)), scattered(code)])[: len(code)]  # before the first word of a text stands an end
         # the last common word or end before each token; an end stands for no word yet
         last = np.maximum.accumulate(np.where((rank > 0) & (rank <= COMMON), np.arange(1, len(rank) + 1), 0))
         last = np.concatenate([[0], last])[: len(rank)]
-        common = np.concatenate([[1], rank])[last]
+        return one, np.concatenate([[1], rank])[last]
+
+    def distinct(self, rank: np.ndarray, code: np.ndarray, places: bool = True) -> tuple[np.ndarray, ...]:
+        """The distinct (rank, hash of the word before, hash of the last common word) of the tokens; for each token which
+        one it is (with ``places``, which takes a slower sort), and how many tokens each one has."""
+        one, common = self.contexts(rank, code)
         key = rank << 38 | common << 32 | one.astype(np.int64)
         if places:
             key, which, times = np.unique(key, return_inverse=True, return_counts=True)
         else:
             which, (key, times) = None, np.unique(key, return_counts=True)
-        return key >> 38, (key & 0xFFFFFFFF).astype(np.uint32), scattered((key >> 32 & 63).astype(np.uint64) + _A), which, times
+        return key >> 38, (key & 0xFFFFFFFF).astype(np.uint32), self.common_hash(key >> 32 & 63), which, times
+
+    @staticmethod
+    def common_hash(common: np.ndarray) -> np.ndarray:
+        return scattered(common.astype(np.uint64) + _A)
 
     def chunks(self, rank: np.ndarray, one: np.ndarray, common: np.ndarray) -> Iterator[tuple[Rows, np.ndarray]]:
         """The decisions of ranked tokens in bounded portions, with the token number of each."""
@@ -254,6 +303,58 @@ class Coder:
                 held, size, start = [], 0, k + 1
 
 
+class Counter:
+    """Counts the decisions of texts in a table (slot, bit).  A region's counts depend on its own context alone: a word
+    before is counted with the rank after it, and ranks after common words are decided once at the end."""
+
+    def __init__(self, coder: Coder):
+        self.coder, self.table = coder, np.zeros((coder.layout.size, 2), np.uint32)
+        self.flat, self.ranks = self.table.reshape(-1), len(coder.code.length)
+        self.pairs = np.zeros((COMMON + 1) * self.ranks, np.uint32)  # by last common word and rank
+        self.held: list[np.ndarray] = []
+
+    def add(self, texts: pa.Array) -> None:
+        for _, (_, rank, code, _, _) in self.coder.portions(texts):
+            one, common = self.coder.contexts(rank, code)
+            np.add.at(self.pairs, common * self.ranks + rank, np.uint32(1))
+            self.held.append(rank << 32 | one.astype(np.int64))
+            if len(self.held) * CHUNK_BYTES >= RANK_BYTES:
+                self.words_before()
+
+    def words_before(self) -> None:
+        keys, times = np.unique(np.concatenate([np.zeros(0, np.int64), *self.held]), return_counts=True)
+        self.held = []
+        self.region(1, keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32), times)
+
+    def region(self, region: int, rank: np.ndarray, context: np.ndarray, times: np.ndarray) -> None:
+        code, times = self.coder.code, times.astype(np.uint32)
+        for k in range(0, len(rank), CHUNK_TOKENS):
+            part = slice(k, k + CHUNK_TOKENS)
+            own = code.length.take(rank[part])
+            at, _, _ = code.decisions(rank[part])
+            if region:
+                slot = self.coder.layout.hashed(region, look_up(code.hash, at) ^ np.repeat(context[part], own))
+            else:
+                slot = look_up(code.node, at).astype(np.int64)
+            np.add.at(self.flat, slot * 2 + look_up(code.bit, at), np.repeat(times[part], own))
+
+    def spell(self, words: pa.Array) -> None:
+        for part in portions(words):
+            for rows, _ in self.coder.spelled(part):
+                for k in range(3):
+                    np.add.at(self.flat, rows[k] * 2 + rows[4], np.uint32(1))
+
+    def counts(self) -> np.ndarray:
+        self.words_before()
+        found = np.flatnonzero(self.pairs)
+        self.region(2, found % self.ranks, self.coder.common_hash(found // self.ranks), self.pairs[found])
+        times = self.pairs.reshape(-1, self.ranks).sum(0, dtype=np.uint32)
+        rank = np.flatnonzero(times)
+        self.region(0, rank, np.zeros(0, np.uint32), times[rank])
+        self.pairs = np.zeros(0, np.uint32)
+        return self.table
+
+
 class Model:
     """The summed counts, the gates' weights and the map."""
 
@@ -329,15 +430,19 @@ class Model:
         for k in range(3):
             z += look_up(columns[k], known) * x[k]
         times = times.astype(np.float32)
-        off = (bit - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * times
+        off = np.exp(-np.clip(z, -30, 30))
+        off += 1
+        np.divide(1, off, out=off)
+        np.subtract(bit, off, out=off)
+        off *= times
         step = np.stack([*[np.bincount(known, off * x[k], GATES) for k in range(3)], np.bincount(known, off, GATES)], 1)
         squares += step**2
         self.weights += 0.15 * step / np.sqrt(squares + 1e-6)
         cell, share = self.step(rows[6], z)
         flat, upper = self.map_counts.reshape(-1), (share * times).astype(np.float64)
         cell = cell * 2 + rows[4]
-        np.add.at(flat, cell, times - upper)
-        np.add.at(flat, cell + 2, upper)
+        flat += np.bincount(cell, times - upper, len(flat))
+        flat[2:] += np.bincount(cell, upper, len(flat))[:-2]
 
 
 def raw_bytes(column: pa.Array) -> list[bytes]:
@@ -359,15 +464,14 @@ def portions(column: pa.Array) -> Iterator[list[bytes]]:
         yield held
 
 
-def decided(coder: Coder, texts: pa.Array, words: pa.Array, scatter: bool = False) -> Iterator[tuple[Rows, np.ndarray]]:
-    """The decisions of a batch of rows, texts and words that are spelled, and how often each is made; with ``scatter``
-    portions do not follow the ranks, for an online learner."""
-    for part in slices(texts.filter(pc.invert(words)), CHUNK_BYTES):
-        rank, one, common, _, times = coder.distinct(*coder.tokens(part)[1:3], places=False)
-        if scatter:  # every portion has words of all ranks
-            parts = -(-len(rank) // CHUNK_TOKENS)
-            order = np.concatenate([np.arange(k, len(rank), parts) for k in range(parts)])
-            rank, one, common, times = rank[order], one[order], common[order], times[order]
+def decided(coder: Coder, texts: pa.Array, words: pa.Array) -> Iterator[tuple[Rows, np.ndarray]]:
+    """The decisions of a batch of rows, texts and words that are spelled, and how often each is made; portions do not
+    follow the ranks, for an online learner."""
+    for _, tokens in coder.portions(texts.filter(pc.invert(words))):
+        rank, one, common, _, times = coder.distinct(*tokens[1:3], places=False)
+        parts = -(-len(rank) // CHUNK_TOKENS)  # every portion has words of all ranks
+        order = np.concatenate([np.arange(k, len(rank), parts) for k in range(parts)])
+        rank, one, common, times = rank[order], one[order], common[order], times[order]
         for rows, owner in coder.chunks(rank, one, common):
             yield rows, times.take(owner)
     for part in portions(texts.filter(words)):
@@ -416,18 +520,15 @@ def learn(train: DataFrame, words: DataFrame, coder_of, layout: Layout, tokens:
     counted, tasks = learning_tasks(train.select("text", F.lit(False).alias("word")).unionByName(spelled))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, table = coder_of(), np.zeros((layout.size, 2), np.uint32)
-        flat = table.reshape(-1)
+        counter = Counter(coder_of())
         for batch in batches:
-            for rows, times in decided(coder, batch.column(0), batch.column(1)):
-                times = times.astype(np.uint32)
-                for k in range(3):
-                    np.add.at(flat, rows[k] * 2 + rows[4], times)
-        part = TaskContext.get().partitionId()
+            counter.add(batch.column(0).filter(pc.invert(batch.column(1))))
+            counter.spell(batch.column(0).filter(batch.column(1)))
+        table, part = counter.counts(), TaskContext.get().partitionId()
         for k in range(0, layout.size, BLOCK):
             if table[k : k + BLOCK].any():
                 yield pa.RecordBatch.from_pydict({"part": [part], "block": [k // BLOCK], "sums": [pack(table[k : k + BLOCK].ravel())]}, _SUMS_ARROW)
-        del coder, table, flat
+        del counter, table
         release()
 
     small = np.zeros((layout.size, 2), np.uint16)
@@ -460,7 +561,7 @@ def learn(train: DataFrame, words: DataFrame, coder_of, layout: Layout, tokens:
                     if seen:
                         yield sums()
                     at, model, squares, seen = int(shard[a]), Model(layout, None, others=others.value), np.zeros((GATES, 4)), 0
-                for rows, times in decided(coder, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), scatter=True):
+                for rows, times in decided(coder, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)):
                     model.learn(rows, times, squares)
                     seen += int(times.sum())
         if seen:
@@ -530,9 +631,8 @@ def score_texts(docs: DataFrame, trains: Column, text: str = "text") -> DataFram
             columns: list[list] = [[], [], [], [], []]
             hashed, novel, lengths = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(1, np.int64)]
             trained, start = np.array(trained.to_pylist(), bool), 0
-            for part in slices(texts, CHUNK_BYTES):
+            for part, (doc, rank, code, kinds, kind) in coder.portions(texts):
                 n = len(part)
-                doc, rank, code, kinds, kind = coder.tokens(part)
                 at = np.flatnonzero(rank == 0)
                 own_rank, one, common, which, _ = coder.distinct(rank, code)
                 by_token = np.zeros(len(own_rank))

@@ -226,6 +226,31 @@ def test_learning_looks_counts_up_without_the_own_occurrence():
         assert np.array_equal(got[bit].view(np.uint32) & 3, context_mixing.Model.known[np.minimum(left.sum(1), 16).astype(int)])
 
 
+def test_counting_by_regions(monkeypatch):
+    """Each context's counts are those of all decisions, however the texts are cut; words are ranked by bytes, short and long."""
+    head = [b"a", b"a\x00", b"\x00", b"sevenby", b"eightbyt", b"eightbytes", b"\xc3\xa9"]
+    coder = context_mixing.Coder(head, np.arange(9, 0, -1), context_mixing.Layout(16))
+    texts = pa.array([None, "a a\x00 \x00 sevenby eightbyt eightbytes x A", "", "é eightbytez sevenbx a\x00\x00 EIGHTBYT a a", "x\x00 a x"] * 7).slice(1)
+    words = context_mixing.split_words(texts.slice(3))[1]
+    assert coder.ranks(words.slice(2)).tolist() == [head.index(w) + 2 if w in head else 0 for w in context_mixing.raw_bytes(words)[2:]]
+    doc, rank, code, _, _ = coder.tokens(texts)
+    one, common = coder.contexts(rank, code)
+    want = np.zeros((coder.layout.size, 2), np.uint32)
+    for rows in (coder.ranked(rank, one, coder.common_hash(common)), coder.spelt([b"new", b"word"])):
+        for k in range(3):
+            np.add.at(want, (rows[k], rows[4]), 1)
+    for size in (20, 3_000_000):
+        monkeypatch.setattr(context_mixing, "CHUNK_BYTES", size)
+        monkeypatch.setattr(context_mixing, "RANK_BYTES", 3 * size)
+        cut = list(coder.portions(texts))
+        assert sum(len(part) for part, _ in cut) == len(texts) and (len(cut) > 1) == (size == 20)
+        assert np.concatenate([t[1] for _, t in cut]).tolist() == rank.tolist() and np.concatenate([t[2] for _, t in cut]).tolist() == code.tolist()
+        counter = context_mixing.Counter(coder)
+        counter.add(texts)
+        counter.spell(pa.array(["new", "word"]))
+        assert np.array_equal(counter.counts(), want)
+
+
 def test_distinct_tokens_without_places():
     coder = context_mixing.Coder([b"a", b"bb"], np.array([9, 5, 4, 3]), context_mixing.Layout(16))
     rank, code = coder.tokens(["a bb a bb a x y", "", "a bb a"] * 9)[1:3]
