@@ -8,7 +8,9 @@ import gc
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +28,7 @@ def fold(doc_id: Column, buckets: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(buckets), F.lit(0).cast("long"))
 
 
-def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], reads: list[str], adds: T.StructType) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], reads: list[str], adds: T.StructType, size: int | None = None) -> DataFrame:
     """``df`` with the columns of ``adds``, which ``fn`` computes from the columns ``reads`` of a batch.
 
     ``fn`` gets one ``pyarrow`` array for each name in ``reads`` and returns one
@@ -34,12 +36,13 @@ def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], reads: list[str],
     untouched; a column of ``df`` with the name of an added one is replaced.
     Rows stay where they are: no shuffle, and one batch in memory at a time.
     """
-    return map_batches(df, lambda: fn, reads, adds)
+    return map_batches(df, lambda: fn, reads, adds, size=size)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], reads: list[str], adds: T.StructType, back: bool = True) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable], reads: list[str], adds: T.StructType, back: bool = True, size: int | None = None) -> DataFrame:
     """``map_rows`` for functions with state: ``make`` is called once for each partition, and at its end the
-    function's attribute ``end``, where it has one.  Unless ``back``, the columns read are not in the result."""
+    function's attribute ``end``, where it has one.  Unless ``back``, the columns read are not in the result.  With ``size``
+    a batch is worked on and sent back in parts of some ``size`` bytes of the first column read."""
     names = {f.name.lower() for f in adds} | (set() if back else {c.lower() for c in reads})
     kept = [f for f in df.schema if f.name.lower() not in names]
     schema = T.StructType(kept + list(adds))
@@ -51,7 +54,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], reads: list[str], a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
+        for batch in batches if size is None else parts_of(batches, n_kept, size):
             out = fn(*[batch.column(n_kept + k) for k in range(n_reads)])
             cols = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -64,6 +67,18 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], reads: list[str], a
     return inner.mapInArrow(run, schema)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of some ``size`` bytes of a column of texts; no row is cut."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = np.cumsum(lengths) // size
+        edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a < b:
+                yield batch.slice(a, b - a)
+        del batch
+
+
 def release() -> None:
     """Gives a worker's unused memory back to the machine: workers live on and share an executor with its JVM."""
     gc.collect()

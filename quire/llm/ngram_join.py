@@ -43,6 +43,8 @@ from quire.llm.common import checkpoint, join_checked, map_rows, raw_texts, rele
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # five words, similarity 4/5
 RUNS, SHARE, SMALL, DEPTH, BLOCK, SKETCH = 14, 0.6, 200, 4, 1024, 64
+#: Texts are made into sets and sent back in parts of some so many bytes: a set takes more than its text, and Python and the JVM hold a part each.
+TEXT_BYTES = 2_000_000
 #: Bits of each split's token; those of a path's DEPTH - 1 splits are one number.
 SPLIT_BITS = 63 // (DEPTH - 1)
 #: Nodes of a bucket are alike if two of them have the same least token with this probability.
@@ -142,7 +144,7 @@ def light_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         return [*columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both), columns[3]]
 
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), text_key(F.col(f"`{text}`")).alias("text_key"))
-    return map_rows(own, run, ["text"], LIGHT).drop("text")
+    return map_rows(own, run, ["text"], LIGHT, TEXT_BYTES).drop("text")
 
 
 def text_key(text):
@@ -244,11 +246,17 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of membership matrices over slices of the tokens that repeat."""
     n = len(sets)
-    kinds, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows, use = np.repeat(np.arange(n), [len(s) for s in sets]), counts > 1
-    column = np.cumsum(use) - 1
-    keep = use[inverse]
-    rows, column, total, both = rows[keep], column[inverse[keep]], int(use.sum()), np.zeros((n, n), np.float32)
+    flat = np.concatenate(sets)
+    flat.sort()
+    repeats = np.unique(flat[1:][flat[1:] == flat[:-1]])  # without the places of all tokens, which take several times their memory
+    del flat
+    rows, column = [], []
+    for k, own in enumerate(sets):
+        at = np.searchsorted(repeats, own)
+        at = at[(at < len(repeats)) & (repeats.take(at, mode="clip") == own)] if len(repeats) else at[:0]
+        rows.append(np.full(len(at), k, np.int32))
+        column.append(at.astype(np.int32))
+    rows, column, total, both = np.concatenate(rows), np.concatenate(column), len(repeats), np.zeros((n, n), np.float32)
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
     for k in range(0, total, 2048):
@@ -383,7 +391,7 @@ def rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     wanted = checkpoint(kept.select("node").distinct())
     keyed = docs.select(F.col(f"`{text}`").alias("text"), text_key(F.col(f"`{text}`")).alias("node"))
     chosen = join_checked(keyed, wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = map_rows(chosen, lambda column: [[shingles(raw).tobytes() for raw in raw_texts(column)]], ["text"], T.StructType([T.StructField("tokens", T.BinaryType())]))
+    sets = map_rows(chosen, lambda column: [[shingles(raw).tobytes() for raw in raw_texts(column)]], ["text"], T.StructType([T.StructField("tokens", T.BinaryType())]), TEXT_BYTES)
     full = kept.join(info.select("node", "weight", "finals"), "node").join(sets.select("node", "tokens"), "node")
     links = checkpoint(by_bucket(full.select("bucket", "path", "side", "cross", "node", "weight", "finals", "tokens"), verified, "node binary, links long, root binary"))
 

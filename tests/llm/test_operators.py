@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -16,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, chat_format, context_mixing, decontaminate, html_extract, line_dedup, ngram_join, quality_classifier, quality_rules, queries, sharding
+from quire.llm import byte_bpe, chat_format, common, context_mixing, decontaminate, html_extract, line_dedup, ngram_join, quality_classifier, quality_rules, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 60_000
@@ -453,6 +454,31 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sum(found[0]) >= 0.99 * sum(found[1]) > 0 and all(x <= y for x, y in zip(*found))
 
 
+def test_common_tokens_in_bounded_memory():
+    """All intersections, without the places of all tokens of a bucket: beside the result, less than four times the tokens."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) for _ in range(60)]
+    sets = [np.union1d(s, sets[k // 2][:50]) for k, s in enumerate(sets)] + [sets[0][:9]]
+    tracemalloc.start()
+    both = ngram_join.common_tokens(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * sum(s.nbytes for s in sets)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in (0, 1, 7, 60) for j in range(61) if i != j)
+
+
+def test_sets_are_made_and_sent_in_parts(spark, monkeypatch):
+    """No batch that Python works on or sends back holds more texts than some TEXT_BYTES."""
+    batch = pa.RecordBatch.from_pydict({"i": range(50), "t": [None, *["x" * 90] * 49]})
+    parts = list(common.parts_of([batch, batch.slice(0, 0)], 1, 1000))
+    assert max(p.num_rows for p in parts) <= 12 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    monkeypatch.setattr(ngram_join, "TEXT_BYTES", 300)
+    df = spark.createDataFrame([(k, f"w{k} a b c d e f g") for k in range(40)] + [(99, None)], "doc_id long, text string")
+    got = ngram_join.light_rows(df, "doc_id", "text").orderBy("doc_id").collect()
+    monkeypatch.setattr(ngram_join, "TEXT_BYTES", None)
+    assert got == ngram_join.light_rows(df, "doc_id", "text").orderBy("doc_id").collect() and len(got) == 41
+
+
 def test_one_of_each_with_null_and_repeated_ids(spark):
     """One row of each class stays, whatever its id; rows without words all stay."""
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
